@@ -3,20 +3,94 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels, quality.rating()), least_grade=2)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own, so that it always encodes every distinct text."""
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary(), limit=1024)
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .shared import Workspace
+
+    chunks = Workspace(spark, "archive").write(warc.archive(_table(spark, sf_dir, "pages")), "records")
+    return warc.read_archive(chunks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_token_counts": op3_token_counts,
+    "op4_exact_topk": op4_exact_topk,
+    "op7_warc": op7_warc,
+    "op8_bpe": op8_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(range(1, len(c.e) + 1), lambda i: c.e[i] * q.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder
+            FROM pages
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to
+        FROM p
+    """,
+}
