@@ -56,6 +56,23 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    turns = rows.unionByName(extra).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digests(chat.format_turns(turns))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -63,6 +80,8 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +112,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to
         FROM p
     """,
+    "op10_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+        ), t AS (
+            SELECT *, role || chr(10) || text || chr(10) AS said,
+                   length(replace(replace(role || text, '\', '\\'), '|', '\|')) + 33 AS chars
+            FROM c
+        ), g AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(said, '' ORDER BY turn NULLS FIRST, role, text) AS said,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                   CAST(sum(chars) AS BIGINT) AS formatted_chars
+            FROM t GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+    """,
 }
