@@ -42,6 +42,12 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=80)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     from .shared import Workspace
@@ -78,13 +84,44 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_exact_topk": op4_exact_topk,
+    "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
 
+#: Words of a text (A-Z lowered, cut at blanks and 09-0D) and its distinct five-word shingles.
+_SHINGLES = r"""
+    SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS s
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM (
+        SELECT {id} AS id, list_filter(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM {table} WHERE {id} IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": f"""
+        WITH RECURSIVE s AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (
+            SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id
+        ), l AS (
+            SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+        ), reach AS (
+            SELECT a AS id, b AS other FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.other
+        ), c AS (SELECT id, min(other) AS least FROM reach GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id,
+               d.doc_id = least(d.doc_id, coalesce(c.least, d.doc_id)) AS kept
+        FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+    """,
+    "op6_decontaminate": f"""
+        WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+        q AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+        n AS (SELECT id, count(*) AS n_item FROM q GROUP BY id),
+        m AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n_common FROM d JOIN q ON d.s = q.s GROUP BY d.id, q.id)
+        SELECT doc_id, item_id, n_common, n_item FROM m JOIN n ON n.id = item_id WHERE 100 * n_common >= 80 * n_item
+    """,
     "op4_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
