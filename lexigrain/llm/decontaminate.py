@@ -166,4 +166,4 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "d
     """The rows of ``docs``, all columns, of documents that contain no item."""
     found = contaminated(docs, items, percent, id_col=id_col, text_col=text_col)
     bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__bad"), "left_anti")

@@ -302,7 +302,18 @@ def _xor_count(left, right):
 
 
 def keep_first_of_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all their columns) that are the first of their group, one row for each kept doc_id."""
+    """The rows of ``docs``, all columns, that come first in their group; of rows that repeat a doc_id one stays.
+
+    Rows with a null doc_id all stay.
+    """
     found = near_duplicates(docs, percent, id_col, text_col)
-    drop = found.where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    found = Workspace(docs.sparkSession, "near-duplicates-kept").write(found.select("doc_id", "kept"), "kept")
+    own = F.col(id_col).cast("long")
+    drop = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    # The ids are built into a hash table and the texts streamed past, not sorted.
+    first = docs.join(drop.hint("shuffle_hash"), own == F.col("__id"), "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    if repeated.isEmpty():
+        return first
+    once = first.join(repeated.hint("shuffle_hash"), own == F.col("__id"), "left_anti")
+    return once.unionByName(first.join(repeated.hint("shuffle_hash"), own == F.col("__id"), "left_semi").dropDuplicates([id_col]))

@@ -149,30 +149,54 @@ def train(docs: DataFrame, labels: DataFrame, grade, sample: int = SAMPLE, id_co
     return fit([i for _, i in got], [g for g, _ in got])
 
 
-def score(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probability: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_grade, tail_probability, kept): kept where P(grade >= least_grade) reaches the probability."""
+def _scorer(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probability: float):
+    """In a task, makes a function from texts to expected grades, tail probabilities and decisions."""
+    # 4 MB of weights, whatever the corpus.
     weights, cuts, grades = docs.sparkSession.sparkContext.broadcast(model.weights), model.cuts, np.array(model.grades, dtype=float)
-    steps = np.diff(grades)
     cut = int(np.searchsorted(grades, least_grade))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         m = OrdinalModel(weights.value, cuts, list(grades))
-        for batch in batches:
-            s = np.array([float(m.weights[i].sum(dtype=np.float64)) for i in features(batch.column(1).to_pylist())])
+
+        def decide(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s = np.array([float(m.weights[i].sum(dtype=np.float64)) for i in features(texts)])
             tails = m.tails(s) if len(s) else np.empty((0, len(cuts)))
-            expected = grades[0] + tails @ steps
-            if 0 < cut <= tails.shape[1]:
-                tail = tails[:, cut - 1]
-            else:
-                tail = np.full(len(s), 1.0 if cut == 0 or not len(cuts) else 0.0)
+            tail = tails[:, cut - 1] if 0 < cut <= len(cuts) else np.full(len(s), 1.0 if cut == 0 or not len(cuts) else 0.0)
+            return grades[0] + tails @ np.diff(grades), tail, tail >= least_probability
+
+        return decide
+
+    return judge
+
+
+def score(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probability: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, expected_grade, tail_probability, kept): kept where P(grade >= least_grade) reaches the probability."""
+    judge = _scorer(docs, model, least_grade, least_probability)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= least_probability)], names=["doc_id", "expected_grade", "tail_probability", "kept"]
+                [batch.column(0), *map(pa.array, decide(batch.column(1).to_pylist()))], names=["doc_id", "expected_grade", "tail_probability", "kept"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
 
 
+def accepted(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probability: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` keeps; rows are filtered where they are read."""
+    judge = _scorer(docs, model, least_grade, least_probability)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(at).to_pylist())[2], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def rating():
     """The grade of a row of ``labels``: 0 poor, 1 well written but toxic, 2 well written and clean."""
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)

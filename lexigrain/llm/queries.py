@@ -42,6 +42,24 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the table file by file (eight arrivals at most), compacting in between, and reads all rows back."""
+    from .shared import Workspace
+    from .sharding import ShardedDataset
+
+    docs = _table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
+    data = ShardedDataset(spark, Workspace(spark, "shards").path)
+    step = -(-len(files) // 8)
+    for at in range(0, len(files), step):
+        data.append(spark.read.schema(docs.schema).parquet(*files[at : at + step]))
+        data.compact_fully()
+        data.vacuum()
+    return data.read(schema=docs.schema).select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -84,6 +102,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_exact_topk": op4_exact_topk,
+    "op5_sharding": op5_sharding,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
@@ -115,6 +134,7 @@ ORACLES: dict[str, str] = {
                d.doc_id = least(d.doc_id, coalesce(c.least, d.doc_id)) AS kept
         FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
     """,
+    "op5_sharding": "SELECT doc_id, lang, source, n_chars, strlen(text) AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op6_decontaminate": f"""
         WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
         q AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
