@@ -71,8 +71,11 @@ def _content(text) -> F.Column:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = load_counter(path)
+        count, seen = load_counter(path), set()
         for batch in batches:
+            # Rows that repeat a document wholly come to one task; their text is encoded once.
+            fresh = [c not in seen and not seen.add(c) for c in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             texts, sizes = batch.column(1), pc.binary_length(batch.column(1).cast(pa.binary())).to_pylist()
             counts, at = [], 0
             while at < len(sizes):
