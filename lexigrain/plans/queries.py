@@ -512,10 +512,10 @@ def _four(c: Corpus):
     return parts.part_of([parts.Part(a, b, 0, 0) for a, b in _P], F.col("year"))
 
 
-def _part_query(s, d, kind):
+def _part_query(s, d, kind, digits=DIGITS):
     c = corpus(s, d)
     totals, docs = parts.part_totals(c, _four(c), 4, 1)
-    return parts.part_arrays(c, _four(c), 4, 1).select("term", F.round(parts.part_score(kind, totals, 1, docs), DIGITS).alias("score")).where("score is not null")
+    return parts.part_arrays(c, _four(c), 4, 1).select("term", F.round(parts.part_score(kind, totals, 1, docs), digits).alias("score")).where("score is not null")
 
 
 def _pg(i):
@@ -535,9 +535,9 @@ _pscores = {
 }
 for _k, _v in _pscores.items():
     query(f"part_{_k}", sql(f"SELECT * FROM (SELECT term, round({_v}, 6) AS score FROM pw) WHERE score IS NOT NULL", ctes=_pa))(lambda s, d, k=_k: _part_query(s, d, k))
-query("part_specificity", sql(f"""SELECT term, round(round(CASE WHEN up THEN -log10(greatest(least(p, 1), 1e-300)) ELSE log10(greatest(least(p, 1), 1e-300)) END, 6), 4) AS score FROM
+query("part_specificity", sql(f"""SELECT term, round(CASE WHEN up THEN -log10(greatest(least(p, 1), 1e-300)) ELSE log10(greatest(least(p, 1), 1e-300)) END, 4) AS score FROM
     (SELECT term, up, sum({_hyper}) AS p FROM (SELECT *, f1 >= {_x1} AS up, unnest(CASE WHEN f1 >= {_x1} THEN range(CAST(f1 AS BIGINT), CAST(least({_n}, t1, f1 + 400) AS BIGINT) + 1) ELSE range(CAST(greatest(0, {_n} + t1 - {_t}, f1 - 400) AS BIGINT), CAST(f1 AS BIGINT) + 1) END) AS k FROM pw WHERE f1 >= 5) GROUP BY ALL)""", ctes=_pa))(
-    lambda s, d: _part_query(s, d, "specificity").select("term", F.round("score", 4).alias("score"))
+    lambda s, d: _part_query(s, d, "specificity", 4)
 )
 query("part_topk", sql(f"SELECT part, term, CAST(tf AS BIGINT) AS freq, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY tf DESC, term) - 1 AS r FROM pp) WHERE r < 500", ctes=_pa))(
     lambda s, d: (lambda c: parts.part_ranks(c, _four(c), 500))(corpus(s, d))
