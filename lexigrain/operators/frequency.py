@@ -20,14 +20,9 @@ def folded(term: Column) -> Column:
 
 
 def focus_counts(corpus: Corpus, focus: Column) -> DataFrame:
-    """term, freq and docs in the focus, field_freq and field_docs in the corpus, in one pass over the postings."""
-    inside = F.coalesce(focus, F.lit(False))
-    return corpus.postings.groupBy("term").agg(
-        F.sum(F.when(inside, F.col("tf")).otherwise(0)).alias("freq"),
-        F.count_if(inside).alias("docs"),
-        F.sum("tf").alias("field_freq"),
-        F.count("*").alias("field_docs"),
-    )
+    """term, freq and docs in the focus, field_freq and field_docs in the corpus, in one pass and one exchange."""
+    inside = lambda c: F.when(F.coalesce(focus, F.lit(False)), F.col(c)).otherwise(0)
+    return corpus.counted(freq=inside("tf"), docs=inside("df"), field_freq=F.col("tf"), field_docs=F.col("df"))
 
 
 def _focus_total(corpus: Corpus, focus: Column) -> int:

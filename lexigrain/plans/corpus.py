@@ -33,7 +33,7 @@ class Corpus:
     """``documents`` has doc_id and text; lang is the category and year the ordinal, where they are there."""
 
     documents: DataFrame
-    keep: tuple[str, ...] = field(default=("lang", "year"))
+    keep: tuple[str, ...] = field(default=("lang", "source", "year"))
 
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str) -> Corpus:
@@ -51,8 +51,26 @@ class Corpus:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """term, doc_id, kept columns, tf."""
-        return self.tokens.groupBy("term", "doc_id", *self.keep).agg(F.count("*").alias("tf"))
+        """term, doc_id, kept columns, tf.
+
+        Texts are dealt by document before they are cut: the counts then need no further exchange, and a
+        document travels as one compressed row instead of one row for each of its terms.
+        """
+        dealt = self.documents.select("doc_id", *self.keep, "text").repartition("doc_id")
+        words = dealt.select("doc_id", *self.keep, F.explode(words_of(F.col("text"))).alias("term"))
+        return words.groupBy("term", "doc_id", *self.keep).agg(F.count("*").alias("tf"))
+
+    def counted(self, **sums: Column) -> DataFrame:
+        """term and, for each name, the sum of a column over the corpus; columns may use tf and df, documents' columns included.
+
+        A text yields its words and then its distinct words; a row is an occurrence (tf 1) or a document (df 1) by
+        its place.  Both frequencies are plain sums, added up in every task before the one exchange by term.
+        """
+        cut = self.documents.select(*self.keep, words_of(F.col("text")).alias("w"))
+        rows = cut.select(*self.keep, F.size("w").alias("n"), F.posexplode(F.concat("w", F.array_distinct("w"))).alias("i", "term"))
+        seen = F.col("i") < F.col("n")
+        rows = rows.select(*self.keep, "term", F.when(seen, 1).otherwise(0).alias("tf"), F.when(seen, 0).otherwise(1).alias("df"))
+        return rows.groupBy("term").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
 
     @cached_property
     def doc_stats(self) -> DataFrame:
@@ -63,7 +81,7 @@ class Corpus:
     @cached_property
     def vocabulary(self) -> DataFrame:
         """term, tf, df."""
-        return self.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+        return self.counted(tf=F.col("tf"), df=F.col("df"))
 
     @cached_property
     def totals(self) -> dict[str, int]:

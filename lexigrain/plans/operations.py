@@ -91,9 +91,7 @@ def terms(corpus: Corpus, request: Request, flags: DataFrame | None = None) -> D
     elif not r.types and not r.tags:
         return _period_terms(corpus, r)
     else:
-        inside = corpus.postings.join(_kept(corpus, r).documents.select("doc_id").distinct().withColumn("inside", F.lit(True)), "doc_id", "left")
-        own = replace_postings(corpus, inside)
-        rows = freq.keyness(own, F.col("inside"), _scorer(r), 1 << 30).drop("rank")
+        rows = freq.keyness(corpus, condition, _scorer(r), 1 << 30).drop("rank")
     if flags is not None and r.flags:
         from lexigrain.sources.lexicon import flagged
 
@@ -105,14 +103,6 @@ def terms(corpus: Corpus, request: Request, flags: DataFrame | None = None) -> D
     return top(rows, "score", r.terms)
 
 
-def replace_postings(corpus: Corpus, postings: DataFrame) -> Corpus:
-    """A view of the corpus whose postings and documents carry a column ``inside``."""
-    marked = postings.select("doc_id", "inside").distinct()
-    view = Corpus(corpus.documents.join(marked, "doc_id", "left"), (*corpus.keep, "inside"))
-    view.__dict__["postings"] = postings
-    return view
-
-
 def _period_terms(corpus: Corpus, r: Request) -> DataFrame:
     found = parts.partition(corpus, r.start if r.start is not None else -(1 << 31), r.end if r.end is not None else (1 << 31) - 1, edge_tokens=2500, least_docs=3)
     focus = next(i for i, p in enumerate(found) if p.focus)
