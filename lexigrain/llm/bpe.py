@@ -33,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkit import slices
+
 #: Bytes of text whose distinct words share one trie.
-TRIE_BYTES = 4 << 20
-#: Word encodings that a worker keeps from batch to batch.
-KEEP_WORDS = 400_000
-#: Decisions on pairs of tokens that a worker keeps.
-KEEP_PAIRS = 1_000_000
+TRIE_BYTES = 2 << 20
+#: Word encodings that a task keeps from batch to batch.
+KEEP_WORDS = 200_000
+#: Decisions on pairs of tokens that a task keeps.
+KEEP_PAIRS = 400_000
+#: Rows that are held as Python objects at once.
+ROWS = 256
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -171,6 +175,10 @@ class BytePairCodec:
         get = known.__getitem__
         return [b"".join(b"".join(map(get, p)) if i % 2 == 0 else packed[p] for i, p in enumerate(parts)) for parts in split]
 
+    def forget(self) -> None:
+        """Give back what a task has remembered; workers live on between tasks."""
+        self.known, self.pairs = {}, {}
+
     def decode(self, ids: Iterable[int]) -> str:
         table, size = self.table, len(self.table)
         try:
@@ -213,14 +221,15 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
+            texts = [t or "" for t in batch.column(columns.index(text_col)).to_pylist()]
             packed = [x for part in _pieces(texts) for x in bpe.encode_batch(part)]
             ends, total = [0], 0
             for p in packed:
                 ends.append(total := total + len(p) // 4)
             values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(packed))])
             yield _with_columns(batch, columns, {ids_col: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+        bpe.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -233,8 +242,10 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            texts = [bpe.decode(i for i in x or () if i is not None) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
+            # One row's ids at a time become Python numbers.
+            rows = (x.values if x.is_valid else pa.array([], pa.int32()) for x in batch.column(columns.index(ids_col)))
+            texts = [bpe.decode(x.drop_null().to_numpy(zero_copy_only=False).tolist()) for x in rows]
             yield _with_columns(batch, columns, {text_col: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, schema)
@@ -245,7 +256,7 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
             texts, n, ids, back = [t or "" for t in batch.column(1).to_pylist()], [], [], []
             for part in _pieces(texts):
                 for packed in bpe.encode_batch(part):
@@ -257,6 +268,7 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import hash_words, mix64, text_chunks, word_bounds
+from .textkit import hash_words, mix64, slices, text_chunks, word_bounds
 
 BITS = 20
 #: The most labelled documents that are fitted.
@@ -132,7 +132,7 @@ def fit(rows: list[np.ndarray], grades: list[int]) -> OrdinalModel:
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i in features(batch.column(1).to_pylist())], pa.list_(pa.int32()))], names=["grade", "ids"])
 
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probabil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = judge()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *map(pa.array, decide(batch.column(1).to_pylist()))], names=["doc_id", "expected_grade", "tail_probability", "kept"]
             )
@@ -191,7 +191,7 @@ def accepted(docs: DataFrame, model: OrdinalModel, least_grade: int, least_proba
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = judge()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             yield batch.filter(pa.array(decide(batch.column(at).to_pylist())[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

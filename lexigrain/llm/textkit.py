@@ -13,7 +13,7 @@ import numpy as np
 
 SHINGLE_WORDS = 5
 #: Bytes of text hashed at once; bounds the working memory of a task.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -104,6 +104,12 @@ def windows(words: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
     return mix64(out)
 
 
+def slices(batch, rows: int = 256):
+    """A record batch in parts of so many rows, so that only one part is held as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def lowered(text: str | None) -> bytes:
     """UTF-8 of a text with A-Z in lower case and nothing else changed; b"" for null."""
     return text.encode("utf-8", "replace").lower() if text else b""
