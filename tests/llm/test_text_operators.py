@@ -61,8 +61,8 @@ def test_round_trip_over_a_table(spark, library):
         ids = library.encode(t, add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
-    both = bpe.decode(bpe.encode(df, PATH), PATH)
-    assert both.columns == ["doc_id", "text", "ids", "decoded"]
+    both = bpe.decode(bpe.encode(df, PATH, check_col="same"), PATH)
+    assert both.columns == ["doc_id", "text", "ids", "same", "decoded"] and both.where("NOT same").count() == 0
     assert both.where("decoded <> coalesce(text, '')").count() == 0
     assert bpe.round_trip_digests(df.where("false"), PATH).collect() == []
     with pytest.raises(ValueError):
