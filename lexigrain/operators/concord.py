@@ -13,9 +13,8 @@ from .rank import DIGITS, top_per_group
 
 def theme_scores(corpus: Corpus, snips: DataFrame, weights: DataFrame, context: int) -> DataFrame:
     """doc_id, snip, score: the summed weights of the distinct theme words around each snippet."""
-    spots = snips.select("doc_id", "snip", F.explode(F.sequence(F.greatest(F.col("start") - context, F.lit(0)), F.col("end") + context - 1)).alias("pos"))
-    words = corpus.tokens.select("doc_id", "pos", "term").join(weights.select("term", "weight"), "term")
-    found = words.join(spots, ["doc_id", "pos"]).select("doc_id", "snip", "term", "weight").distinct()
+    words = corpus.contexts(snips, context, context).join(weights.select("term", "weight"), "term")
+    found = words.select("doc_id", "snip", "term", "weight").distinct()
     scored = found.groupBy("doc_id", "snip").agg(F.sum("weight").alias("score"))
     return snips.select("doc_id", "snip").join(scored, ["doc_id", "snip"], "left").select("doc_id", "snip", F.round(F.coalesce("score", F.lit(0.0)), DIGITS).alias("score"))
 
@@ -76,6 +75,7 @@ def page_by_document(spans: DataFrame, after: int, n: int) -> DataFrame:
 
 def keyword_in_context(corpus: Corpus, spans: DataFrame, chars: int = 40) -> DataFrame:
     """doc_id, start, left, pivot, right: up to ``chars`` characters of lower-cased text on each side."""
+    corpus = corpus.having(spans)
     offsets = corpus.with_offsets()
     first = offsets.select("doc_id", F.col("pos").alias("start"), F.col("start_off").alias("a"))
     last = offsets.select("doc_id", (F.col("pos") + 1).alias("end"), F.col("end_off").alias("b"))
@@ -90,8 +90,8 @@ def highlighted(corpus: Corpus, spans: DataFrame, mark: str = "mark") -> DataFra
     spots = spans.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct().withColumn("hit", F.lit(True))
     gaps = F.transform(F.split(F.lower("text"), "[a-zà-öø-ÿœ]+", -1), lambda g: g)
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-öø-ÿœ]+"), F.lit(0))
-    pieces = corpus.documents.select("doc_id", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("term"))).alias("pos", "t"))
-    pieces = pieces.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").join(spots, ["doc_id", "pos"], "left")
+    pieces = corpus.having(spans).documents.select("doc_id", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("term"))).alias("pos", "t"))
+    pieces = pieces.join(spots, ["doc_id", "pos"], "left")
     term = F.coalesce("t.term", F.lit(""))
     piece = F.concat(F.coalesce("t.gap", F.lit("")), F.when(F.col("hit"), F.concat(F.lit(f"<{mark}>"), term, F.lit(f"</{mark}>"))).otherwise(term))
     whole = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("p"))

@@ -11,17 +11,9 @@ from lexigrain.plans.corpus import Corpus
 from .rank import DIGITS
 
 
-def _context_positions(snips: DataFrame, left: int, right: int) -> DataFrame:
-    """One row per snippet and position of its context: doc_id, snip, pos."""
-    return snips.select("doc_id", "snip", F.explode(F.sequence(F.greatest(F.col("start") - left, F.lit(0)), F.col("end") + right - 1)).alias("pos"))
-
-
 def context_counts(corpus: Corpus, snips: DataFrame, left: int, right: int) -> DataFrame:
-    """term, freq, docs, contexts of the snippets' contexts; tokens in two contexts count twice.
-
-    Positions are joined by equality on (doc_id, pos), which spreads as evenly as the tokens.
-    """
-    rows = corpus.tokens.select("doc_id", "pos", "term").join(_context_positions(snips, left, right), ["doc_id", "pos"])
+    """term, freq, docs, contexts of the snippets' contexts; tokens in two contexts count twice."""
+    rows = corpus.contexts(snips, left, right)
     per_context = rows.groupBy("term", "doc_id", "snip").agg(F.count("*").alias("n"))
     per_doc = per_context.groupBy("term", "doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"), F.sum("c").alias("contexts"))
@@ -46,10 +38,9 @@ def shells(corpus: Corpus, snips: DataFrame, ticks: list[int]) -> DataFrame:
     """term, tick, freq, docs: every position counts once, at the nearest of the nested windows around any snippet."""
     widest = max(ticks)
     gap = F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).otherwise(F.greatest(F.col("pos") - F.col("end") + 1, F.lit(0)))
-    spots = snips.select("doc_id", "start", "end", F.explode(F.sequence(F.greatest(F.col("start") - widest, F.lit(0)), F.col("end") + widest - 1)).alias("pos"))
     tick = F.coalesce(*(F.when(F.col("gap") <= t, F.lit(t)) for t in sorted(ticks)))
-    nearest = spots.withColumn("gap", gap).groupBy("doc_id", "pos").agg(F.min("gap").alias("gap")).select("doc_id", "pos", tick.alias("tick"))
-    rows = corpus.tokens.select("doc_id", "pos", "term").join(nearest, ["doc_id", "pos"])
+    nearest = corpus.contexts(snips, widest, widest).groupBy("doc_id", "pos", "term").agg(F.min(gap).alias("gap"))
+    rows = nearest.select("doc_id", "term", tick.alias("tick"))
     per_doc = rows.groupBy("term", "doc_id", "tick").agg(F.count("*").alias("n"))
     first = F.min("tick").over(Window.partitionBy("term", "doc_id"))
     return per_doc.withColumn("first", first).groupBy("term", "tick").agg(F.sum("n").alias("freq"), F.count_if(F.col("tick") == F.col("first")).alias("docs"))
@@ -84,8 +75,7 @@ def profile_entries(top: DataFrame) -> DataFrame:
 
 def matrix(corpus: Corpus, snips: DataFrame, terms: list[str], left: int, right: int, directed: bool) -> DataFrame:
     """row, col, n: pairs of the listed terms in one context, the later one as column (either way unless directed); the diagonal holds occurrences."""
-    rows = corpus.tokens.where(F.col("term").isin(terms)).select("doc_id", "pos", "term")
-    rows = rows.join(_context_positions(snips, left, right), ["doc_id", "pos"])
+    rows = corpus.contexts(snips, left, right).where(F.col("term").isin(terms))
     a = rows.select("doc_id", "snip", F.col("pos").alias("p"), F.col("term").alias("row"))
     b = rows.select("doc_id", "snip", F.col("pos").alias("q"), F.col("term").alias("col"))
     pairs = a.join(b, ["doc_id", "snip"]).where((F.col("p") < F.col("q")) & (F.col("row") != F.col("col"))).select("row", "col")

@@ -9,7 +9,7 @@ document, postings by term) and opened from there.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +94,30 @@ class Corpus:
         ).first()
         return row.asDict()
 
+    def occurrences(self, terms: list[str]) -> DataFrame:
+        """The tokens that are one of a few terms; texts without any of them aren't cut at all."""
+        lowered = F.lower("text")
+        might = reduce(lambda a, b: a | b, (lowered.contains(t) for t in terms), F.lit(False))
+        return Corpus(self.documents.where(might), self.keep).tokens.where(F.col("term").isin(terms))
+
+    def contexts(self, snippets: DataFrame, left: int, right: int) -> DataFrame:
+        """The tokens around snippets: doc_id, snip, start, end, pos, term.
+
+        Each document that has snippets meets them once, as one row with its text; its words are cut once and the
+        contexts are slices of them.  So what travels is texts of documents with hits, never tokens.
+        """
+        each = snippets.groupBy("doc_id").agg(F.collect_list(F.struct("snip", "start", "end")).alias("s"))
+        rows = self.documents.select("doc_id", "text").join(each.hint("shuffle_hash"), "doc_id")
+        rows = rows.select("doc_id", words_of(F.col("text")).alias("w"), "s").select("doc_id", "w", F.explode("s").alias("s"))
+        first = F.greatest(F.col("s.start") - left, F.lit(0))
+        rows = rows.select("doc_id", "s", first.alias("first"), F.posexplode(F.slice("w", first + 1, F.col("s.end") + right - first)).alias("i", "term"))
+        return rows.select("doc_id", "s.snip", "s.start", "s.end", (F.col("first") + F.col("i")).cast("int").alias("pos"), "term")
+
+    def having(self, rows: DataFrame) -> Corpus:
+        """The documents that ``rows`` names by doc_id."""
+        wanted = rows.select("doc_id").distinct()
+        return Corpus(self.documents.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), self.keep)
+
     def with_offsets(self) -> DataFrame:
         """Tokens with start_off and end_off in code points; running sums over the gaps between words."""
         from pyspark.sql import Window

@@ -93,9 +93,10 @@ def _member(corpus: Corpus, item) -> DataFrame:
     if isinstance(item, Term):
         words = item.text.lower().split()
         if len(words) == 1:
-            return corpus.tokens.where(F.col("term") == words[0]).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+            return corpus.occurrences(words).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
         following = Window.partitionBy("doc_id").orderBy("pos")
-        rows = corpus.tokens.select("doc_id", "pos", "term", *(F.lead("term", i).over(following).alias(f"t{i}") for i in range(1, len(words))))
+        might = corpus.select(reduce(lambda a, b: a & b, (F.lower("text").contains(w) for w in words)))
+        rows = might.tokens.select("doc_id", "pos", "term", *(F.lead("term", i).over(following).alias(f"t{i}") for i in range(1, len(words))))
         same = reduce(lambda a, b: a & b, [F.col("term") == words[0], *(F.col(f"t{i}") == w for i, w in enumerate(words[1:], 1))])
         return rows.where(same).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + len(words)).alias("end"))
     # At most MAX_EXPANSIONS terms: a bounded side.
@@ -110,7 +111,7 @@ def clause_spans(corpus: Corpus, clause) -> DataFrame:
     rest = [m for m in clause.members if not (isinstance(m, Term) and " " not in m.text)]
     parts = [_member(corpus, m) for m in rest]
     if plain:
-        parts.insert(0, corpus.tokens.where(F.col("term").isin(plain)).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
+        parts.insert(0, corpus.occurrences(plain).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
     whole = reduce(DataFrame.unionByName, parts)
     return whole.distinct() if len(parts) > 1 else whole
 
