@@ -46,8 +46,7 @@ def idf_weights(corpus: Corpus, focus: Column | None = None, mode: str = "irdf",
     t = corpus.totals
     n, nd = t["n_tokens"], t["n_docs"]
     inside = F.lit(True) if focus is None else F.coalesce(focus, F.lit(False))
-    lengths = corpus.doc_stats.select("doc_id", F.col("doc_tokens").alias("dl"))
-    rows = corpus.postings.join(lengths, "doc_id").withColumn("inside", inside)
+    rows = corpus.postings.withColumn("inside", inside)
     part = lambda x: F.sum(F.when(F.col("inside"), x).otherwise(0.0))
     rest = lambda x: F.sum(F.when(F.col("inside"), 0.0).otherwise(x))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
@@ -94,10 +93,9 @@ def document_weights(corpus: Corpus, scorer: str, terms: list[str] | None = None
     """term, doc_id, tf, score: binary, bm25 or keyness of terms in documents."""
     t = corpus.totals
     rows = corpus.postings.where(F.col("term").isin(terms)) if terms else corpus.postings
-    rows = rows.join(corpus.doc_stats.select("doc_id", "doc_tokens"), "doc_id")
     vocabulary = corpus.vocabulary.where(F.col("term").isin(terms)) if terms else corpus.vocabulary
     rows = rows.join(vocabulary.select("term", F.col("tf").alias("cf"), "df"), "term")
-    tf, dl = F.col("tf"), F.col("doc_tokens")
+    tf, dl = F.col("tf"), F.col("dl")
     if scorer == "binary":
         score = scorers.doc_binary(tf)
     elif scorer == "bm25":
@@ -110,9 +108,9 @@ def document_weights(corpus: Corpus, scorer: str, terms: list[str] | None = None
 def similarities(corpus: Corpus, kind: str, terms: list[str]) -> DataFrame:
     """doc_id, term, score of the independence similarities."""
     n = corpus.totals["n_tokens"]
-    rows = corpus.postings.where(F.col("term").isin(terms)).join(corpus.doc_stats.select("doc_id", "doc_tokens"), "doc_id")
+    rows = corpus.postings.where(F.col("term").isin(terms))
     cf = corpus.vocabulary.where(F.col("term").isin(terms)).select("term", F.col("tf").alias("cf"))
-    score = scorers.SIMILARITY[kind](F.col("tf"), F.col("doc_tokens"), F.col("cf"), n)
+    score = scorers.SIMILARITY[kind](F.col("tf"), F.col("dl"), F.col("cf"), n)
     return rows.join(cf, "term").select("doc_id", "term", F.round(score, DIGITS).alias("score"))
 
 

@@ -52,18 +52,18 @@ def inertia(cells: DataFrame) -> DataFrame:
 def bm25_cells(corpus: Corpus, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """row, col, w: BM25 of a one-term query, without the factor k1 + 1; lengths count all terms."""
     t = corpus.totals
-    rows = corpus.postings.join(F.broadcast(terms.select("term", "df")), "term").join(corpus.doc_stats.select("doc_id", "doc_tokens"), "doc_id")
+    rows = corpus.postings.join(F.broadcast(terms.select("term", "df")), "term")
     idf = F.log(1.0 + (float(t["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
-    w = idf * tf / (tf + k1 * (1.0 - b + b * F.col("doc_tokens") / F.lit(t["n_tokens"] / max(t["n_docs"], 1))))
+    w = idf * tf / (tf + k1 * (1.0 - b + b * F.col("dl") / F.lit(t["n_tokens"] / max(t["n_docs"], 1))))
     return rows.select(F.col("term").alias("row"), F.col("doc_id").alias("col"), w.alias("w"))
 
 
 def g2_cells(corpus: Corpus, terms: DataFrame, root: bool = False) -> DataFrame:
     """row, col, w: signed G2 of a term in a document against the corpus, or its signed root."""
     n = corpus.totals["n_tokens"]
-    rows = corpus.postings.join(F.broadcast(terms.select("term", F.col("tf").alias("cf"))), "term").join(corpus.doc_stats.select("doc_id", "doc_tokens"), "doc_id")
-    score = scorers.doc_keyness(scorers.g2, F.col("tf"), F.col("doc_tokens"), F.col("cf"), n)
+    rows = corpus.postings.join(F.broadcast(terms.select("term", F.col("tf").alias("cf"))), "term")
+    score = scorers.doc_keyness(scorers.g2, F.col("tf"), F.col("dl"), F.col("cf"), n)
     return rows.select(F.col("term").alias("row"), F.col("doc_id").alias("col"), (F.signum(score) * F.sqrt(F.abs(score)) if root else score).alias("w"))
 
 

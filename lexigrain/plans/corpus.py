@@ -51,14 +51,15 @@ class Corpus:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """term, doc_id, kept columns, tf.
+        """term, doc_id, kept columns, dl (the document's tokens), tf.
 
         Texts are dealt by document before they are cut: the counts then need no further exchange, and a
         document travels as one compressed row instead of one row for each of its terms.
         """
         dealt = self.documents.select("doc_id", *self.keep, "text").repartition("doc_id")
-        words = dealt.select("doc_id", *self.keep, F.explode(words_of(F.col("text"))).alias("term"))
-        return words.groupBy("term", "doc_id", *self.keep).agg(F.count("*").alias("tf"))
+        cut = dealt.select("doc_id", *self.keep, words_of(F.col("text")).alias("w"))
+        words = cut.select("doc_id", *self.keep, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+        return words.groupBy("term", "doc_id", *self.keep, "dl").agg(F.count("*").alias("tf"))
 
     def counted(self, **sums: Column) -> DataFrame:
         """term and, for each name, the sum of a column over the corpus; columns may use tf and df, documents' columns included.
