@@ -31,6 +31,32 @@ def surface(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return df.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("seq", "term")).select("doc_id", "seq", F.lit(1).alias("pos_inc"), "term")
 
 
+#: Abbreviations that keep their dot.
+ABBREVIATIONS = ("M", "MM", "Mr", "Mme", "Mlle", "Dr", "etc", "cf", "p", "pp", "vol", "fig", "chap", "art", "no", "env", "av", "apr")
+_ENTITY = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+LONGEST = 256
+
+
+def markup_pattern(abbreviations: Sequence[str] = ABBREVIATIONS) -> str:
+    """Tags, entities, dotted forms that keep their dot, words, numbers, sentence and clause punctuation, in this order.
+
+    Dotted forms are initials joined by hyphens, groups of up to three letters with a dot each, listed abbreviations and
+    single letters.  Any other dot after a word is sentence punctuation.
+    """
+    letter = f"[{UPPER}{LOWER}]"
+    listed = "|".join(sorted((re.escape(a) for a in abbreviations), key=len, reverse=True))
+    dotted = rf"[{UPPER}]\.(?:-[{UPPER}]\.)+|{letter}{{1,3}}\.(?:{letter}{{1,3}}\.)+|(?:{listed})\.|{letter}\."
+    return f"<[^<>]*>|&(?:amp|lt|gt|quot|apos);|{dotted}|{WORD}|[0-9]+(?:[.,][0-9]+)*|[.!?…]+|[,;:()|—–]"
+
+
+def markup(df: DataFrame, text: str = "text", id_col: str = "doc_id", abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
+    """doc_id, seq, pos_inc, term of marked-up text: typographic apostrophes and hyphens made plain, entities decoded, tokens cut at 256 characters."""
+    plain = F.translate(F.col(text), "’ʼ‐‑", "''--")
+    found = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(plain, F.lit(markup_pattern(abbreviations)), F.lit(0))).alias("seq", "term"))
+    decoded = F.coalesce(*(F.when(F.col("term") == k, F.lit(v)) for k, v in _ENTITY.items()), F.left("term", F.lit(LONGEST)))
+    return found.select("doc_id", "seq", F.lit(1).alias("pos_inc"), decoded.alias("term"))
+
+
 def is_word(term: Column) -> Column:
     return term.rlike(f"^{WORD}$")
 

@@ -130,6 +130,11 @@ def _two(s, rows, names):
 
 
 query("surface_tokens", f"WITH {SURF} SELECT doc_id, seq, term FROM surf")(lambda s, d: _surface(s, d).select("doc_id", "seq", "term"))
+_mark = analysis.markup_pattern().replace("'", "''")
+query("markup_tokens", f"""SELECT page_id AS doc_id, CAST(i - 1 AS INTEGER) AS seq, CASE m[i] WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN '''' ELSE left(m[i], 256) END AS term FROM
+    (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(translate(html, '’ʼ‐‑', '''''--'), '{_mark}') AS m FROM pages))""")(
+    lambda s, d: analysis.markup(s.read.parquet(f"{d}/pages.parquet"), "html", "page_id").select("doc_id", "seq", "term")
+)
 query("line_tokens", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, l[i] AS term FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE l[i] <> ''")(
     lambda s, d: analysis.lines(_docs(s, d))
 )

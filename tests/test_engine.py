@@ -230,6 +230,24 @@ def test_clitics_over_a_table(spark):
     assert terms(an.clitics(tokens(spark, ["l'enfant", "dort"]))) in (["l'", "enfant", "dort"], ["enfant", "l'", "dort"])
 
 
+def test_dots_stay_with_abbreviations(spark):
+    text = "M. J.-J. Smith, p. ex. c.-à-d. vers 1.5 km. Fin… &amp; l’eau <b>x</b> Dr. Who?! " + "w" * 300
+    got = [r.term for r in an.markup(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("seq").collect()]
+    assert got[:8] == ["M.", "J.-J.", "Smith", ",", "p.", "ex", ".", "c."] and "1.5" in got and "km" in got and "…" in got and "&" in got
+    assert "l'eau" in got and "<b>" in got and "Dr." in got and "?!" in got and max(map(len, got)) == 256
+
+
+def test_kinds_and_roles(spark, toy):
+    from lexigrain.plans import schema
+
+    fields = schema.inferred(toy.documents.schema)
+    assert {n: f.kind for n, f in fields.items()} == {"doc_id": "number", "text": "text", "lang": "category", "source": "category", "year": "number"}
+    assert schema.role(fields, "content") == "text" and schema.role(fields, "year") == "year" and schema.role(fields, "year", "doc_id") == "doc_id"
+    with pytest.raises(ValueError):
+        schema.role(fields, "year", "lang")
+    assert schema.role({}, "content") is None
+
+
 def test_markup(spark):
     t = tokens(spark, ["<nav>", "a", "<p>", "b", "</p>", "</nav>", "c", "<p>", "d", "</p>", "</section>", "e"])
     assert terms(an.zone(t, ["nav"], True)) == ["a", "b"] and terms(an.zone(t, ["nav"], False)) == ["c", "d", "e"]
