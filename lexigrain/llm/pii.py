@@ -48,8 +48,6 @@ KINDS = {
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}[\p{L}\p{N}_]{3,}+"
 CONTEXT, DISCLOSURE = 80, 0.8
-#: Candidate terms (about 40 bytes each) that are broadcast at most.
-BROADCAST_TERMS = 500_000
 _KEY = ["doc_id", "text_hash"]
 
 
@@ -159,10 +157,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", discl
         .select("entity", "term", "n_et")
     )
     together = work.write(together, "together")
-    wanted = together.select("term").distinct()
-    words = keyed.select(F.explode(F.array_distinct(_found(F.lower("text"), TERM))).alias("term"))
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    counted = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted for all terms: sums per task first, and the rows that travel follow the vocabulary, not the candidates.
+    counted = keyed.select(F.explode(F.array_distinct(_found(F.lower("text"), TERM))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     ic = -F.log2(F.col("n_e") / n)
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     revealing = together.join(held, "entity").join(counted, "term").where((ic > 0) & (pmi >= F.lit(disclosure) * ic)).select("entity", "term")
