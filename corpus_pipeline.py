@@ -40,8 +40,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs, path), path)
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    rows = bpe.encode(docs, path, check_col="round_trip")
+    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import slices
+from .textkit import slices, tidied
 
 #: Bytes of text whose distinct words share one trie.
 TRIE_BYTES = 2 << 20
@@ -213,11 +213,13 @@ def _clash(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input already has {sorted(taken)}; choose another name")
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds ``ids_col`` (array<int>), the ids of the whole text."""
-    _clash(df, ids_col)
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """Adds ``ids_col`` (array<int>), the ids of the whole text, and with ``check_col`` whether they decode to it again."""
+    _clash(df, ids_col, *([check_col] if check_col else []))
     columns = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    if check_col:
+        schema = schema.add(check_col, T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
@@ -228,10 +230,13 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
             for p in packed:
                 ends.append(total := total + len(p) // 4)
             values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(packed))])
-            yield _with_columns(batch, columns, {ids_col: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+            new = {ids_col: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            if check_col:
+                new[check_col] = pa.array([bpe.decode(array("I", p)) == t for p, t in zip(packed, texts, strict=True)], pa.bool_())
+            yield _with_columns(batch, columns, new)
         bpe.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -248,7 +253,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
             texts = [bpe.decode(x.drop_null().to_numpy(zero_copy_only=False).tolist()) for x in rows]
             yield _with_columns(batch, columns, {text_col: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,4 +276,4 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, F.col(text_col)).mapInArrow(tidied(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .textkit import shingle_sets
+from .textkit import shingle_sets, tidied
 
 #: 16 MB of item shingles.
 BROADCAST_HASHES = 2_000_000
@@ -132,13 +132,13 @@ def contaminated(
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     work = Workspace(spark, "decontamination")
-    sets = sets.mapInArrow(_item_sets(percent), "item_id long, n_item long, hashes array<long>, sketch array<long>").where("n_item > 0")
+    sets = sets.mapInArrow(tidied(_item_sets(percent)), "item_id long, n_item long, hashes array<long>, sketch array<long>").where("n_item > 0")
     sets = work.write(sets, "items")
     total = sets.agg(F.coalesce(F.sum("n_item"), F.lit(0))).first()[0]
     if total <= broadcast_hashes:
         known = sorted((r[0], r[1]) for r in sets.select("item_id", "hashes").collect())
         index = spark.sparkContext.broadcast(_search_here([(i, np.array(h, dtype=np.int64).view(np.uint64)) for i, h in known], percent))
-        found = texts.mapInArrow(_scan(index, percent), _FOUND)
+        found = texts.mapInArrow(tidied(_scan(index, percent)), _FOUND)
     else:
         found = _joined(work, texts, sets, percent)
     # An id that comes with several texts is reported with the most that one of them holds.
@@ -153,7 +153,7 @@ def _joined(work: Workspace, texts: DataFrame, sets: DataFrame, percent: int) ->
     whole = named.select("set_id", "item_id", "n_item", F.explode("hashes").alias("hash"))
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     bits = spark.sparkContext.broadcast(_bit_filter(whole.select("hash")))
-    hits = texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(_filtered(bits), "doc_id long, hash long")
+    hits = texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(tidied(_filtered(bits)), "doc_id long, hash long")
     hits = work.write(hits.select(F.col("doc_id").alias("row"), "hash").distinct(), "hits")
     met = work.write(hits.join(sketch, "hash").select("row", "set_id").distinct(), "met")
     # Equal hashes of the pairs that met: whole sets against whole sets.

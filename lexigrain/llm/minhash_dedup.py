@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import component_roots
 from .shared import Workspace
-from .textkit import mix64, shingle_sets
+from .textkit import mix64, shingle_sets, tidied
 
 BANDS, ROWS, SAMPLES, SKETCH_BITS, BLOCK = 24, 4, 160, 512, 256
 #: Standard errors of the estimate below the threshold that are still confirmed.
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     far = greatest_distance(percent)
 
     sigs = work.write(
-        docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signatures"
+        docs.mapInArrow(tidied(_signatures), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signatures"
     )
     usable = sigs.where("digest is not null and doc_id is not null")
     # Classes of equal sets; a class of any size is one partial minimum per task.
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         pairs.join(texts, "doc_id")
         .join(texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("centre_text")), "centre")
         .select("centre", "centre_text", "doc_id", "text")
-        .mapInArrow(_confirmed(percent), "a long, b long")
+        .mapInArrow(tidied(_confirmed(percent)), "a long, b long")
     )
     links = work.write(links, "links-to-centres")
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .join(texts, "doc_id")
         .repartition("bucket", "one", "two")
         .sortWithinPartitions("bucket", "one", "two", "side", "doc_id")
-        .mapInArrow(_compared(percent, far), "a long, b long")
+        .mapInArrow(tidied(_compared(percent, far)), "a long, b long")
     )
     more = work.write(more, "links-of-blocks")
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

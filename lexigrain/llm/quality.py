@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import hash_words, mix64, slices, text_chunks, word_bounds
+from .textkit import hash_words, mix64, slices, text_chunks, tidied, word_bounds
 
 BITS = 20
 #: The most labelled documents that are fitted.
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, sample: int = SAMPLE, id_co
     picked = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
     # At most ``sample`` ids and grades: proven small.
     known = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("grade", F.col("id"), F.col(text_col).alias("text"))
-    rows = known.select("grade", "text").mapInArrow(_features_of, "grade int, ids array<int>")
+    rows = known.select("grade", "text").mapInArrow(tidied(_features_of), "grade int, ids array<int>")
     # Sorted, so that the fit doesn't hang on the order in which tasks end.
     got = sorted(((r[0], np.asarray(r[1], np.int32)) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return fit([i for _, i in got], [g for g, _ in got])
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probabil
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
 
 
 def accepted(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probability: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +194,7 @@ def accepted(docs: DataFrame, model: OrdinalModel, least_grade: int, least_proba
         for batch in (part for whole in batches for part in slices(whole)):
             yield batch.filter(pa.array(decide(batch.column(at).to_pylist())[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def rating():

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shared_root
+from .textkit import tidied
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: Bytes of text handed to the tokenizer at once.
@@ -128,7 +129,7 @@ def token_counts(
     misses = texts.join(missing.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(missing["doc_id"])).select("content", "text")
     # A repeated doc_id brings texts of other digests along.
     misses = misses.where(F.col("content") == F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    counted = misses.mapInArrow(_count(tokenizer_path), "content binary, n_tokens long")
+    counted = misses.mapInArrow(tidied(_count(tokenizer_path)), "content binary, n_tokens long")
     counted.select("content", F.lit(bytearray(mark)).alias("tokenizer"), "n_tokens").write.parquet(f"{cache}/run-{uuid.uuid4().hex}")
     return rows.join(read_cache(spark, cache, mark), "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import tidied
+
 CHUNK_BYTES = 256 << 10
 REVISIT_BYTES = 1000
 #: Rows of the revisit table (40 bytes each) that are broadcast at most.
@@ -136,7 +138,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         (keyed["page_id"] == revisits["page_id"]) & (keyed["digest"] == revisits["own"]),
         "left",
     )
-    return joined.select(keyed["page_id"], "url", "payload", "digest", "refers_to", F.length("payload").cast("long").alias("length")).mapInArrow(_write, ARCHIVE)
+    return joined.select(keyed["page_id"], "url", "payload", "digest", "refers_to", F.length("payload").cast("long").alias("length")).mapInArrow(tidied(_write), ARCHIVE)
 
 
 class _Reader:
@@ -193,6 +195,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archive(chunks: DataFrame) -> DataFrame:
     """The records of an archive table, verified: page_id, record_type, refers_to, target_uri, payload_bytes, payload_digest."""
     single = (F.col("chunk_no") == 0) & F.col("last")
-    whole = chunks.where(single).mapInArrow(_read, _RECORD)
-    streamed = chunks.where(~single).repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(_read, _RECORD)
+    whole = chunks.where(single).mapInArrow(tidied(_read), _RECORD)
+    streamed = chunks.where(~single).repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(tidied(_read), _RECORD)
     return whole.unionAll(streamed)
