@@ -395,3 +395,20 @@ def test_materialised_corpus(spark, toy, tmp_path):
     toy.materialise(str(tmp_path / "c"), partitions=2)
     assert spark.read.parquet(str(tmp_path / "c/tokens")).count() == 29
     assert Counter(map(tuple, spark.read.parquet(str(tmp_path / "c/vocabulary")).select("term", "tf", "df").collect())) == Counter(map(tuple, toy.vocabulary.select("term", "tf", "df").collect()))
+
+
+def test_sinks(spark, toy, tmp_path):
+    from lexigrain.sources import sinks
+
+    df = spark.createDataFrame([(1, 'a "q", b'), (2, None)], "id long, s string").coalesce(1)
+    for form, want in {"csv": 'id,s\n1,"a ""q"", b"\n2,\n', "jsonl": '{"id":1,"s":"a \\"q\\", b"}\n{"id":2}\n', "txt": '1\ta "q", b\n2\n'}.items():
+        sinks.write_rows(df, str(tmp_path / form), form)
+        assert "".join(p.read_text() for p in (tmp_path / form).glob("part-*")).replace('""\n', "\n") == want
+    with pytest.raises(ValueError):
+        sinks.write_rows(df, str(tmp_path / "x"), "docx")
+    assert [r[0] for r in df.select(sinks.csv_cell(F.col("s"))).collect()] == ['"a ""q"", b"', None]
+    wide = {r.term: r for r in sinks.dense_matrix(toy).collect()}
+    assert wide["hen"]["2"] == 3 and wide["hen"]["3"] == 0 and (wide["fox"].tf, wide["fox"].df) == (4, 2)
+    sinks.dump_terms(toy, str(tmp_path / "terms"))
+    lines = [x for p in sorted((tmp_path / "terms").glob("part-*")) for x in p.read_text().split()]
+    assert lines == sorted(lines) and "renard" in lines
