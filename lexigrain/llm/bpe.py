@@ -36,13 +36,13 @@ from pyspark.sql import types as T
 from .textkit import slices, tidied
 
 #: Bytes of text whose distinct words share one trie.
-TRIE_BYTES = 2 << 20
+TRIE_BYTES = 4 << 20
 #: Word encodings that a task keeps from batch to batch.
-KEEP_WORDS = 200_000
+KEEP_WORDS = 400_000
 #: Decisions on pairs of tokens that a task keeps.
 KEEP_PAIRS = 400_000
 #: Rows that are held as Python objects at once.
-ROWS = 256
+ROWS = 2048
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
