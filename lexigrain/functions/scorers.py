@@ -246,14 +246,79 @@ def hypergeometric(k, n, r, m) -> Column:
     return F.exp(log_choose(r, k) + log_choose(_d(m) - _d(r), _d(n) - _d(k)) - log_choose(m, n))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spread(n, r, m) -> Column:
+    """Variance of the number of marked items among n drawn."""
+    return _d(n) * _d(r) / _d(m) * (1.0 - _d(r) / _d(m)) * (_d(m) - _d(n)) / F.greatest(_d(m) - 1.0, F.lit(1.0))
+
+
+def _run(k, n, r, m, up, depth, extra=0.0, most=None) -> Column:
+    """Sum of P(x) / P(k) from k on, away from the mode (``up``: to greater x), by the ratio of neighbours.
+
+    It runs to the end of the support, or until all that is left is below 1e-16 exp(-depth) of P(mode).  The count is a sum of
+    independent trials, so Bernstein's inequality bounds the rest; P(mode) is 0.75 / (4 sd + 1) at least.  A k on the other side of
+    the mode has its distance in ``extra``.  Terms above ``most`` are passed over.
+    """
+    given = F.struct(*(_d(v).alias(name) for name, v in {"k": k, "n": n, "r": r, "m": m, "v": _spread(n, r, m), "depth": depth, "extra": extra, "most": 1e308 if most is None else most}.items()), up.alias("up"))
+
+    def total(g: Column) -> Column:
+        level = 36.9 + F.log((4.0 * F.sqrt(g["v"]) + 1.0) / 0.75) + g["depth"]
+        reach = level / 3.0 + F.sqrt(level * level / 9.0 + 2.0 * level * g["v"]) + g["extra"] + 3.0
+        room = F.when(g["up"], F.least(g["n"], g["r"]) - g["k"]).otherwise(g["k"] - F.greatest(F.lit(0.0), g["n"] + g["r"] - g["m"]))
+        steps = F.ceil(F.least(reach, room)).cast("long")
+
+        def ratio_at(i: Column) -> Column:
+            x, y = g["k"] + i, g["k"] - i
+            upward = (g["r"] - x) * (g["n"] - x) / ((x + 1.0) * (g["m"] - g["r"] - g["n"] + x + 1.0))
+            downward = y * (g["m"] - g["r"] - g["n"] + y) / ((g["r"] - y + 1.0) * (g["n"] - y + 1.0))
+            return F.when(g["up"], upward).otherwise(downward)
+
+        def added(term: Column, so_far: Column) -> Column:
+            return F.struct(term.alias("t"), (so_far + F.when(term <= g["most"], term).otherwise(0.0)).alias("s"))
+
+        places = F.when(steps > 0, F.sequence(F.lit(0).cast("long"), steps - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(places, added(F.lit(1.0), F.lit(0.0)), lambda a, i: _bound(a["t"] * ratio_at(i), lambda t: added(t, a["s"])), lambda a: a["s"])
+
+    return _bound(given, total)
+
+
+def _log_hypergeometric(k, n, r, m) -> Column:
+    return log_choose(r, k) + log_choose(_d(m) - _d(r), _d(n) - _d(k)) - log_choose(m, n)
+
+
+def hypergeometric_tail(k, n, r, m, up) -> Column:
+    """P(X >= k) where ``up``, else P(X <= k), for a k on that side of the mean."""
+    return hypergeometric(k, n, r, m) * _run(k, n, r, m, up, 0.0)
+
+
 def fisher(n11, n12, n21, n22) -> Column:
-    """Struct (two_sided, left_side, right_side) of exact p-values of a 2 x 2 table."""
-    row, col, total = n11 + n12, n11 + n21, n11 + n12 + n21 + n22
-    low, high = F.greatest(F.lit(0), row + col - total), F.least(row, col)
-    p = lambda k: hypergeometric(k, row, col, total)
-    own = p(n11)
-    add = lambda cond: F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, k: s + F.when(cond(k), p(k)).otherwise(0.0))
-    cap = lambda v: F.least(F.lit(1.0), v)
-    return F.struct(
-        cap(add(lambda k: p(k) <= own * (1.0 + 1e-7))).alias("two_sided"), cap(add(lambda k: k <= n11)).alias("left_side"), cap(add(lambda k: k >= n11)).alias("right_side")
-    )
+    """Struct (two_sided, left_side, right_side) of exact p-values of a 2 x 2 table, for supports of any length."""
+    row, col, total = _d(n11 + n12), _d(n11 + n21), _d(n11 + n12 + n21 + n22)
+    up = _d(n11) * total >= row * col
+    # From there on inward, neighbours differ by more than the tolerance of equal probabilities.
+    tie = F.ceil(2e-7 * _spread(row, col, total)) + 1.0
+    mode = F.floor((row + 1.0) * (col + 1.0) / (total + 2.0))
+    first = F.when(up, F.least(mode + tie, _d(n11) - 1.0)).otherwise(F.greatest(mode - tie, _d(n11) + 1.0))
+    given = F.struct(
+        _d(n11).alias("k"), row.alias("row"), col.alias("col"), total.alias("total"), up.alias("up"), tie.alias("tie"), first.alias("first"),
+        ((first >= F.greatest(F.lit(0.0), row + col - total)) & (first <= F.least(row, col))).alias("two"), _log_hypergeometric(n11, row, col, total).alias("own"),
+    )
+
+    def probabilities(g: Column) -> Column:
+        at = (g["row"], g["col"], g["total"])
+        start = F.when(g["two"], _log_hypergeometric(g["first"], *at))
+        # Beyond exp(-745) a probability is zero.
+        other = _bound(start, lambda b: F.exp(b) * _run(g["first"], *at, ~g["up"], F.least(F.greatest(b - g["own"], F.lit(0.0)), F.lit(745.0)), g["tie"] + 1.0, F.exp(F.least(g["own"] - b, F.lit(700.0))) * (1.0 + 1e-7)))
+        return F.struct(g["up"].alias("up"), F.exp(g["own"]).alias("own"), (F.exp(g["own"]) * _run(g["k"], *at, g["up"], 0.0)).alias("near"), F.coalesce(other, F.lit(0.0)).alias("far"))
+
+    def sides(p: Column) -> Column:
+        cap = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+        back = 1.0 - p["near"] + p["own"]
+        left, right = F.when(p["up"], back).otherwise(p["near"]), F.when(p["up"], p["near"]).otherwise(back)
+        return F.struct(cap(p["near"] + p["far"]).alias("two_sided"), cap(left).alias("left_side"), cap(right).alias("right_side"))
+
+    return _bound(given, lambda g: _bound(probabilities(g), sides))

@@ -25,13 +25,13 @@ def focus_counts(corpus: Corpus, focus: Column) -> DataFrame:
     return corpus.counted(freq=inside("tf"), docs=inside("df"), field_freq=F.col("tf"), field_docs=F.col("df"))
 
 
-def _focus_total(corpus: Corpus, focus: Column) -> int:
+def focus_total(corpus: Corpus, focus: Column) -> int:
     return corpus.doc_stats.where(focus).agg(F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()[0]
 
 
 def keyness(corpus: Corpus, focus: Column, scorer: str = "g2", k: int = 50) -> DataFrame:
     """Top terms of the documents for which ``focus`` holds, against the rest: rank, term, docs, freq, field_docs, field_freq, score."""
-    inside, whole = _focus_total(corpus, focus), corpus.totals["n_tokens"]
+    inside, whole = focus_total(corpus, focus), corpus.totals["n_tokens"]
     counts = focus_counts(corpus, focus).where("freq > 0")
     score = scorers.KEYNESS[scorer](F.col("freq"), inside, F.col("field_freq") - F.col("freq"), whole - inside)
     scored = counts.withColumn("score", F.round(score, DIGITS))

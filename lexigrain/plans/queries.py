@@ -685,9 +685,12 @@ query("fisher_exact", sql(f"SELECT term, round(least(1, sum(p) FILTER (p <= own
 
 
 def fisher(s, d):
-    rows = freq.focus_counts(corpus(s, d), F.col("lang") == "fr").where("freq between 3 and 60 and field_freq - freq between 1 and 60")
+    """Every term of the focus against the true totals of focus and rest; the statement holds a band of frequencies and two fixed margins only."""
+    c = corpus(s, d)
+    inside, whole = freq.focus_total(c, F.col("lang") == "fr"), c.totals["n_tokens"]
+    rows = freq.focus_counts(c, F.col("lang") == "fr").where("freq > 0")
     a, b = F.col("freq"), F.col("field_freq") - F.col("freq")
-    f = scorers.fisher(a, b, F.lit(400) - a, F.lit(700) - b)
+    f = scorers.fisher(a, b, F.lit(inside) - a, F.lit(whole - inside) - b)
     return rows.select("term", f.alias("f")).select("term", *(F.round(F.col(f"f.{c}"), DIGITS).alias(c) for c in ("two_sided", "left_side", "right_side")))
 
 

@@ -13,6 +13,7 @@ from lexigrain.operators import concord, cooc, parts, rank, vectors
 from lexigrain.operators import frequency as fr
 from lexigrain.plans import spans as sp
 from lexigrain.plans.corpus import Corpus
+from lexigrain.plans.queries import QUERIES
 from lexigrain.sources import lexicon, word2vec, xml
 from lexigrain.streaming import append
 
@@ -74,6 +75,39 @@ def test_fisher_and_hypergeometric(spark):
     assert value(spark, sc.hypergeometric(F.lit(1), F.lit(2), F.lit(2), F.lit(4))) == pytest.approx(2 / 3)
 
 
+def exact_fisher(a, b, c, d):
+    row, col, total = a + b, a + c, a + b + c + d
+    ways = {k: math.comb(row, k) * math.comb(total - row, col - k) for k in range(max(0, row + col - total), min(row, col) + 1)}
+    whole = math.comb(total, col)
+    share = lambda keep: sum(w for k, w in ways.items() if keep(k, w)) / whole
+    return share(lambda k, w: w * 10**7 <= ways[a] * (10**7 + 1)), share(lambda k, w: k <= a), share(lambda k, w: k >= a)
+
+
+def test_fisher_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    tables = [(0, 0, 3, 4), (3, 0, 2, 0), (0, 4, 3, 0), (2, 0, 0, 3), (5, 5, 5, 5), (40, 2, 300, 900), (1, 700, 800, 900), (900, 300, 100, 2000), (600, 20, 15, 700), (500, 500, 500, 500), (501, 500, 500, 500), (0, 900, 40, 3000)]
+    tables += [tuple(int(x) for x in rng.integers(0, 12, 4)) for _ in range(60)] + [tuple(int(x) for x in rng.integers(0, 900, 4)) for _ in range(30)]
+    tables = [t for t in tables if sum(t)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(tables)], "i int, a long, b long, c long, d long")
+    for r in rows.select("i", sc.fisher(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("f")).collect():
+        assert (r.f.two_sided, r.f.left_side, r.f.right_side) == pytest.approx(exact_fisher(*tables[r.i]), rel=1e-7, abs=1e-11), tables[r.i]
+
+
+def test_fisher_query_tests_every_term_of_the_focus(spark, tmp_path):
+    texts = [(i, "le renard roux et la poule " * 20 + f"unique{chr(97 + i)}", "fr", "src1") for i in range(4)] + [(9 + i, "the fox and le hen " * 30, "en", "src2") for i in range(3)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    inside, field = Counter(), Counter()
+    for _, text, lang, _ in texts:
+        field.update(text.split())
+        if lang == "fr":
+            inside.update(text.split())
+    f, n = sum(inside.values()), sum(field.values())
+    want = {t: exact_fisher(a, field[t] - a, f - a, n - f - field[t] + a) for t, a in inside.items()}
+    got = {r.term: (r.two_sided, r.left_side, r.right_side) for r in QUERIES["fisher_exact"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[t] == pytest.approx(want[t], abs=1e-6) for t in want)
+
+
 def test_residual_of_a_zero_cell(spark):
     assert value(spark, sc.residual_deviance(0, 2)) == pytest.approx(-2) and value(spark, sc.residual_pearson(0, 4)) == -2
     assert value(spark, sc.residual_freeman_tukey(0, 2)) == pytest.approx(1 - 3)
