@@ -1,7 +1,7 @@
 """Vector and matrix operators: residual cells, cosine joins, distances, decompositions and maps.
 
 Cells stay long-form rows and meet by equi-joins.  Dense linear algebra runs on
-the driver, and only on matrices whose side is checked against ``DENSE`` first.
+the driver, on matrices over pairs of terms, whose side is checked against ``DENSE`` first.
 """
 
 from __future__ import annotations
@@ -116,41 +116,82 @@ def contrast_neighbours(cells: DataFrame, term: str, alpha: float = 1.0, k: int
     document, in the space of the documents' Gram matrix.  Term by term this is a few sums over shared documents.
     """
     norm = cells.groupBy("col").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    geometry = cells.join(norm, "col").select("row", "col", (F.col("w") / F.col("norm")).alias("g"))
-    weights = cells.join(cells.groupBy("row").agg(F.sum("w").alias("t")), "row").where("t <> 0").select("row", "col", (F.col("w") / F.col("t")).alias("v"))
-    cols = {r[0]: i for i, r in enumerate(geometry.select("col").distinct().orderBy("col").limit(DENSE + 1).collect())}
-    if len(cols) > DENSE:
-        raise ValueError(f"more than {DENSE} documents; select fewer")
-    x = geometry.select("col", "g", F.col("row").alias("k")).join(geometry.select(F.col("col").alias("c2"), F.col("g").alias("g2"), F.col("row").alias("k")), "k")
-    gram = np.zeros((len(cols), len(cols)))
-    for r in x.groupBy("col", "c2").agg(F.sum(F.col("g") * F.col("g2")).alias("x")).toLocalIterator():
-        gram[cols[r["col"]], cols[r["c2"]]] = r["x"]
-    rows: dict[str, np.ndarray] = {}
-    for r in weights.toLocalIterator():
-        if r["col"] in cols:
-            rows.setdefault(r["row"], np.zeros(len(cols)))[cols[r["col"]]] = r["v"]
-    names = sorted(rows)
-    w = np.array([rows[n] for n in names])
-    v = w @ gram - gram.mean(axis=1)[None, :] + alpha * w
-    length = np.linalg.norm(v, axis=1)
+    totals = cells.groupBy("row").agg(F.sum("w").alias("t"))
+    # g: entry of the unit document; v: weight of the document in the term's mean, 0 for a term without a mean.
+    both = cells.join(norm, "col").join(totals, "row").select("row", "col", (F.col("w") / F.col("norm")).alias("g"), F.when(F.col("t") != 0, F.col("w") / F.col("t")).otherwise(0.0).alias("v"))
+    every, (h, q, k_) = _pair_sums(both, [("g", "g"), ("v", "g"), ("v", "v")])
+    stats = {r["row"]: (r["g"], r["t"]) for r in both.groupBy("row").agg(F.sum("g").alias("g")).join(totals, "row").collect()}
+    docs = both.select("col").distinct().count()
+    used = [i for i, n in enumerate(every) if stats[n][1] != 0]
+    names = [every[i] for i in used]
+    p, weight = q[used], k_[np.ix_(used, used)]
+    # A term is (p - mean document) g + alpha v over the documents; products of two such rows need term pairs only.
+    away = p - np.array([stats[n][0] for n in every])[None, :] / max(docs, 1)
+    cross = away @ p.T
+    inner = away @ h @ away.T + alpha * (cross + cross.T) + alpha**2 * weight
+    length = np.sqrt(np.maximum(np.diag(inner), 0))
     own = names.index(term)
-    cos = v @ v[own] / np.where(length * length[own] > 0, length * length[own], np.nan)
+    size = length * length[own]
+    cos = inner[own] / np.where(size > 0, size, np.nan)
     order = [i for i in np.lexsort((names, -np.nan_to_num(cos, nan=-9.0))) if i != own and np.isfinite(cos[i])][:k]
     spark = cells.sparkSession
     return spark.createDataFrame([(names[i], round(float(cos[i]), DIGITS)) for i in order], "b string, cosine double")
 
 
-def dense(cells: DataFrame, value: str = "value") -> tuple[list, list, np.ndarray]:
-    """Row names, column names and the matrix of long-form cells, after a check of both sides."""
+def _pair_sums(cells: DataFrame, products: Sequence[tuple[str, str]]) -> tuple[list, list[np.ndarray]]:
+    """Row names and, for each product (x, y), the matrix over pairs of rows of the sums of x_a y_b over shared columns.
+
+    Columns stay distributed, each with the few rows it holds; only rows are checked against ``DENSE``.
+    """
     rows = sorted(r[0] for r in cells.select("row").distinct().limit(DENSE + 1).collect())
-    cols = sorted(r[0] for r in cells.select("col").distinct().limit(DENSE + 1).collect())
-    if max(len(rows), len(cols)) > DENSE:
-        raise ValueError(f"a side of the matrix has more than {DENSE} entries; select fewer")
-    at, to = {r: i for i, r in enumerate(rows)}, {c: i for i, c in enumerate(cols)}
-    out = np.zeros((len(rows), len(cols)))
-    for r in cells.select("row", "col", F.col(value).cast("double").alias("v")).toLocalIterator():
-        out[at[r["row"]], to[r["col"]]] = r["v"]
-    return rows, cols, out
+    if len(rows) > DENSE:
+        raise ValueError(f"the matrix has more than {DENSE} rows; select fewer")
+    values = sorted({v for p in products for v in p})
+    held = cells.groupBy("col").agg(F.collect_list(F.struct("row", *values)).alias("held"))
+    one = held.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b"))
+    sums = [F.sum(F.col(f"a.{x}") * F.col(f"b.{y}")).alias(f"s{i}") for i, (x, y) in enumerate(products)]
+    at = {r: i for i, r in enumerate(rows)}
+    out = [np.zeros((len(rows), len(rows))) for _ in products]
+    for r in one.groupBy(F.col("a.row").alias("ra"), F.col("b.row").alias("rb")).agg(*sums).toLocalIterator():
+        for i, m in enumerate(out):
+            m[at[r["ra"]], at[r["rb"]]] = r[f"s{i}"]
+    return rows, out
+
+
+def deviance_gram(cells: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """Row names, row totals and the products of the rows' deviance residuals of counts (row, col, n), zero cells included.
+
+    A zero cell is z = -sqrt(2 e), and every cell is z + s with s = 0 where the count is; see ``residual_cosine``.
+    """
+    counts = with_expectation(cells)
+    rows = counts.withColumn("z", -F.sqrt(2.0 * F.col("e"))).withColumn("s", scorers.residual_deviance(F.col("n"), F.col("e")) - F.col("z"))
+    names, (ss,) = _pair_sums(rows, [("s", "s")])
+    margins = {r["row"]: r for r in rows.groupBy("row").agg(F.sum("n").alias("rt"), F.sum(F.col("s") * F.col("z")).alias("sz")).collect()}
+    rt, sz = (np.array([float(margins[n][k]) for n in names]) for k in ("rt", "sz"))
+    root = np.sqrt(rt)
+    # sum z_a z_b = 2 root_a root_b;  sum s_a z_b = root_b / root_a sum s_a z_a.
+    mixed = (sz / root)[:, None] * root[None, :]
+    return names, rt, 2.0 * np.outer(root, root) + mixed + mixed.T + ss
+
+
+def decompose_gram(gram: np.ndarray, dims: int, power: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``decompose`` of a matrix given by the products of its rows."""
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1][:dims]
+    sigma = np.sqrt(np.maximum(values[order], 0))
+    return _signs_fixed(vectors[:, order]) * sigma**power, sigma, sigma**2 / (float(np.trace(gram)) or 1.0)
+
+
+def word_plane_gram(gram: np.ndarray, mass: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_plane`` of rows given by their products; an axis is turned by its greatest coordinate, as columns aren't at hand."""
+    m = np.asarray(mass, dtype=float) / np.sum(mass)
+    centre = np.eye(len(m)) - m[None, :]
+    root = np.sqrt(m)
+    values, axes = np.linalg.eigh(root[:, None] * (centre @ gram @ centre.T) * root[None, :])
+    order = np.argsort(values)[::-1][:2]
+    inertia_ = np.maximum(values[order], 1e-30)
+    coords = _signs_fixed(axes[:, order] / root[:, None] * np.sqrt(inertia_))
+    return coords, m[:, None] * coords**2 / inertia_, inertia_ / max(np.maximum(values, 0).sum(), 1e-30)
 
 
 def residual_matrix(counts: np.ndarray, kind: str = "deviance") -> np.ndarray:

@@ -617,35 +617,28 @@ for _k, _v in _lat.items():
 query("latent_contrast")(lambda s, d: vectors.contrast_neighbours(_bm(s, d), "the"))
 
 
-def _dev_matrix(s, d, most=60):
-    rows, cols, counts = vectors.dense(_cells(corpus(s, d), most), "n")
-    return rows, counts
+def _dev_gram(s, d, most=60):
+    return vectors.deviance_gram(_cells(corpus(s, d), most))
 
 
 @query("svd_embedding")
 def svd_embedding(spark, sf_dir):
-    rows, counts = _dev_matrix(spark, sf_dir)
-    return vectors.coordinates_frame(spark, rows, vectors.decompose(vectors.residual_matrix(counts), 8)[0])
+    rows, _, gram = _dev_gram(spark, sf_dir)
+    return vectors.coordinates_frame(spark, rows, vectors.decompose_gram(gram, 8)[0])
 
 
 @query("mds_layout")
 def mds_layout(spark, sf_dir):
-    rows, counts = _dev_matrix(spark, sf_dir)
-    x = vectors.residual_matrix(counts)
-    unit = x / np_norm(x)
-    return vectors.coordinates_frame(spark, rows, vectors.map_layout(unit @ unit.T)[0])
+    rows, _, gram = _dev_gram(spark, sf_dir)
+    size = gram.diagonal() ** 0.5
+    size[size == 0] = 1
+    return vectors.coordinates_frame(spark, rows, vectors.map_layout(gram / size[:, None] / size[None, :])[0])
 
 
 @query("word_plane")
 def word_plane(spark, sf_dir):
-    rows, counts = _dev_matrix(spark, sf_dir)
-    return vectors.coordinates_frame(spark, rows, vectors.word_plane(vectors.residual_matrix(counts), counts.sum(axis=1))[0])
-
-
-def np_norm(x):
-    n = (x**2).sum(axis=1, keepdims=True) ** 0.5
-    n[n == 0] = 1
-    return n
+    rows, mass, gram = _dev_gram(spark, sf_dir)
+    return vectors.coordinates_frame(spark, rows, vectors.word_plane_gram(gram, mass)[0])
 
 
 _qs = "vec_id IN (0, 7, 42)"

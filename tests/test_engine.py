@@ -332,6 +332,39 @@ def test_residual_cosines_equal_dense_ones(spark):
             assert got[f"t{i}"] == pytest.approx(m[0] @ m[i] / np.linalg.norm(m[0]) / np.linalg.norm(m[i]), abs=1e-5)
 
 
+def sparse_cells(spark, counts, value):
+    return spark.createDataFrame([(f"t{i}", int(j), float(counts[i, j])) for i, j in zip(*np.nonzero(counts), strict=True)], ["row", "col", value])
+
+
+@pytest.fixture
+def few_columns(monkeypatch):
+    """More columns than may come to the driver."""
+    monkeypatch.setattr(vectors, "DENSE", 8)
+
+
+def test_gram_equals_dense_matrix_of_any_number_of_columns(spark, few_columns):
+    counts = np.random.default_rng(3).poisson(0.8, (7, 40)).astype(float)
+    counts[:, 0] += 1
+    x = vectors.residual_matrix(counts[:, counts.sum(0) > 0])
+    names, mass, gram = vectors.deviance_gram(sparse_cells(spark, counts, "n"))
+    assert names == [f"t{i}" for i in range(7)] and np.allclose(gram, x @ x.T) and np.allclose(mass, counts.sum(1))
+    rows, sigma, share = vectors.decompose_gram(gram, 3)
+    assert all(np.allclose(a, b) for a, b in zip((rows, sigma, share), vectors.decompose(x, 3), strict=True))
+    for a, b in zip(vectors.word_plane_gram(gram, mass), vectors.word_plane(x, mass), strict=True):
+        assert np.allclose(np.abs(a), np.abs(b))
+
+
+def test_contrast_neighbours_of_any_number_of_columns(spark, few_columns):
+    w = np.random.default_rng(5).poisson(0.9, (7, 40)) * np.random.default_rng(6).random((7, 40))
+    w = w[:, np.linalg.norm(w, axis=0) > 0]
+    g = w / np.linalg.norm(w, axis=0)
+    gram, means = g.T @ g, w / w.sum(1, keepdims=True)
+    v = means @ gram - gram.mean(axis=1) + means
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {r.b: r.cosine for r in vectors.contrast_neighbours(sparse_cells(spark, w, "w"), "t0").collect()}
+    assert got == pytest.approx({f"t{i}": v[0] @ v[i] for i in range(1, 7)}, abs=2e-6)
+
+
 def test_decompositions_and_maps():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(12, 5))
