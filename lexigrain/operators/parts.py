@@ -145,14 +145,12 @@ def part_score(kind: str, totals: list[int], focus: int, focus_docs: int, least_
         top = F.greatest(*rates) if len(rates) > 1 else rates[0]
         return F.when(own >= least_freq, F.log2((own + a) / (size + a) / top))
     if kind == "specificity":
-        p = lambda k: scorers.hypergeometric(k, F.lit(size), n, F.lit(whole))
         up = own >= expected
-        first, last = F.when(up, own).otherwise(F.greatest(F.lit(0.0), n + size - whole)), F.when(up, F.least(n, F.lit(size))).otherwise(own)
-        # Terms fall off fast; like the recurrence, the sum stops where they no longer count.
-        first, last = F.when(up, first).otherwise(F.greatest(first, own - 400)), F.when(up, F.least(last, own + 400)).otherwise(last)
-        sum_p = F.aggregate(F.sequence(first.cast("long"), last.cast("long")), F.lit(0.0), lambda s, k: s + p(k))
+        # Summed until what is left no longer counts, however long the tail is.
+        good = own >= least_freq
+        sum_p = F.when(good, scorers.hypergeometric_tail(own, F.lit(size), n, F.lit(whole), up))
         body = -F.log10(F.greatest(F.least(sum_p, F.lit(1.0)), F.lit(1e-300)))
-        return F.when(own >= least_freq, F.when(up, body).otherwise(-body))
+        return F.when(good, F.when(up, body).otherwise(-body))
     raise ValueError(f"unknown part score {kind}")
 
 

@@ -220,6 +220,16 @@ def test_part_scores_of_one_row(spark):
     assert score("ll", least_part=5000) == [None, None]
 
 
+def test_specificity_sums_a_long_tail(spark):
+    """A focus of half the tokens: the observed count is the mean, and both tails are the same."""
+    half, n = 4_000_000, 2_000_000
+    row = spark.createDataFrame([([n // 2, n // 2], 5)], "tf array<long>, focus_docs long")
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    own = math.exp(2 * choose(half, n // 2) - choose(2 * half, n))
+    got = row.select(parts.part_score("specificity", [half, half], 1, 10)).first()[0]
+    assert got == pytest.approx(-math.log10(0.5 + own / 2), abs=1e-6)
+
+
 def tokens(spark, words):
     return spark.createDataFrame([(1, i, 1, w) for i, w in enumerate(words)], "doc_id long, seq int, pos_inc int, term string")
 
