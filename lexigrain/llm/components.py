@@ -27,6 +27,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another."""
+    up = edges.select(F.col("u").alias("id"), F.lit(1).alias("ups"), F.lit(0).alias("downs"))
+    ends = up.unionAll(edges.select(F.col("v").alias("id"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    return ends.groupBy("id").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).where("ups > 1 or ups > 0 and downs > 0").isEmpty()
+
+
 def component_roots(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
     """(node, root) for every node of an edge; root is the least id of its component and has no row itself.
 
@@ -34,12 +41,9 @@ def component_roots(edges: DataFrame, work: Workspace, name: str = "cc") -> Data
     """
     a, b = edges.columns[:2]
     now = work.write(_ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), f"{name}-0")
-    mark, step = None, 0
-    while True:
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row[0] == 0 or tuple(row) == mark:
-            break
-        mark, step = tuple(row), step + 1
+    step = 0
+    while not _settled(now):
+        step += 1
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = work.write(_ordered(_relinked(both, F.col("v") > F.col("u"))), f"{name}-{step}-large")
         small = _relinked(large, F.lit(True)).unionAll(
