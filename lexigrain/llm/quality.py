@@ -7,16 +7,16 @@ lower case (runs of letters and digits), their beginnings, and its style, that i
 part of the text each shape of token and repeated words are.  The model gives every document an expected grade and the probability of
 reaching a grade, which decides the selection.
 
-The labelled rows for the fit are a sample of at most ``SAMPLE`` documents, the
-first in the order of a hash of their id; everything else (features, scores,
-selection) covers all rows.  Only feature numbers and counts of the sample
-come to the driver.
+The labelled rows for the fit are a sample of at most ``SAMPLE`` documents with
+``SAMPLE_FEATURES`` feature numbers together, the first in the order of a hash
+of their id; everything else (features, scores, selection) covers all rows.
+Only grades and feature numbers of the sample come to the driver.
 
 Defined results: null, empty and blank texts have no features and get the
 model's intercept; labels without a document, with a null or with two grades
 for one id aren't fitted; with fewer than two grades to fit, every document
 gets the one grade there is (0 without any) and is kept; other columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread
 from .textkit import hash_words, mix64, slices, text_chunks, tidied, word_bounds
 
 BITS = 20
 #: The most labelled documents that are fitted.
 SAMPLE = 12_000
+#: The most feature numbers of these together (4 bytes each).
+SAMPLE_FEATURES = 50_000_000
 #: Bytes of a longer word that are a feature of their own.
 STEMS = (4, 5)
 EPOCHS, BATCH, RATE, CUT_RATE, PENALTY, BALANCE = 12, 32, 2.0, 0.3, 2.0, 0.3
@@ -64,7 +67,8 @@ def features(texts: list[str | None]) -> Iterator[np.ndarray]:
         words = hash_words(small, starts, ends)
         stems = [np.where(ends - starts > n, hash_words(small, starts, np.minimum(starts + n, ends)) ^ np.uint64(n), words) for n in STEMS]
         spots, stops = word_bounds(data)
-        kinds = np.bitwise_or.reduceat(_KIND[data], spots) if len(spots) else np.empty(0, np.uint8)
+        # Every other range is a token, those between are the blanks; the text's last byte is a blank.
+        kinds = np.bitwise_or.reduceat(_KIND[data], np.column_stack([spots, stops]).ravel())[::2] if len(spots) else np.empty(0, np.uint8)
         # The token's kinds of characters, and whether it starts and ends in a mark.
         shapes = kinds.astype(np.int64) << 2 | (_KIND[data[spots]] == _MARK).astype(np.int64) << 1 | (_KIND[data[stops - 1]] == _MARK)
         limits = np.cumsum([len(t) + 1 for t in part])
@@ -133,19 +137,28 @@ def fit(rows: list[np.ndarray], grades: list[int]) -> OrdinalModel:
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole)):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i in features(batch.column(1).to_pylist())], pa.list_(pa.int32()))], names=["grade", "ids"])
+        ids = pa.array([i.astype(np.int32) for i in features(batch.column(2).to_pylist())], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["place", "grade", "ids"])
 
 
 def train(docs: DataFrame, labels: DataFrame, grade, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit the column expression ``grade`` of ``labels`` on the documents of the same id."""
-    rated = labels.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("id is not null and grade is not null")
-    rated = rated.groupBy("id").agg(F.min("grade").alias("grade"), F.max("grade").alias("top")).where("grade = top").drop("top")
-    picked = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
+    rated = labels.select(F.col(id_col).alias("rated_id"), grade.cast("int").alias("grade")).where("rated_id is not null and grade is not null")
+    rated = rated.groupBy("rated_id").agg(F.min("grade").alias("grade"), F.max("grade").alias("top")).where("grade = top").drop("top")
+    picked = rated.withColumn("place", F.xxhash64("rated_id")).orderBy("place", "rated_id").limit(sample)
     # At most ``sample`` ids and grades: proven small.
-    known = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("grade", F.col("id"), F.col(text_col).alias("text"))
-    rows = known.select("grade", "text").mapInArrow(tidied(_features_of), "grade int, ids array<int>")
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
+    known = texts.join(F.broadcast(picked), F.col("own_id") == F.col("rated_id")).select("place", "grade", "own_text")
+    rows = spread(known).mapInArrow(tidied(_features_of), "place long, grade int, ids array<int>").orderBy("place", "grade", "ids")
+    got, held = [], 0
+    for r in rows.toLocalIterator():
+        ids = np.asarray(r["ids"], np.int32)
+        held += len(ids)
+        if got and held > SAMPLE_FEATURES:
+            break
+        got.append((r["grade"], ids))
     # Sorted, so that the fit doesn't hang on the order in which tasks end.
-    got = sorted(((r[0], np.asarray(r[1], np.int32)) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    got.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return fit([i for _, i in got], [g for g, _ in got])
 
 
@@ -181,7 +194,7 @@ def score(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probabil
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
+    return spread(docs.select(id_col, text_col)).mapInArrow(tidied(run), f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
 
 
 def accepted(docs: DataFrame, model: OrdinalModel, least_grade: int, least_probability: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +207,7 @@ def accepted(docs: DataFrame, model: OrdinalModel, least_grade: int, least_proba
         for batch in (part for whole in batches for part in slices(whole)):
             yield batch.filter(pa.array(decide(batch.column(at).to_pylist())[2], pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return spread(docs).mapInArrow(tidied(run), docs.schema)
 
 
 def rating():
