@@ -29,7 +29,7 @@ def best(rows, is_query, k):
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k_is_exact(spark, monkeypatch, small):
     if small:
-        for name, value in {"SHARD": 40, "TILE": 3, "SLICE": 7, "FAN": 3}.items():
+        for name, value in {"SHARD_BYTES": 40 * 6 * 8, "TILE": 3, "SLICE": 7, "FAN": 3}.items():
             monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(300)]
@@ -49,8 +49,17 @@ def test_top_k_of_few_repeated_and_no_rows(spark):
 def test_large_products():
     a = np.array([[1 << 30, 1]], dtype=np.int64)
     assert topk._product(a, a).tolist() == [[(1 << 60) + 1]]
-    with pytest.raises(OverflowError):
-        topk._product(a * 8, a * 8)
+    assert topk._product(a * 8, a * 8).tolist() == [[(1 << 63) - 1]] and topk._product(a * 8, a * -8).tolist() == [[-(1 << 63)]]
+    rng = np.random.default_rng(4)
+    q, r = (rng.integers(-9, 9, (40, 5)) * np.where(rng.random((40, 1)) < 0.2, 1 << 40, 1) for _ in range(2))
+    exact = [[max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(a, b)))) for b in r] for a in q]
+    assert topk._product(q, r).tolist() == exact
+
+
+def test_huge_components_tie_at_the_ends(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).collect()]
+    assert got == [(1, 1, (1 << 63) - 1), (2, 3, (1 << 63) - 1), (3, 2, -(1 << 63))]
 
 
 PAGES = "page_id long, url string, html string"
