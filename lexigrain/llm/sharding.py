@@ -9,9 +9,13 @@ Shards at the top tier are never rewritten, so a row is copied once a tier.
 
 What a dataset holds is said by its newest manifest alone: a Parquet table of
 the live shards, published under the next version number by one rename that
-fails if that number exists.  A writer that loses the race, or dies, leaves
-files that no manifest names; readers keep the version they opened.  Retired
-shards stay until ``vacuum`` removes what the kept versions don't name.
+fails if that number exists.  An append that loses the race adds its shards to
+the winner's manifest and tries again; a merge that loses it is given up.  A
+writer that dies leaves files that no manifest names; readers keep the version
+they opened.  Retired shards stay until ``vacuum`` removes what the kept
+versions don't name.  Files that no manifest has ever named may belong to a
+writer that is still at work, so ``vacuum`` leaves them until they are older
+than ``GRACE_HOURS``.
 
 Only DataFrame operations and file-system renames run; rows aren't dealt by any
 key, so no key can be hot.
@@ -23,14 +27,20 @@ dataset reads as no rows of the given schema; appends of another schema fail.
 
 from __future__ import annotations
 
+import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES, FANOUT, TIERS = 512 << 20, 4, 4
+#: The longest that a writer may take from its first file to its commit.
+GRACE_HOURS = 24.0
+#: How often an append tries to commit.
+TRIES = 100
 _MANIFEST = "path string, bytes long, n_rows long, run string"
 
 
@@ -84,7 +94,11 @@ class ShardedDataset:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(self.path).toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        context.rename(jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{version:010d}"), none)
+        try:
+            context.rename(jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{version:010d}"), none)
+        except Py4JJavaError:
+            self._fs(staged)[0].delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+            raise
 
     def _shards(self, run: str) -> DataFrame:
         """What a finished run wrote: sizes from the file system's listing, counts from the files' footers."""
@@ -102,25 +116,33 @@ class ShardedDataset:
 
     def append(self, arrivals: DataFrame) -> int:
         """Write the arrivals as small shards and commit them; returns the version."""
-        known = self.versions()
         run = self._write(arrivals)
-        version = known[-1] + 1 if known else 1
-        self._publish(self.manifest().unionByName(self._shards(run)), version)
-        return version
+        for left in range(TRIES, 0, -1):
+            known = self.versions()
+            base = known[-1] if known else 0
+            try:
+                self._publish(self.manifest(base or None).unionByName(self._shards(run)), base + 1)
+            except Py4JJavaError as e:
+                # Another writer has this number: its shards and ours both count.
+                if left == 1 or "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+            else:
+                return base + 1
+        raise AssertionError
 
-    def _tiered(self) -> DataFrame:
+    def _tiered(self, version: int | None = None) -> DataFrame:
         """The manifest with each shard's tier: 0 the smallest, ``tiers`` done."""
         full = self.target_bytes / 2
         steps = F.floor(F.log(F.lit(full) / F.greatest(F.col("bytes"), F.lit(1))) / F.log(F.lit(float(self.fanout)))) + 1
         tier = F.when(F.col("bytes") >= full, F.lit(self.tiers)).otherwise(F.greatest(F.lit(0), F.lit(self.tiers) - steps))
-        return self.manifest().withColumn("tier", tier.cast("int"))
+        return self.manifest(version).withColumn("tier", tier.cast("int"))
 
     def compact(self) -> int | None:
         """Merge the lowest tier that is full, with the tiers below it; returns the new version, or None if none is."""
         known = self.versions()
         if not known:
             return None
-        tiered = self._tiered()
+        tiered = self._tiered(known[-1])
         due = tiered.where(F.col("tier") < self.tiers).groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).agg(F.min("tier")).first()[0]
         if due is None:
             return None
@@ -148,14 +170,37 @@ class ShardedDataset:
             return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
         return self.spark.read.parquet(*paths)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete runs that the newest ``keep`` manifests don't name, and older manifests; returns the number of runs deleted."""
+    def vacuum(self, keep: int = 1, grace_hours: float = GRACE_HOURS) -> int:
+        """Delete what the newest ``keep`` manifests don't name; returns the number of runs deleted.
+
+        Runs named by an older manifest were committed, so they are retired and go at once, with that manifest.
+        Runs and staged manifests that no manifest names go when they are older than ``grace_hours``.
+        """
         known = self.versions()
-        live = {r["run"] for v in known[-keep:] for r in self.manifest(v).select("run").distinct().toLocalIterator()}
+        # A few names per run, not per row: the driver has to delete each of them anyway.
+        named = {v: {r["run"] for r in self.manifest(v).select("run").distinct().toLocalIterator()} for v in known}
+        live = set().union(*(named[v] for v in known[-keep:]))
+        retired = set().union(*(named[v] for v in known[:-keep])) - live
+        stale = 1000 * (time.time() - 3600 * grace_hours)
         fs, where = self._fs(f"{self.path}/shards")
-        gone = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName() not in live] if fs.exists(where) else []
-        for p in gone:
-            fs.delete(p, True)
+        gone = 0
+        for f in fs.listStatus(where) if fs.exists(where) else []:
+            run = f.getPath().getName()
+            # The newest file counts, as a folder's own time stands still while its files grow.
+            if run in retired or (run not in live and self._newest(fs, f) < stale):
+                fs.delete(f.getPath(), True)
+                gone += 1
         for v in known[:-keep]:
             fs.delete(self._fs(f"{self.path}/manifests/{v:010d}")[1], True)
-        return len(gone)
+        fs, where = self._fs(f"{self.path}/manifests")
+        for f in fs.listStatus(where) if fs.exists(where) else []:
+            if f.getPath().getName().startswith(".") and f.isDirectory() and self._newest(fs, f) < stale:
+                fs.delete(f.getPath(), True)
+        return gone
+
+    def _newest(self, fs, status) -> int:
+        """The time in milliseconds at which anything below was last written."""
+        newest, files = status.getModificationTime(), fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            newest = max(newest, files.next().getModificationTime())
+        return newest
