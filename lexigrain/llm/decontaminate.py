@@ -19,9 +19,10 @@ sketch and sets are found by equi-joins.
 Defined results: words and sets as for near-duplicates (A-Z lowered, blanks and
 09-0D as borders); null, empty and blank texts contain nothing and are in
 nothing; an item of fewer than five words is one shingle and so is found only
-as a document's whole text; rows that repeat an id count as one document or
-item with each of its texts tried; null ids take no part; other columns are
-ignored.
+as a document's whole text, not within a longer one; rows that repeat an id
+count as one document or item with each of its texts tried, and report the text
+with the greatest share (of these the larger set); null ids take no part; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, spread
 from .textkit import shingle_sets, tidied
 
 #: 16 MB of item shingles.
@@ -138,11 +139,12 @@ def contaminated(
     if total <= broadcast_hashes:
         known = sorted((r[0], r[1]) for r in sets.select("item_id", "hashes").collect())
         index = spark.sparkContext.broadcast(_search_here([(i, np.array(h, dtype=np.int64).view(np.uint64)) for i, h in known], percent))
-        found = texts.mapInArrow(tidied(_scan(index, percent)), _FOUND)
+        found = spread(texts).mapInArrow(tidied(_scan(index, percent)), _FOUND)
     else:
         found = _joined(work, texts, sets, percent)
     # An id that comes with several texts is reported with the most that one of them holds.
-    return found.groupBy("doc_id", "item_id").agg(F.max_by("n_common", F.col("n_common") / F.col("n_item")).alias("n_common"), F.max_by("n_item", F.col("n_common") / F.col("n_item")).alias("n_item"))
+    best = F.max(F.struct((F.col("n_common") / F.col("n_item")).alias("share"), "n_item", "n_common")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_common", "best.n_item")
 
 
 def _joined(work: Workspace, texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,5 +167,8 @@ def _joined(work: Workspace, texts: DataFrame, sets: DataFrame, percent: int) ->
 def clean(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of documents that contain no item."""
     found = contaminated(docs, items, percent, id_col=id_col, text_col=text_col)
-    bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    bad = found.select(F.col("doc_id").alias("bad_id")).distinct()
+    # The table's own columns travel as one struct, so that no name of theirs can clash with ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    kept = rows.join(bad.hint("shuffle_hash"), F.col("own_id") == F.col("bad_id"), "left_anti")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
