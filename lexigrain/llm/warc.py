@@ -18,7 +18,8 @@ Reading checks the digest after each chunk.  Records of one row are read in
 place; only the rows of oversized ones are dealt by record and put in order.
 
 Defined results: null html is an empty payload; a null url is written as
-``urn:page:<id>``; rows that repeat an id with other html are separate records;
+``urn:page:<id>``; a url is written as it is, but for line breaks, which are
+percent-encoded and make a further header keep the exact url; rows that repeat an id with other html are separate records;
 a row with a null id is a record too and the first choice of no group; other
 columns are ignored.
 """
@@ -58,12 +59,8 @@ def _urn(page_id: int | None) -> str:
 
 
 def _line(value: str) -> str:
-    """A header value in one line; %, CR and LF are percent-encoded."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _unline(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    """A url in one line: CR and LF are percent-encoded, all else is left alone."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def _header(page_id: int | None, url: str | None, kind: str, refers_to: int | None, length: int, sha1: str) -> bytes:
@@ -77,6 +74,8 @@ def _header(page_id: int | None, url: str | None, kind: str, refers_to: int | No
     ]
     if kind == "revisit":
         lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Payload-Length: {length}"]
+    if url is not None and (_line(url) != url or url != url.strip(" ")):
+        lines.append(f"X-Exact-Target: {base64.b64encode(url.encode()).decode()}")
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if kind == 'revisit' else length}"]
     return "\r\n".join(lines).encode() + _END
 
@@ -171,7 +170,8 @@ class _Reader:
         if h["WARC-Type"] == "response" and sha1 != self.state.hexdigest():
             raise ValueError(f"{self.record_id}: the payload doesn't have its digest")
         size = int(h.get("X-Payload-Length", h["Content-Length"]))
-        return number(h["WARC-Record-ID"]), h["WARC-Type"], number(h.get("WARC-Refers-To")), _unline(h["WARC-Target-URI"]), size, sha1
+        url = base64.b64decode(h["X-Exact-Target"]).decode() if "X-Exact-Target" in h else h["WARC-Target-URI"]
+        return number(h["WARC-Record-ID"]), h["WARC-Type"], number(h.get("WARC-Refers-To")), url, size, sha1
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
