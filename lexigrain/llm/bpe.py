@@ -16,7 +16,8 @@ vocabulary's own pattern; both follow the tokenizers library exactly.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text; ids outside the vocabulary decode to nothing; invalid byte sequences
-decode to U+FFFD; other columns pass through untouched.
+decode to U+FFFD; other columns pass through untouched, but a column that has the name
+of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import spread
 from .textkit import slices, tidied
 
 #: Bytes of text whose distinct words share one trie.
@@ -208,14 +210,15 @@ def _with_columns(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Arr
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*names, *new])
 
 
-def _clash(df: DataFrame, *names: str) -> None:
-    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"the input already has {sorted(taken)}; choose another name")
+def _without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names, in whatever case."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """Adds ``ids_col`` (array<int>), the ids of the whole text, and with ``check_col`` whether they decode to it again."""
-    _clash(df, ids_col, *([check_col] if check_col else []))
+    df = _without(df, ids_col, *([check_col] if check_col else []))
     columns = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
     if check_col:
@@ -236,12 +239,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
             yield _with_columns(batch, columns, new)
         bpe.forget()
 
-    return df.mapInArrow(tidied(run), schema)
+    return spread(df).mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col``, the text that the ids stand for, special tokens included; null ids give the empty text."""
-    _clash(df, text_col)
+    df = _without(df, text_col)
     columns = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
 
@@ -253,7 +256,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
             texts = [bpe.decode(x.drop_null().to_numpy(zero_copy_only=False).tolist()) for x in rows]
             yield _with_columns(batch, columns, {text_col: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(tidied(run), schema)
+    return spread(df).mapInArrow(tidied(run), schema)
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,4 +279,4 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col)).mapInArrow(tidied(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(df.select(id_col, F.col(text_col))).mapInArrow(tidied(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

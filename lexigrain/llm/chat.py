@@ -16,7 +16,7 @@ conversation is put together once, in turn order.  A conversation is one
 string by definition, so it has to fit a task, whatever else is dealt out.
 
 Defined results: null texts, roles and contents are empty; turns that tie are
-ordered by role and content; a null turn comes first; rows with a null
+ordered by role and then by content as it reads, placeholders included; a null turn comes first; rows with a null
 conversation id are one conversation; a part of another type is laid out as a
 document; a missing token count is 1; other columns are ignored.
 """
@@ -61,12 +61,15 @@ def format_turns(turns: DataFrame, learned: str = "assistant", id_col: str = "co
     role = F.coalesce(F.col(role_col), F.lit(""))
     parts = F.filter(F.coalesce(F.col(parts_col).cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull())
     base = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), parts.alias("parts"))
+    # Dealt out before anything is laid out, so that the content travels once.
+    base = base.repartition("conv_id")
+    plain = F.array_join(F.transform("parts", lambda p: F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(placeholder(p["type"]))), "")
     flat = F.transform("parts", lambda p: F.when(_is_text(p), escaped(p["text"])).otherwise(placeholder(p["type"])))
     head = F.concat(F.lit(START), escaped(F.col("role")), F.lit(SEP))
     laid = base.withColumn("pieces", flat).select(
-        "conv_id", "turn", "role", "parts", "pieces", F.concat(head, F.array_join("pieces", ""), F.lit(END)).alias("line"), F.length(head).alias("head")
+        "conv_id", "turn", "role", "parts", "pieces", plain.alias("plain"), F.concat(head, F.array_join("pieces", ""), F.lit(END)).alias("line"), F.length(head).alias("head")
     )
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "line")
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "plain", "line")
     laid = laid.withColumn("pos", F.row_number().over(order)).withColumn("start", F.sum(F.length("line").cast("long")).over(order) - F.length("line"))
     # Where each piece of a turn lies; few pieces make a turn, so summing anew for each is cheap.
     lies = F.transform(
