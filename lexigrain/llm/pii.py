@@ -7,25 +7,30 @@ of the gaps between them, as running sums of a window; positions count code
 points.  The patterns are written with possessive repetition and a look behind
 at their start, which finds the same matches in time linear in the text.
 
-The method then asks which ordinary terms reveal a protected value.  A term
-(a word of four letters or more) within ``CONTEXT`` characters of a base span,
-in its line, is in the value's context.  With N documents, n(e) of them holding
-the value e, n(t) the term t, and n(e,t) the term in the value's context,
+The method then asks which ordinary terms reveal a protected value.  The words
+of two letters or more within ``CONTEXT`` characters of a base span, on any line
+of the text, are the value's context there; a word that the context's far edge
+may cut is left out.  With N documents, n(e) of them holding the value e, n(t)
+the term t, and n(e,t) the term in a context of e,
 
     PMI(e;t) = log2(N n(e,t) / (n(e) n(t)))   and   IC(e) = -log2(n(e) / N);
 
 PMI / IC is the share of the value's information that the term discloses, 1
-when the term occurs with no other value.  Terms with a share of ``DISCLOSURE``
-or more, seen in two different contexts at least, become spans of kind
-``term`` in that value's contexts.  Counts are grouped sums over all documents.
-``sanitised`` replaces base spans by their kind and generalises such terms.
+when the term occurs with no other value.  A pair with a share of ``DISCLOSURE``
+or more that two different contexts at least bear out is disclosing, and every
+occurrence of its term in a document that holds its value becomes a span of kind
+``term``.  Counts are grouped sums over all documents.  A disclosing term is in
+at most (N / n(e))^(1 - DISCLOSURE) times as many documents as it is near its
+value, which bounds the rows that look for its occurrences.  ``sanitised``
+replaces base spans by their kind and generalises such terms.
 
-Only SQL functions run.  Texts aren't shuffled for finding spans.
+Only SQL functions run.  Texts aren't shuffled for finding spans, as long as the
+disclosing pairs are proven few enough to be broadcast.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id
 each get their own text's spans; null ids are kept; terms that touch a base
 span are left to it; of overlapping spans ``sanitised`` replaces the union;
-other columns pass through ``sanitised`` untouched.
+other columns pass through ``sanitised`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, spread
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 KINDS = {
@@ -46,8 +51,12 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"\p{L}[\p{L}\p{N}_]{3,}+"
-CONTEXT, DISCLOSURE = 80, 0.8
+TERM = r"\p{L}[\p{L}\p{N}_]++"
+#: Characters on each side of a span, and the matches at most that can lie in so many (three characters each at least).
+CONTEXT, PIECES = 120, 40
+DISCLOSURE = 0.8
+#: Rows of small tables (ids, terms) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 _KEY = ["doc_id", "text_hash"]
 
 
@@ -86,8 +95,20 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is proven to have few rows, to be built into hash tables by partition otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``end`` to rows (.., i, value, gap length n): where the i-th match ends, as a running sum over gaps and matches."""
+    # Rows that repeat a document wholly would count their lengths twice.
+    order = Window.partitionBy(*by).orderBy("i")
+    return rows.withColumn("end", F.sum(F.col("n").cast("long") + F.coalesce(F.length("value"), F.lit(0))).over(order))
+
+
 def _matches(docs: DataFrame) -> DataFrame:
-    """Valid base spans: key, kind, value, start, end, and the line's text before and after within ``CONTEXT``."""
+    """Valid base spans: key, kind, value, start, end, and the text before and after within ``CONTEXT``."""
     for kind, pattern in KINDS.items():
         hit = F.col("text").contains(_HINT[kind]) if _HINT[kind] else F.lit(True)
         docs = docs.withColumn(f"m_{kind}", F.when(hit, _found(F.col("text"), pattern)))
@@ -103,53 +124,40 @@ def _matches(docs: DataFrame) -> DataFrame:
         )
     )
     kinds = docs.select(*_KEY, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k"))
-    edge = lambda g, pattern: F.regexp_extract(g, pattern, 0)
-    gaps = F.transform(
-        "k.gaps",
-        lambda g: F.struct(F.length(g).alias("length"), edge(F.right(g, F.lit(CONTEXT)), r"[^\n]*+$").alias("before"), edge(F.left(g, F.lit(CONTEXT)), r"^[^\n]*+").alias("after")),
-    )
+    most = F.lit(CONTEXT)
+    gaps = F.transform("k.gaps", lambda g: F.struct(F.length(g).alias("n"), F.right(g, most).alias("tail"), F.left(g, most).alias("head")))
     rows = kinds.select(*_KEY, F.col("k.kind").alias("kind"), F.posexplode(F.arrays_zip(F.col("k.values").alias("value"), gaps.alias("gap"))).alias("i", "m"))
     rows = rows.select(*_KEY, "kind", "i", F.col("m.value").alias("value"), F.col("m.gap").alias("gap"))
-    # Rows that repeat a document wholly would count their lengths twice.
     rows = rows.groupBy(*_KEY, "kind", "i").agg(F.first("value").alias("value"), F.first("gap").alias("gap"))
+    rows = _placed(rows.select(*_KEY, "kind", "i", "value", "gap.n", "gap.tail", "gap.head"), [*_KEY, "kind"])
+    # Pieces of the text, a gap and the match after it, or the match before it: enough of them on each side make a context.
+    value = F.coalesce("value", F.lit(""))
+    before, after = F.right(F.concat("tail", F.right(value, most)), most), F.left(F.concat("head", F.left(value, most)), most)
     order = Window.partitionBy(*_KEY, "kind").orderBy("i")
-    end = F.sum(F.col("gap.length").cast("long") + F.coalesce(F.length("value"), F.lit(0))).over(order)
-    rows = rows.withColumn("end", end).withColumn("next", F.lead("gap").over(order)).where("value is not null")
-    rows = rows.select(*_KEY, "kind", "value", (F.col("end") - F.length("value")).alias("start"), "end", F.col("gap.before").alias("before"), F.col("next.after").alias("after"))
+    earlier = F.collect_list(before).over(order.rowsBetween(-PIECES, -1))
+    later = F.collect_list(after).over(order.rowsBetween(1, PIECES))
+    rows = rows.withColumn("left", F.right(F.concat(F.array_join(earlier, ""), F.col("tail")), most)).withColumn("right", F.left(F.array_join(later, ""), most))
+    rows = rows.where("value is not null").select(*_KEY, "kind", "value", (F.col("end") - F.length("value")).alias("start"), "end", "left", "right")
     return rows.where(_valid(F.col("kind"), F.col("value")))
 
 
 def _context_terms(base: DataFrame) -> DataFrame:
-    """Terms of the spans' contexts: key, entity, context, term, start, end."""
-    before = F.struct(F.col("before").alias("words"), (F.col("start") - F.length("before")).alias("offset"))
-    after = F.struct(F.col("after").alias("words"), F.col("end").alias("offset"))
-    entity = F.concat_ws(":", "kind", F.lower("value"))
-    sides = base.select(*_KEY, entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(F.array(before, after)).alias("s"))
-    sides = sides.withColumn("found", _found(F.col("s.words"), TERM)).where(F.size("found") > 0)
-    gaps = F.transform(F.split("s.words", TERM, -1), lambda g: F.length(g))
-    # A context is bounded, so its few terms are placed within the row.
-    ends = F.aggregate(
-        F.arrays_zip(F.col("found").alias("w"), F.slice(gaps, F.lit(1), F.size("found")).alias("g")),
-        F.array().cast("array<struct<w:string,end:int>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(x["w"].alias("w"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"] + F.length(x["w"])).alias("end")))),
-    )
-    rows = sides.select(*_KEY, "entity", "context", F.col("s.offset").alias("offset"), F.explode(ends).alias("t"))
-    end = F.col("offset") + F.col("t.end")
-    # A word cut by the context's edge isn't a term of the text; edges lie CONTEXT characters off.
-    return rows.select(*_KEY, "entity", "context", F.lower("t.w").alias("term"), (end - F.length("t.w")).alias("start"), end.alias("end"))
-
+    """Terms of the spans' contexts: key, entity, context, term."""
+    # A word that begins at the edge of a context that doesn't begin its text may be cut off.
+    left = F.when(F.col("start") > CONTEXT, F.regexp_replace("left", r"^[\p{L}\p{N}_]++", "")).otherwise(F.col("left"))
+    right = F.when(F.length("right") == CONTEXT, F.regexp_replace("right", r"[\p{L}\p{N}_]++$", "")).otherwise(F.col("right"))
+    words = F.array_distinct(_found(F.lower(F.concat(left, F.lit("\n"), right)), TERM))
+    context = F.xxhash64("left", "right")
+    return base.select(*_KEY, F.concat_ws(":", "kind", F.lower("value")).alias("entity"), context.alias("context"), F.explode(words).alias("term"))
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, text_hash, spans): for texts with any, their spans as sorted (place, start, end, kind)."""
-    work = Workspace(docs.sparkSession, "personal-data")
-    keyed = _keyed(docs, id_col, text_col)
-    base = work.write(_matches(keyed), "base")
-    terms = work.write(_context_terms(base), "terms")
 
+def _revealing(base: DataFrame, keyed: DataFrame, work: Workspace, disclosure: float) -> DataFrame:
+    """(entity, term) pairs of which the term discloses enough of the entity."""
     n = F.lit(keyed.count())
     held = base.select(*_KEY, F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     together = (
-        terms.groupBy(*_KEY, "entity", "term")
+        _context_terms(base)
+        .groupBy(*_KEY, "entity", "term")
         .agg(F.min("context").alias("low"), F.max("context").alias("high"))
         .groupBy("entity", "term")
         .agg(F.count("*").alias("n_et"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -161,20 +169,53 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", discl
     counted = keyed.select(F.explode(F.array_distinct(_found(F.lower("text"), TERM))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     ic = -F.log2(F.col("n_e") / n)
     pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    revealing = together.join(held, "entity").join(counted, "term").where((ic > 0) & (pmi >= F.lit(disclosure) * ic)).select("entity", "term")
+    found = together.join(held, "entity").join(counted, "term").where((ic > 0) & (pmi >= F.lit(disclosure) * ic)).select("entity", "term")
+    return work.write(found, "revealing")
+
+
+def _term_spans(base: DataFrame, keyed: DataFrame, revealing: DataFrame, work: Workspace) -> DataFrame:
+    """key, start, end of every occurrence of a disclosing term in the documents that hold its entity."""
+    holders = base.select(*_KEY, F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
+    known = revealing.select(F.col("term").alias("known"), "entity")
+    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = keyed if small else keyed.join(holders.select(*(F.col(c).alias(f"h_{c}") for c in _KEY)).distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("h_doc_id")) & (F.col("text_hash") == F.col("h_text_hash")), "left_semi")
+    words = texts.select(*_KEY, F.explode(F.array_distinct(_found(F.lower("text"), TERM))).alias("term"))
+    met = words.join(F.broadcast(known) if small else known, F.col("term") == F.col("known")).select(*_KEY, "term", "entity")
+    same = F.col("doc_id").eqNullSafe(F.col("h_doc_id")) & (F.col("text_hash") == F.col("h_text_hash")) & (F.col("entity") == F.col("h_entity"))
+    owners = holders.select(*(F.col(c).alias(f"h_{c}") for c in [*_KEY, "entity"]))
+    wanted = met.join(owners, same, "left_semi").groupBy(*_KEY).agg(F.collect_set("term").alias("terms"))
+    wanted = work.write(wanted, "wanted").select(F.col("doc_id").alias("h_doc_id"), F.col("text_hash").alias("h_text_hash"), "terms")
+    rows = keyed.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("h_doc_id")) & (F.col("text_hash") == F.col("h_text_hash"))).select(*_KEY, "text", "terms")
+    gaps = F.transform(F.split("text", TERM, -1), lambda g: F.length(g))
+    rows = rows.select(*_KEY, "terms", F.posexplode(F.arrays_zip(_found(F.col("text"), TERM).alias("value"), gaps.alias("n"))).alias("i", "m"))
+    rows = rows.select(*_KEY, "i", F.col("m.value").alias("value"), F.col("m.n").alias("n"), F.array_contains("terms", F.lower("m.value")).alias("reveals"))
+    rows = rows.groupBy(*_KEY, "i").agg(F.first("value").alias("value"), F.first("n").alias("n"), F.first("reveals").alias("reveals"))
+    return _placed(rows, _KEY).where("reveals").select(*_KEY, (F.col("end") - F.length("value")).alias("start"), "end")
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+    """(doc_id, text_hash, spans): for texts with any, their spans as sorted (place, start, end, kind)."""
+    work = Workspace(docs.sparkSession, "personal-data")
+    keyed = spread(_keyed(docs, id_col, text_col))
+    base = work.write(_matches(keyed), "base")
+    terms = _term_spans(base, keyed, _revealing(base, keyed, work, disclosure), work)
 
     place = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).otherwise(3)
-    one = base.select(*_KEY, F.struct(place.alias("place"), "start", "end", "kind").alias("s"))
-    two = terms.join(revealing, ["entity", "term"]).select(*_KEY, F.struct(F.lit(4).alias("place"), "start", "end", F.lit("term").alias("kind")).alias("s"))
-    both = one.unionAll(two).groupBy(*_KEY).agg(F.sort_array(F.collect_set("s")).alias("s"))
-    own = both.withColumn("base", F.filter("s", lambda x: x["place"] < 4))
-    kept = F.filter("s", lambda x: (x["place"] < 4) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return own.select(*_KEY, kept.alias("spans"))
+    one = base.select(*_KEY, place.alias("place"), "start", "end", "kind")
+    two = terms.select(*_KEY, F.lit(4).alias("place"), "start", "end", F.lit("term").alias("kind"))
+    order = Window.partitionBy(*_KEY).orderBy("start", "place")
+    own = lambda c: F.when(F.col("place") < 4, F.col(c))
+    reached = F.max(own("end")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.min(own("start")).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = one.unionAll(two).withColumn("reached", reached).withColumn("ahead", ahead)
+    touches = (F.coalesce("reached", F.lit(-1)) > F.col("start")) | (F.coalesce(F.col("ahead") < F.col("end"), F.lit(False)))
+    kept = rows.where((F.col("place") < 4) | ~touches)
+    return kept.groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("place", "start", "end", "kind"))).alias("spans"))
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").drop("__id", "__hash")
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "spans")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")), "left").drop("f_id", "f_hash")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,12 +235,13 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     work = Workspace(docs.sparkSession, "personal-data-spans")
     found = work.write(spans(docs, id_col, text_col), "spans")
     columns = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "spans")
+    # The table's own columns travel as one struct, so that no name of theirs can clash with ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
     # The spans are the small side: built into a hash table, with the texts streamed past it.
-    rows = docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    rows = rows.join(found.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("f_id")) & (F.col("own_hash") == F.col("f_hash")), "left")
     kind = "array<struct<start:bigint,end:bigint,kind:string>>"
-    by_start = F.sort_array(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    by_start = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
     merged = F.aggregate(
         by_start,
@@ -212,18 +254,10 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    rows = rows.withColumn("__merged", F.when(F.size("__spans") > 0, merged))
-    piece = F.transform(
-        "__merged",
-        lambda x, i: F.concat(
-            F.substr(
-                F.col(text_col),
-                (F.when(i > 0, F.get("__merged", i - 1)["end"]).otherwise(F.lit(0)) + 1).cast("int"),
-                (x["start"] - F.when(i > 0, F.get("__merged", i - 1)["end"]).otherwise(F.lit(0))).cast("int"),
-            ),
-            F.lit("["), F.upper(x["kind"]), F.lit("]"),
-        ),
-    )
-    rest = F.substr(F.col(text_col), (last(F.col("__merged"))["end"] + 1).cast("int"))
-    clean = F.when(F.col("__merged").isNotNull(), F.concat(F.array_join(piece, ""), rest)).otherwise(F.col(text_col))
-    return rows.withColumn("__clean", clean).select(*(F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
+    text = F.col(f"row.`{text_col}`")
+    rows = rows.select("row", F.when(F.size("spans") > 0, merged).alias("merged"))
+    since = lambda i: F.when(i > 0, F.get("merged", i - 1)["end"]).otherwise(F.lit(0))
+    piece = F.transform("merged", lambda x, i: F.concat(F.substr(text, (since(i) + 1).cast("int"), (x["start"] - since(i)).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    rest = F.substr(text, (last(F.col("merged"))["end"] + 1).cast("int"))
+    clean = F.when(F.col("merged").isNotNull(), F.concat(F.array_join(piece, ""), rest)).otherwise(text)
+    return rows.select(*((clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in columns))
