@@ -237,6 +237,20 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(shift)
 
 
+def gamma(x: Column) -> Column:
+    """Gamma of x > 0."""
+    return F.exp(log_gamma(x))
+
+
+def incomplete_gamma(a: Column, x: Column, steps: int = 400) -> Column:
+    """The regularised lower incomplete gamma function P(a, x), for a > 0 and x >= 0, by its power series; NULL where ``steps`` terms don't suffice."""
+    a, x = _d(a), _d(x)
+    empty = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    sums = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), empty, lambda acc, i: _bound(acc["t"] * x / (a + i), lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s"))))
+    value = _bound(sums, lambda r: F.when(r["t"] <= r["s"] * 1e-15, F.least(F.lit(1.0), F.exp(a * F.log(x) - x - log_gamma(a + 1.0)) * r["s"])))
+    return F.when(x <= 0, 0.0).otherwise(value)
+
+
 def log_choose(n: Column, k: Column) -> Column:
     return log_gamma(_d(n) + 1.0) - log_gamma(_d(k) + 1.0) - log_gamma(_d(n) - _d(k) + 1.0)
 

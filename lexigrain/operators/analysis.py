@@ -62,8 +62,10 @@ def is_word(term: Column) -> Column:
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line, term: each line that isn't empty is one token."""
-    return df.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line", "term")).where("term <> ''")
+    """doc_id, line, term, start_off, end_off: each line that isn't empty is one token; offsets count code points."""
+    rows = df.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line", "term"))
+    end = F.sum(F.length("term") + 1).over(Window.partitionBy("doc_id").orderBy("line")) - 1
+    return rows.withColumn("end_off", end).where("term <> ''").select("doc_id", "line", "term", (F.col("end_off") - F.length("term")).alias("start_off"), "end_off")
 
 
 def _ordered():
@@ -78,7 +80,7 @@ def stop(tokens: DataFrame, words: Sequence[str]) -> DataFrame:
     gap = F.sum(F.when(F.col("out"), F.col("pos_inc")).otherwise(0)).over(_ordered())
     kept = marked.withColumn("gap", gap).where(~F.col("out"))
     before = F.coalesce(F.lag("gap").over(_ordered()), F.lit(0))
-    return kept.withColumn("pos_inc", (F.col("pos_inc") + F.col("gap") - before).cast("int")).select("doc_id", "seq", "pos_inc", "term")
+    return kept.withColumn("pos_inc", (F.col("pos_inc") + F.col("gap") - before).cast("int")).select(*tokens.columns)
 
 
 def replaced(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -114,60 +116,122 @@ def initials_joined(tokens: DataFrame) -> DataFrame:
     return marked.withColumn("eaten", eaten).where(~F.col("eaten")).select("doc_id", "seq", "pos_inc", F.when(F.col("head"), F.concat_ws(". ", "term", "name")).otherwise(F.col("term")).alias("term"))
 
 
+def _first(lexicon: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The first entry of each key: by ``ord`` where the lexicon has it, else the least value."""
+    order = F.min_by(value, F.struct("ord", value)) if "ord" in lexicon.columns else F.min(value)
+    return lexicon.groupBy(*keys).agg(order.alias(value))
+
+
 def lemmas(tokens: DataFrame, lexicon: DataFrame, proper: Sequence[str] = ()) -> DataFrame:
-    """Adds lemma from (form, lemma), keeping the first entry of a form; unknown capitalised words are tried in lower case, which then replaces the term."""
-    one = lexicon.groupBy("form").agg(F.min("lemma").alias("lemma"))
-    exact = one.select(F.col("form").alias("f1"), F.col("lemma").alias("l1"))
-    low = one.select(F.col("form").alias("f2"), F.col("lemma").alias("l2"))
-    retry = F.col("term").rlike(f"^[{UPPER}](?:[^{UPPER}]|$)") & ~F.col("term").isin(list(proper))
-    rows = tokens.join(exact, F.col("term") == F.col("f1"), "left").join(low, retry & (F.lower("term") == F.col("f2")), "left")
-    term = F.when(F.col("l1").isNull() & F.col("l2").isNotNull(), F.col("f2")).otherwise(F.col("term"))
-    return rows.select("doc_id", "seq", "pos_inc", term.alias("term"), F.coalesce("l1", "l2").alias("lemma"))
+    """Adds lemma from (form, lemma), with the columns tag and ord where there are some.
+
+    With a tag in both tables the entry of form and tag comes first, then the form's first entry, in ``ord`` (the least
+    lemma without it).  A word that the lexicon lacks is tried in lower case, which then replaces the term, unless it is
+    listed as proper or its second letter is a capital.
+    """
+    tagged = "tag" in tokens.columns and "tag" in lexicon.columns
+    keep = [c for c in ("tag",) if c in tokens.columns]
+    known = _first(lexicon, ["form"], "lemma")
+    exact = known.select(F.col("form").alias("f1"), F.col("lemma").alias("l1"))
+    low = known.select(F.col("form").alias("f2"), F.col("lemma").alias("l2"))
+    retry = ~F.col("term").rlike(f"^.[{UPPER}]") & ~F.col("term").isin(list(proper))
+    rows = tokens.join(exact, F.col("term") == F.col("f1"), "left").join(low, F.col("f1").isNull() & retry & (F.lower("term") == F.col("f2")), "left")
+    rows = rows.withColumn("term", F.coalesce("f1", "f2", "term")).withColumn("lemma", F.coalesce("l1", "l2"))
+    if tagged:
+        both = _first(lexicon.where("tag is not null"), ["form", "tag"], "lemma").select(F.col("form").alias("f3"), F.col("tag").alias("t3"), F.col("lemma").alias("l3"))
+        rows = rows.join(both, (F.col("term") == F.col("f3")) & (F.col("tag") == F.col("t3")), "left").withColumn("lemma", F.coalesce("l3", "lemma"))
+    return rows.select("doc_id", "seq", "pos_inc", "term", *keep, "lemma")
 
 
 def expressions(tokens: DataFrame, entries: Sequence[str]) -> DataFrame:
-    """Longest listed multi-word expressions, left to right without overlap: one token each.
+    """Longest listed multi-word expressions, left to right without overlap: one token each, with its canonical form.
 
-    The candidates are found by window functions; overlaps are resolved per document where some are found.
+    Where tokens have a lemma, an expression is met by forms or by lemmas; of equal length the one by forms goes first.
+    Candidates are found by window functions.  Those that overlap form runs, which are resolved by a fold over the
+    run's few candidates, so that no document is gathered as a whole.
     """
-    words = {}
+    words: dict[int, set[str]] = {}
     for e in entries:
-        words.setdefault(len(e.split()), set()).add(e.lower())
-    longest = max(words, default=1)
+        words.setdefault(len(e.split()), set()).add(" ".join(e.split()).lower())
+    sizes = sorted((n for n in words if n > 1), reverse=True)
+    lemma = "lemma" in tokens.columns
+    plain = [c for c in ("doc_id", "seq", "pos_inc", "term", "tag") if c in tokens.columns]
+    if not sizes:
+        return tokens.select(*plain)
     o = _ordered()
-    grown = tokens.select("*", *(F.concat_ws(" ", F.lower("term"), *(F.lower(F.lead("term", j).over(o)) for j in range(1, n))).alias(f"g{n}") for n in range(2, longest + 1)))
-    size = F.coalesce(*(F.when(F.col(f"g{n}").isin(sorted(words[n])), F.lit(n)) for n in sorted((n for n in words if n > 1), reverse=True)), F.lit(1))
-    grown = grown.withColumn("n", size).withColumn("whole", F.coalesce(*(F.when(F.col("n") == n, F.col(f"g{n}")) for n in range(2, longest + 1)), F.col("term")))
-    grown = grown.select("doc_id", "seq", "pos_inc", "term", "n", "whole")
-    with_one = grown.where("n > 1").select("doc_id").distinct()
-    plain = grown.join(with_one, "doc_id", "left_anti").select("doc_id", "seq", "pos_inc", "term")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out, skip = [], 0
-        for row in pdf.itertuples(index=False):
-            if skip:
-                skip -= 1
-                continue
-            out.append((row.doc_id, row.seq, row.pos_inc, row.whole if row.n > 1 else row.term))
-            skip = row.n - 1
-        return pd.DataFrame(out, columns=["doc_id", "seq", "pos_inc", "term"])
-
-    merged = grown.join(with_one, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(greedy, "doc_id long, seq int, pos_inc int, term string")
-    return plain.unionByName(merged)
+
+    def grown(col: Column, n: int) -> Column:
+        return F.concat_ws(" ", col, *(F.lead(col, j).over(o) for j in range(1, n)))
+
+    form, root = F.lower("term"), (F.lower(F.coalesce("lemma", "term")) if lemma else None)
+    numbered = tokens.select(*plain, F.row_number().over(o).alias("at"), *(grown(form, n).alias(f"g{n}") for n in sizes), *(grown(root, n).alias(f"r{n}") for n in sizes if lemma))
+    listed = [(n, c) for n in sizes for c in ([f"g{n}", f"r{n}"] if lemma else [f"g{n}"])]
+    size = F.coalesce(*(F.when(F.col(c).isin(sorted(words[n])), F.lit(n)) for n, c in listed))
+    whole = F.coalesce(*(F.when(F.col(c).isin(sorted(words[n])), F.col(c)) for n, c in listed))
+    numbered = numbered.select(*plain, "at", size.alias("n"), whole.alias("whole"))
+    # Runs of candidates that overlap: a candidate that starts behind the end of all before it opens one.
+    heads = numbered.where("n is not null").select("doc_id", "at", "n", "whole")
+    by = Window.partitionBy("doc_id").orderBy("at")
+    reach = F.max(F.col("at") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.withColumn("opens", F.when(F.col("at") < reach, 0).otherwise(1)).withColumn("run", F.sum("opens").over(by))
+    runs = heads.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("at", "n", "whole"))).alias("c"))
+    empty = F.struct(F.lit(0).alias("next"), F.filter("c", lambda x: F.lit(False)).alias("taken"))
+    take = lambda s, x: F.when(x["at"] >= s["next"], F.struct((x["at"] + x["n"]).alias("next"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s)
+    taken = runs.select("doc_id", F.explode(F.aggregate("c", empty, take)["taken"]).alias("x"))
+    covered = taken.select("doc_id", F.explode(F.sequence("x.at", F.col("x.at") + F.col("x.n") - 1)).alias("at"), F.col("x.at").alias("head"), F.col("x.whole").alias("canonical"))
+    rows = numbered.select(*plain, "at").join(covered, ["doc_id", "at"], "left").where("head is null or head = at")
+    return rows.select(*(F.coalesce("canonical", "term").alias("term") if c == "term" else F.col(c) for c in plain))
+
+
+#: Tags of one-letter words that are words.
+SHORT = ("ADP", "AUX", "PRON", "VERB")
 
 
 def cleaned(tokens: DataFrame) -> DataFrame:
     """Final positions: tags and single characters vanish without a hole, punctuation and malformed words leave one.
 
-    Returns doc_id, pos, term.
+    With a tag, words of one letter stay if they are of ``SHORT``.  With a lemma, it replaces the term of a word with
+    good edges before its letters are looked at.  Returns doc_id, pos, term.
     """
     term = F.col("term")
-    skipped = term.rlike("^<") | (F.length(term) == 1) & is_word(term) | term.rlike("^..$") & term.rlike("['’.]$") | term.rlike(f"^[{UPPER}{LOWER}]+[0-9]+$")
-    accepted = is_word(term) & ~term.rlike("^[-']|[-'.]$")
-    rows = tokens.withColumn("skipped", skipped).withColumn("accepted", accepted)
+    short = F.col("tag").isin(*SHORT) if "tag" in tokens.columns else F.lit(False)
+    skipped = term.rlike("^<") | ((F.length(term) == 1) & is_word(term) & ~F.coalesce(short, F.lit(False))) | term.rlike("^..$") & term.rlike("['’.]$") | term.rlike(f"^[{UPPER}{LOWER}]+[0-9]+$")
+    edges = ~term.rlike("^[-'0-9]|[-'.0-9]$") & term.rlike(f"[{UPPER}{LOWER}]")
+    lemma = F.col("lemma") if "lemma" in tokens.columns else F.lit(None).cast("string")
+    shaped = term.rlike(f"^{WORD}(?: {WORD})*$")
+    accepted = F.coalesce(edges & lemma.isNotNull(), F.lit(False)) | (shaped & ~term.rlike("^[-']|[-'.]$"))
+    rows = tokens.withColumn("skipped", skipped).withColumn("accepted", accepted).withColumn("shown", F.coalesce(lemma, term))
     place = F.sum(F.when(F.col("skipped"), 0).otherwise(F.col("pos_inc"))).over(_ordered()) - 1
-    return rows.withColumn("pos", place.cast("int")).where(~F.col("skipped") & F.col("accepted")).select("doc_id", "pos", "term")
+    return rows.withColumn("pos", place.cast("int")).where(~F.col("skipped") & F.col("accepted")).select("doc_id", "pos", F.col("shown").alias("term"))
+
+
+def canonic(stopwords: Sequence[str] = (), lexicon: DataFrame | None = None, entries: Sequence[str] = (), replacements: DataFrame | None = None, proper: Sequence[str] = (), split: bool = True):
+    """The analysis chain, as a function from documents (doc_id, text) to positioned tokens (doc_id, pos, term).
+
+    Markup tokens, clitics cut off, replacements, lemmas, expressions, stop words out with their gap, final positions;
+    stages without their dictionary are left out.
+    """
+
+    def chain(docs: DataFrame) -> DataFrame:
+        rows = markup(docs)
+        if split:
+            pieces = clitics(rows)
+            # A split word takes one place for each of its pieces.
+            order = Window.partitionBy("doc_id").orderBy("seq", "piece")
+            rows = pieces.withColumn("seq", F.row_number().over(order) - 1).select("doc_id", "seq", F.lit(1).alias("pos_inc"), "term")
+        if replacements is not None:
+            rows = replaced(rows, replacements)
+        if lexicon is not None:
+            rows = lemmas(rows, lexicon, proper)
+        if entries:
+            merged = expressions(rows, entries)
+            # An expression has no lemma, the others keep theirs.
+            rows = merged.join(rows.select("doc_id", "seq", F.col("term").alias("alone"), "lemma"), ["doc_id", "seq"], "left").withColumn("lemma", F.when(F.col("alone") == F.col("term"), F.col("lemma"))).drop("alone") if lexicon is not None else merged
+        if stopwords:
+            rows = stop(rows, stopwords)
+        return cleaned(rows)
+
+    return chain
 
 
 def ocr_garbage(term: Column) -> Column:
@@ -187,14 +251,51 @@ def boundaries(tokens: DataFrame, sections: Sequence[str] = ("section", "article
     return words.unionByName(marks.select("doc_id", "seq", F.when(F.col("k") == 2, "§").otherwise("¶").alias("term")))
 
 
+def _zone_matches(tag: Column, expr: Sequence[str]) -> Column:
+    """Whether an opening tag fits one of the atoms: a local element name, ``@attr`` or ``@attr="value"``."""
+    names, tests = [], [F.lit(False)]
+    for atom in expr:
+        atom = atom.strip()
+        if not atom.startswith("@"):
+            names.append(atom.rpartition(":")[2].lower())
+            continue
+        m = re.fullmatch(r"@([^\s=]+)(?:\s*=\s*(['\"])(.*?)\2)?", atom)
+        if not m:
+            raise ValueError(f"bad attribute test {atom!r}")
+        name, value = re.escape(m[1].rpartition(":")[2]), m[3]
+        attribute = rf"\s(?:[^\s=<>:]+:)?{name}"
+        tests.append(tag.rlike(rf"{attribute}(?=[\s=/>])" if value is None else rf"{attribute}\s*=\s*(?:\"{re.escape(value)}\"|'{re.escape(value)}')"))
+    local = F.lower(F.regexp_extract(tag, "^<(?:[A-Za-z0-9_.-]+:)?([A-Za-z0-9_.-]+)", 1))
+    hit = local.isin(names) if names else F.lit(False)
+    for t in tests:
+        hit = hit | t
+    return hit
+
+
 def zone(tokens: DataFrame, elements: Sequence[str], include: bool) -> DataFrame:
-    """Tokens inside (or outside) elements of the given names; depth is a running sum over the tags."""
-    name = F.lower(F.regexp_extract("term", "^</?([A-Za-z0-9]+)", 1))
-    tag = F.col("term").rlike("^<")
-    step = F.when(tag & name.isin([e.lower() for e in elements]) & ~F.col("term").rlike("/>$"), F.when(F.col("term").rlike("^</"), -1).otherwise(1)).otherwise(0)
-    depth = F.sum(step).over(_ordered())
-    rows = tokens.withColumn("depth", depth).where(~tag)
-    return rows.where(F.col("depth") > 0 if include else F.col("depth") <= 0).select("doc_id", "seq", "pos_inc", "term")
+    """Tokens inside (or outside) the elements that fit one of the atoms: names, ``@attr`` or ``@attr="value"``.
+
+    By names alone, depth is a running sum over the tags.  With attributes a closing tag doesn't say what its element
+    had, so it is matched with its opening tag first: the last one at the same depth of the element tree.
+    """
+    tag = F.col("term").rlike("^</?[A-Za-z]")
+    markup_ = F.col("term").rlike("^<")
+    closing, single = F.col("term").rlike("^</"), F.col("term").rlike("/>$")
+    if not any(e.strip().startswith("@") for e in elements):
+        name = F.lower(F.regexp_extract("term", "^</?([A-Za-z0-9]+)", 1))
+        step = F.when(markup_ & name.isin([e.lower() for e in elements]) & ~single, F.when(closing, -1).otherwise(1)).otherwise(0)
+        rows = tokens.withColumn("depth", F.sum(step).over(_ordered()))
+    else:
+        o = _ordered()
+        step = F.when(tag & ~single, F.when(closing, -1).otherwise(1)).otherwise(0)
+        rows = tokens.withColumn("step", step).withColumn("level", F.sum("step").over(o))
+        # An opening tag and its closing tag meet at the same level: the opening one's own.
+        rows = rows.withColumn("own", F.when(F.col("step") > 0, F.col("level")).when(F.col("step") < 0, F.col("level") + 1))
+        opened = F.when(F.col("step") > 0, F.when(_zone_matches(F.col("term"), elements), 1).otherwise(0))
+        same = Window.partitionBy("doc_id", "own").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("opened", opened).withColumn("back", F.when(F.col("step") < 0, -F.coalesce(F.last("opened", True).over(same), F.lit(0))))
+        rows = rows.withColumn("depth", F.sum(F.coalesce("opened", "back", F.lit(0))).over(o))
+    return rows.where(~markup_ & (F.col("depth") > 0 if include else F.col("depth") <= 0)).select("doc_id", "seq", "pos_inc", "term")
 
 
 def split_clitics(word: str) -> list[str]:

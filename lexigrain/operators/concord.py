@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions import scorers
-from lexigrain.plans.corpus import Corpus
+from lexigrain.plans.corpus import LETTERS, Corpus, words_of
 
+from .analysis import detagged
 from .rank import DIGITS, top_per_group
 
 
@@ -73,26 +74,49 @@ def page_by_document(spans: DataFrame, after: int, n: int) -> DataFrame:
     return spans.where(F.col("doc_id") > after).groupBy("doc_id").agg(F.count("*").alias("spans")).orderBy("doc_id").limit(n)
 
 
-def keyword_in_context(corpus: Corpus, spans: DataFrame, chars: int = 40) -> DataFrame:
-    """doc_id, start, left, pivot, right: up to ``chars`` characters of lower-cased text on each side."""
+def _shown(text: Column) -> Column:
+    """The text as it is, or in lower case in the rare case that this has another length, as places count in that."""
+    return F.when(F.length(F.lower(text)) == F.length(text), text).otherwise(F.lower(text))
+
+
+def keyword_in_context(corpus: Corpus, spans: DataFrame, chars: int = 40, detag: bool = False) -> DataFrame:
+    """doc_id, start, left, pivot, right: up to ``chars`` characters of the text on each side, without its tags if ``detag``."""
     corpus = corpus.having(spans)
     offsets = corpus.with_offsets()
     first = offsets.select("doc_id", F.col("pos").alias("start"), F.col("start_off").alias("a"))
     last = offsets.select("doc_id", (F.col("pos") + 1).alias("end"), F.col("end_off").alias("b"))
-    rows = spans.join(first, ["doc_id", "start"]).join(last, ["doc_id", "end"]).join(corpus.documents.select("doc_id", F.lower("text").alias("t")), "doc_id")
+    rows = spans.join(first, ["doc_id", "start"]).join(last, ["doc_id", "end"]).join(corpus.documents.select("doc_id", _shown(F.col("text")).alias("t")), "doc_id")
     begin = F.greatest(F.col("a") - chars, F.lit(0))
+    plain = detagged if detag else (lambda c: c)
     cut = lambda at, n: F.substr("t", (at + 1).cast("int"), n.cast("int"))
-    return rows.select("doc_id", "start", cut(begin, F.col("a") - begin).alias("left"), cut(F.col("a"), F.col("b") - F.col("a")).alias("pivot"), cut(F.col("b"), F.lit(chars)).alias("right"))
+    return rows.select("doc_id", "start", plain(cut(begin, F.col("a") - begin)).alias("left"), cut(F.col("a"), F.col("b") - F.col("a")).alias("pivot"), plain(cut(F.col("b"), F.lit(chars))).alias("right"))
 
 
-def highlighted(corpus: Corpus, spans: DataFrame, mark: str = "mark") -> DataFrame:
-    """doc_id, html: the lower-cased text with every matched token in tags."""
+def highlighted(corpus: Corpus, spans: DataFrame, mark: str = "mark", snippets: DataFrame | None = None) -> DataFrame:
+    """doc_id, html: the text with every matched token in tags and, with ``snippets``, each of these in a ``span`` numbered by its order."""
     spots = spans.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct().withColumn("hit", F.lit(True))
-    gaps = F.transform(F.split(F.lower("text"), "[a-zà-öø-ÿœ]+", -1), lambda g: g)
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-öø-ÿœ]+"), F.lit(0))
-    pieces = corpus.having(spans).documents.select("doc_id", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("term"))).alias("pos", "t"))
-    pieces = pieces.join(spots, ["doc_id", "pos"], "left")
-    term = F.coalesce("t.term", F.lit(""))
-    piece = F.concat(F.coalesce("t.gap", F.lit("")), F.when(F.col("hit"), F.concat(F.lit(f"<{mark}>"), term, F.lit(f"</{mark}>"))).otherwise(term))
-    whole = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("p"))
-    return whole.select("doc_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("html"))
+    documents = corpus.having(spans).documents
+    gaps = F.transform(F.split(F.lower("text"), LETTERS, -1), lambda g: F.length(g))
+    pieces = documents.select("doc_id", _shown(F.col("text")).alias("t"), F.posexplode(F.arrays_zip(gaps.alias("gap"), words_of(F.col("text")).alias("term"))).alias("pos", "x"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    ends = F.sum((F.col("x.gap") + F.coalesce(F.length("x.term"), F.lit(0))).cast("long")).over(order)
+    # The places are found without the text, which comes back once a document.
+    places = pieces.select("doc_id", "pos", F.col("x.gap").alias("gap"), F.coalesce(F.length("x.term"), F.lit(0)).alias("n"), ends.alias("end"))
+    places = places.join(spots, ["doc_id", "pos"], "left")
+    if snippets is not None:
+        opens = snippets.select("doc_id", F.col("start").alias("pos"), F.concat(F.lit('<span id="'), F.lit("s"), F.col("snip").cast("string"), F.lit('">')).alias("opens"))
+        closes = snippets.select("doc_id", (F.col("end") - 1).alias("pos"), F.lit("</span>").alias("closes"))
+        places = places.join(opens, ["doc_id", "pos"], "left").join(closes, ["doc_id", "pos"], "left")
+    else:
+        places = places.withColumn("opens", F.lit(None).cast("string")).withColumn("closes", F.lit(None).cast("string"))
+    whole = places.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "gap", "n", "end", "hit", "opens", "closes"))).alias("p"))
+    rows = whole.join(documents.select("doc_id", _shown(F.col("text")).alias("t")), "doc_id")
+    text = lambda at, n: F.substr("t", (at + 1).cast("int"), n.cast("int"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+
+    def piece(x: Column) -> Column:
+        word = text(x["end"] - x["n"], x["n"])
+        marked = F.when(x["hit"], F.concat(F.lit(f"<{mark}>"), word, F.lit(f"</{mark}>"))).otherwise(word)
+        return F.concat(text(x["end"] - x["n"] - x["gap"], x["gap"]), blank(x["opens"]), marked, blank(x["closes"]))
+
+    return rows.select("doc_id", F.array_join(F.transform("p", piece), "").alias("html"))

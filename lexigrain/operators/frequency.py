@@ -6,19 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions import scorers
-from lexigrain.plans.corpus import Corpus
+from lexigrain.plans.corpus import Corpus, folded_text
 
 from .rank import DIGITS, top
 
-_ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
-
-
-def folded(term: Column) -> Column:
-    """A term without accents, ligatures spelled out."""
-    spelled = F.regexp_replace(F.regexp_replace(F.regexp_replace(term, "œ", "oe"), "æ", "ae"), "ß", "ss")
-    return F.translate(spelled, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
-
-
 def focus_counts(corpus: Corpus, focus: Column) -> DataFrame:
     """term, freq and docs in the focus, field_freq and field_docs in the corpus, in one pass and one exchange."""
     inside = lambda c: F.when(F.coalesce(focus, F.lit(False)), F.col(c)).otherwise(0)
@@ -146,13 +137,31 @@ def series_statistics(df: DataFrame, value: str) -> DataFrame:
     return stats.join(F.broadcast(mode), F.lit(True), "left")
 
 
+def series_deciles(df: DataFrame, value: str) -> DataFrame:
+    """One row, d1 to d9: the deciles, each a value of the series."""
+    deciles = df.agg(F.expr(f"percentile_disc(array({', '.join(str(i / 10) for i in range(1, 10))})) within group (order by {value})").alias("d"))
+    return deciles.select(*(F.get("d", F.lit(i)).cast("long").alias(f"d{i + 1}") for i in range(9)))
+
+
+def typed_text(typed: str) -> str:
+    """What was typed in the form that terms are compared in."""
+    return folded_text(typed.lower()).strip(' ()"_*?')
+
+
 def suggest(corpus: Corpus, typed: str, k: int = 20, focus: Column | None = None) -> DataFrame:
-    """Terms that begin with (under three letters) or hold what was typed, without regard to accents."""
-    wanted = typed.lower().translate(_ACCENTS).strip(' ()"_*?')
-    counts = focus_counts(corpus, focus if focus is not None else F.lit(True)).where("freq > 0")
-    plain = folded(F.col("term"))
+    """Terms that begin with (under three letters) or hold what was typed, without regard to accents and ligatures.
+
+    Terms are folded once a term, in the vocabulary, and only the few that match are counted in the focus.
+    """
+    wanted = typed_text(typed)
+    plain = F.col("plain")
     hit = plain.startswith(wanted) if len(wanted) < 3 else plain.contains(wanted)
-    return top(counts.where(hit), "freq", k).select("rank", "term", "freq", "docs")
+    found = corpus.folded_vocabulary().where(hit)
+    if focus is None:
+        counts = found.select("term", F.col("tf").alias("freq"), F.col("df").alias("docs"))
+    else:
+        counts = focus_counts(corpus, focus).where("freq > 0").join(found.select("term"), "term", "left_semi")
+    return top(counts, "freq", k).select("rank", "term", "freq", "docs")
 
 
 def first_rank(ranked: DataFrame, label: str) -> DataFrame:

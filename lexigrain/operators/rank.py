@@ -32,3 +32,15 @@ def top_per_group(df: DataFrame, group: list[str], score: str, k: int, tie: str)
     """The k best rows of every group; Spark limits each group before the shuffle."""
     order = Window.partitionBy(*group).orderBy(F.desc(score), F.asc(tie))
     return df.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def ranked_outside(counts: DataFrame, ranking: DataFrame, by: str = "score") -> DataFrame:
+    """A ranking made elsewhere (term, score) over the corpus counts, ordered anew by ``by`` (score or freq); terms the counts lack are left out."""
+    rows = counts.join(ranking.select("term", "score"), "term")
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc("term"))))
+
+
+def sorted_by_label(docs: DataFrame, label: str, k: int, reverse: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """The first k documents in the order of a label, those without one last; ties by id."""
+    order = F.desc_nulls_last(label) if reverse else F.asc_nulls_last(label)
+    return docs.orderBy(order, F.asc(id_col)).limit(k)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .analysis import SENTENCE_END
+from .analysis import SENTENCE_END, _first
 
 #: Tokens that a tagger sees at once at most.
 SENTENCE = 300
@@ -24,8 +24,8 @@ def sentences(tokens: DataFrame) -> DataFrame:
 
 
 def by_lexicon(tokens: DataFrame, lexicon: DataFrame, default: str = "X") -> DataFrame:
-    """tag from (form, tag), the first tag of a form; a word that isn't listed is tried in lower case."""
-    one = lexicon.groupBy("form").agg(F.min("tag").alias("tag"))
+    """tag from (form, tag), the first tag of a form in ``ord`` (the least without it); a word that isn't listed is tried in lower case."""
+    one = _first(lexicon, ["form"], "tag")
     exact = one.select(F.col("form").alias("f1"), F.col("tag").alias("t1"))
     low = one.select(F.col("form").alias("f2"), F.col("tag").alias("t2"))
     rows = tokens.join(exact, F.col("term") == F.col("f1"), "left").join(low, F.lower("term") == F.col("f2"), "left")

@@ -76,7 +76,20 @@ def cosine_rows(cells: DataFrame, one: str | None = None) -> DataFrame:
     pairs = a.join(b, "col").where(F.col("a") != F.col("b") if one is not None else F.col("a") < F.col("b"))
     dots = pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     dots = dots.join(norms.select(F.col("row").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("row").alias("b"), F.col("norm").alias("nb")), "b")
-    return dots.where((F.col("na") > 0) & (F.col("nb") > 0)).select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), DIGITS).alias("cosine"))
+    return dots.where((F.col("na") > 0) & (F.col("nb") > 0)).select("a", "b", (F.round(F.col("dot") / (F.col("na") * F.col("nb")), DIGITS) + 0.0).alias("cosine"))
+
+
+def euclid_rows(cells: DataFrame) -> DataFrame:
+    """a, b, distance of all pairs of rows of long-form cells (row, col, w), absent cells being 0.
+
+    From squared norms and shared columns; the rows are a stated selection, whose pairs are the result.
+    """
+    norms = cells.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
+    x, y = cells.select(F.col("row").alias("a"), "col", F.col("w").alias("wa")), cells.select(F.col("row").alias("b"), "col", F.col("w").alias("wb"))
+    dots = x.join(y, "col").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    pairs = norms.select(F.col("row").alias("a"), F.col("sq").alias("na")).join(norms.select(F.col("row").alias("b"), F.col("sq").alias("nb")), F.col("a") < F.col("b"))
+    square = F.col("na") + F.col("nb") - 2.0 * F.coalesce("dot", F.lit(0.0))
+    return pairs.join(dots, ["a", "b"], "left").select("a", "b", F.round(F.sqrt(F.greatest(square, F.lit(0.0))), DIGITS).alias("distance"))
 
 
 def residual_cosine(cells: DataFrame, one: str, kind: str) -> DataFrame:

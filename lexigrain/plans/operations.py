@@ -14,7 +14,7 @@ from lexigrain.operators import frequency as freq
 from lexigrain.operators.rank import DIGITS, top
 
 from . import spans as sp
-from .corpus import Corpus
+from .corpus import Corpus, folded
 
 TICKS = (5, 10, 20, 50, 100, 200, 500)
 SORTS = ("count", "raw", "g2", "logratio", "logdice", "chi2", "simple")
@@ -122,17 +122,30 @@ def freqlist(corpus: Corpus, request: Request) -> DataFrame:
 
 
 def suggest(corpus: Corpus, typed: str, request: Request) -> DataFrame:
-    """Suggestions with what was typed marked, counted in the filtered documents."""
+    """Suggestions with every match of what was typed marked, counted in the filtered documents."""
     r = request.checked()
     rows = freq.suggest(_kept(corpus, r), typed, r.terms)
-    wanted = typed.lower().translate(freq._ACCENTS).strip(' ()"_*?')
-    at = F.instr(freq.folded(F.col("term")), wanted)
+    return rows.withColumn("marked", marked(F.col("term"), freq.typed_text(typed)))
+
+
+def marked(term: Column, wanted: str) -> Column:
+    """A term with the letters that fold to ``wanted`` in tags, wherever they stand; a ligature is marked as a whole."""
+    if not wanted:
+        return term
     n = len(wanted)
-    marked = F.when(
-        (at > 0) & (F.length(freq.folded(F.col("term"))) == F.length("term")) & F.lit(n > 0),
-        F.concat(F.substr("term", F.lit(1), at - 1), F.lit("<mark>"), F.substr("term", at, F.lit(n)), F.lit("</mark>"), F.substr("term", at + n)),
-    ).otherwise(F.col("term"))
-    return rows.withColumn("marked", marked)
+    letters = F.split(term, "")
+    # Where each letter's folded form begins and ends; terms are short, so summing anew for each is cheap.
+    lengths = F.transform(letters, lambda c: F.length(folded(c)))
+    until = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, x: s + x)
+    plain = folded(term)
+    # Matches from left to right without overlap: (end of the last one, its starts).
+    empty = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, i: F.when((i >= s["next"]) & (F.substr(plain, i + 1, F.lit(n)) == wanted), F.struct((i + n).cast("int").alias("next"), F.array_append(s["starts"], i.cast("int")).alias("starts"))).otherwise(s)
+    starts = F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(plain) - 1, F.lit(0))), empty, step)["starts"]
+    opens = lambda i: F.exists(starts, lambda s: (s >= until(i)) & (s < until(i + 1)))
+    closes = lambda i: F.exists(starts, lambda s: (s + n > until(i)) & (s + n <= until(i + 1)))
+    tagged = F.transform(letters, lambda c, i: F.concat(F.when(opens(i), F.lit("<mark>")).otherwise(F.lit("")), c, F.when(closes(i), F.lit("</mark>")).otherwise(F.lit(""))))
+    return F.array_join(tagged, "")
 
 
 def chrono(corpus: Corpus, request: Request) -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.functions import scorers
-from lexigrain.operators import analysis, concord, cooc, parts, vectors
+from lexigrain.operators import analysis, concord, cooc, parts, tagging, vectors
 from lexigrain.operators import frequency as freq
-from lexigrain.operators.rank import DIGITS, top, top_per_group, top_with_includes
-from lexigrain.sources import lexicon
+from lexigrain.operators.rank import DIGITS, ranked_outside, sorted_by_label, top, top_per_group, top_with_includes
+from lexigrain.sources import lexicon, xml
 
 from . import spans as sp
-from .corpus import Corpus, year_of
+from . import store
+from .corpus import Corpus, folded, year_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,7 @@ ORACLES: dict[str, str] = {}
 
 BASE = """
 w AS (SELECT doc_id, lang, source, try_cast(regexp_extract(source, '^.{3}([0-9]+)$', 1) AS INTEGER) AS year,
-             lower(text) AS lt, regexp_extract_all(lower(text), '[a-zà-öø-ÿœ]+') AS ws FROM documents),
+             text, lower(text) AS lt, regexp_extract_all(lower(text), '[a-zà-öø-ÿœ]+') AS ws FROM documents),
 tok AS (SELECT doc_id, lang, year, CAST(i - 1 AS INTEGER) AS pos, ws[i] AS term
         FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
 post AS (SELECT term, doc_id, lang, year, count(*) AS tf FROM tok GROUP BY ALL),
@@ -52,7 +53,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus.open(spark, sf_dir)
+    """The stored corpus of the documents, built by the application's first query."""
+    c = Corpus.open(spark, sf_dir)
+    return store.shared(spark, c.documents, c)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +68,9 @@ query("tokens_core", sql("SELECT doc_id, pos, term FROM tok"))(lambda s, d: corp
 query("doc_stats", sql("SELECT doc_id, dl AS doc_tokens, dl AS doc_width FROM ds"))(lambda s, d: corpus(s, d).doc_stats.select("doc_id", "doc_tokens", "doc_width"))
 query("vocab", sql("SELECT term, tf, df FROM voc"))(lambda s, d: corpus(s, d).vocabulary)
 query("term_doc_matrix", sql("SELECT term, doc_id, tf FROM post"))(lambda s, d: corpus(s, d).postings.select("term", "doc_id", "tf"))
-query("token_offsets", sql(
-    "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ws[i] AS term,"
-    " CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start_off,"
-    " CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + list_sum(list_transform(ws[1:i], lambda g: length(g))) AS BIGINT) AS end_off"
-    " FROM (SELECT doc_id, ws, string_split_regex(lt, '[a-zà-öø-ÿœ]+') AS gs, unnest(range(1, len(ws) + 1)) AS i FROM w)"
-))(lambda s, d: corpus(s, d).with_offsets())
+_places = """pl AS (SELECT *, CAST(sum(length(gap) + length(term)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM
+    (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS term, unnest(gs[1:len(ws)]) AS gap FROM (SELECT doc_id, ws, string_split_regex(lt, '[a-zà-öø-ÿœ]+') AS gs FROM w WHERE len(ws) > 0)))"""
+query("token_offsets", sql("SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, term, e - length(term) AS start_off, e AS end_off FROM pl", ctes=_places))(lambda s, d: corpus(s, d).with_offsets())
 
 
 @query("field_totals", sql("SELECT n AS n_tokens, nd AS n_docs, (SELECT count(*) FROM ds) AS all_docs, (SELECT max(dl) FROM ds) AS max_width FROM tot"))
@@ -135,7 +135,8 @@ query("markup_tokens", f"""SELECT page_id AS doc_id, CAST(i - 1 AS INTEGER) AS s
     (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(translate(html, '’ʼ‐‑', '''''--'), '{_mark}') AS m FROM pages))""")(
     lambda s, d: analysis.markup(s.read.parquet(f"{d}/pages.parquet"), "html", "page_id").select("doc_id", "seq", "term")
 )
-query("line_tokens", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, l[i] AS term FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE l[i] <> ''")(
+query("line_tokens", """SELECT doc_id, line, term, e - length(term) AS start_off, e AS end_off FROM (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, term, CAST(sum(length(term) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS e FROM
+    (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS term FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE term <> ''""")(
     lambda s, d: analysis.lines(_docs(s, d))
 )
 query("stopword_antijoin", sql(f"SELECT doc_id, pos, term FROM tok WHERE term NOT IN ({_stop})"))(
@@ -171,10 +172,34 @@ query("cleanup_positions", f"""WITH {SURF}, k AS (SELECT doc_id, seq, term, seq
                  regexp_matches(term, '{_word}') AND NOT regexp_matches(term, '^[-'']|[-''.]$') AS accepted FROM k),
     p AS (SELECT *, CAST(sum(CASE WHEN skipped THEN 0 ELSE inc END) OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER) AS pos FROM f)
     SELECT doc_id, pos, term FROM p WHERE NOT skipped AND accepted""")(lambda s, d: analysis.cleaned(analysis.stop(_surface(s, d), STOP)))
-query("mwe_merge")(lambda s, d: analysis.expressions(_surface(s, d), ["of the", "of the and", "in the", "de la", "und der"]).select("doc_id", "seq", "term"))
-query("clitic_split")(lambda s, d: analysis.clitics(_surface(s, d)).select("doc_id", "seq", "piece", "term"))
+_suffix = "(?i)-(t-)?(je|tu|ils?|elles?|on|nous|vous|moi|toi|lui|leur|les?|la|ce|y|en|ci|là)$"
+EXPRESSIONS = ["of the", "of the and", "in the", "de la", "und der"]
+_two_words = ", ".join(f"'{e}'" for e in EXPRESSIONS if len(e.split()) == 2)
+
+
+def _merged(table: str) -> str:
+    """Expressions merged; as no inner word of one begins another, none overlap."""
+    return f"""mx AS (SELECT *, lower(term) AS t1, lower(lead(term, 1) OVER o) AS t2, lower(lead(term, 2) OVER o) AS t3 FROM {table} WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
+    mh AS (SELECT *, CASE WHEN t1 = 'of' AND t2 = 'the' AND t3 = 'and' THEN 3 WHEN t1 || ' ' || t2 IN ({_two_words}) THEN 2 ELSE 1 END AS n FROM mx),
+    me AS (SELECT *, coalesce(lag(n, 1) OVER o > 1, FALSE) OR coalesce(lag(n, 2) OVER o > 2, FALSE) AS eaten FROM mh WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
+    mm AS (SELECT doc_id, seq, CASE n WHEN 3 THEN t1 || ' ' || t2 || ' ' || t3 WHEN 2 THEN t1 || ' ' || t2 ELSE term END AS term FROM me WHERE NOT eaten)"""
+
+
+query("mwe_merge", f"WITH {SURF}, {_merged('surf')} SELECT doc_id, seq, term FROM mm")(lambda s, d: analysis.expressions(_surface(s, d), EXPRESSIONS).select("doc_id", "seq", "term"))
+_keep = ", ".join("'" + w.replace("'", "''") + "'" for w in analysis.CLITIC_KEEP)
+query("clitic_split", f"""WITH RECURSIVE {SURF}, cd AS (SELECT DISTINCT term FROM surf WHERE regexp_matches(term, '[-'']') AND regexp_matches(term, '{_word}')),
+    cp AS (SELECT term, term AS rest, CAST([] AS VARCHAR[]) AS head, 0 AS n FROM cd WHERE lower(term) NOT IN ({_keep})
+           UNION ALL SELECT term, rest[length(m) + 1:], list_append(head, m), n + 1 FROM (SELECT *, regexp_extract(rest, '(?i)^(qu|jusqu|lorsqu|puisqu|quoiqu|[cdjlmnst])\\x27') AS m FROM cp) WHERE m <> '' AND length(rest) > length(m) AND n < 8),
+    ch AS (SELECT term, arg_max(rest, n) AS rest, arg_max(head, n) AS head FROM cp GROUP BY term),
+    cs AS (SELECT term, rest, head, CAST([] AS VARCHAR[]) AS tail, 0 AS n FROM ch
+           UNION ALL SELECT term, rest[:length(rest) - length(m)], head, list_prepend(g, tail), n + 1 FROM (SELECT *, regexp_extract(rest, '{_suffix}') AS m, regexp_extract(rest, '{_suffix}', 2) AS g FROM cs) WHERE m <> '' AND length(rest) > length(m) AND n < 8),
+    ct AS (SELECT term, arg_max(rest, n) AS rest, any_value(head) AS head, arg_max(tail, n) AS tail FROM cs GROUP BY term),
+    cl AS (SELECT term, list_concat(list_append(head, CASE WHEN lower(rest) LIKE '%''s' THEN rest[:length(rest) - 2] ELSE rest END), tail) AS p FROM ct)
+    SELECT doc_id, seq, CAST(unnest(range(0, len(p))) AS INTEGER) AS piece, unnest(p) AS term FROM (SELECT doc_id, seq, CASE WHEN cl.term IS NULL OR len(p) > 8 THEN [surf.term] ELSE p END AS p FROM surf LEFT JOIN cl ON cl.term = surf.term)""")(
+    lambda s, d: analysis.clitics(_surface(s, d)).select("doc_id", "seq", "piece", "term")
+)
 query("ascii_fold", sql("SELECT term, translate(replace(replace(replace(term, 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy') AS folded FROM voc"))(
-    lambda s, d: corpus(s, d).vocabulary.select("term", freq.folded(F.col("term")).alias("folded"))
+    lambda s, d: corpus(s, d).vocabulary.select("term", folded(F.col("term")).alias("folded"))
 )
 query("detag_pages", """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '^[^<>]*>', ' '), '<[^<>]*$', ' '), '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM pages""")(
     lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", analysis.detagged(F.col("html")).alias("plain"))
@@ -191,6 +216,28 @@ _zone = f"""WITH {_pages}, t AS (SELECT *, regexp_matches(term, '^<') AS tag, lo
     SELECT page_id AS doc_id, seq, term FROM z WHERE NOT tag AND depth """
 query("zone_include", _zone + "> 0")(lambda s, d: analysis.zone(_page_tokens(s, d), ["nav", "p"], True).select("doc_id", "seq", "term"))
 query("zone_exclude", _zone + "<= 0")(lambda s, d: analysis.zone(_page_tokens(s, d), ["nav", "p"], False).select("doc_id", "seq", "term"))
+query("zone_attribute", f"""WITH {_pages}, t AS (SELECT *, regexp_matches(term, '^<') AS tag, regexp_matches(term, '^</?[A-Za-z]') AND NOT regexp_matches(term, '/>$') AS moves, regexp_matches(term, '^</') AS shut FROM surf),
+    l AS (SELECT *, CASE WHEN moves THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END AS step FROM t), v AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY seq) AS level FROM l),
+    o AS (SELECT *, CASE step WHEN 1 THEN level WHEN -1 THEN level + 1 END AS own, CASE WHEN step = 1 THEN CASE WHEN regexp_matches(term, '\\shref[\\s=/>]') THEN 1 ELSE 0 END END AS opened FROM v),
+    b AS (SELECT *, CASE WHEN step = -1 THEN -coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY page_id, own ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS back FROM o),
+    z AS (SELECT *, sum(coalesce(opened, back, 0)) OVER (PARTITION BY page_id ORDER BY seq) AS depth FROM b)
+    SELECT page_id AS doc_id, seq, term FROM z WHERE NOT tag AND depth > 0""")(lambda s, d: analysis.zone(_page_tokens(s, d), ["@href"], True).select("doc_id", "seq", "term"))
+_pos = [("the", "DET", 1), ("of", "ADP", 2), ("of", "ADV", 3), ("und", "CONJ", 4), ("le", "PRON", 6), ("le", "DET", 5)]
+query("pos_tags", f"""WITH {SURF}, m(f, t) AS (VALUES ('the', 'DET'), ('of', 'ADP'), ('und', 'CONJ'), ('le', 'DET')) SELECT doc_id, seq, surf.term, coalesce(a.t, b.t, 'X') AS tag FROM surf LEFT JOIN m a ON a.f = surf.term LEFT JOIN m b ON b.f = lower(surf.term)""")(
+    lambda s, d: tagging.by_lexicon(_surface(s, d), _two(s, _pos, ("form", "tag", "ord"))).select("doc_id", "seq", "term", "tag")
+)
+_taglem = [("the", "DET", "the-det", 1), ("the", "X", "the-x", 2), ("of", "ADP", "of-adp", 3), ("of", "ADV", "of-adv", 4), ("le", "NOUN", "le-noun", 5), ("le", "VERB", "le-verb", 6)]
+query("lemma_by_tag", f"""WITH {SURF}, m(f, t) AS (VALUES ('the', 'DET'), ('of', 'ADP'), ('und', 'CONJ'), ('le', 'DET')), tg AS (SELECT doc_id, seq, surf.term, coalesce(a.t, b.t, 'X') AS tag FROM surf LEFT JOIN m a ON a.f = surf.term LEFT JOIN m b ON b.f = lower(surf.term)),
+    lo AS (SELECT *, CASE WHEN NOT regexp_matches(term, '^.[{_up}]') AND lower(term) IN ('the', 'of', 'le') THEN lower(term) ELSE term END AS form FROM tg)
+    SELECT doc_id, seq, form AS term, tag, CASE form WHEN 'the' THEN CASE tag WHEN 'X' THEN 'the-x' ELSE 'the-det' END WHEN 'of' THEN CASE tag WHEN 'ADV' THEN 'of-adv' ELSE 'of-adp' END WHEN 'le' THEN CASE tag WHEN 'VERB' THEN 'le-verb' ELSE 'le-noun' END END AS lemma FROM lo""")(
+    lambda s, d: analysis.lemmas(tagging.by_lexicon(_surface(s, d), _two(s, _pos, ("form", "tag", "ord"))), _two(s, _taglem, ("form", "tag", "lemma", "ord"))).select("doc_id", "seq", "term", "tag", "lemma")
+)
+query("name_runs", f"""WITH {SURF}, c AS (SELECT *, regexp_matches(term, '^\\p{{Lu}}\\p{{L}}') AS up FROM surf), r AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM c),
+    g AS (SELECT string_agg(term, ' ' ORDER BY seq) AS name FROM r WHERE up GROUP BY doc_id, run HAVING count(*) > 1) SELECT name, count(*) AS n FROM g GROUP BY name ORDER BY n DESC, name LIMIT 2000""")(lambda s, d: lexicon.name_runs(_surface(s, d), 2000))
+for _k, _v in {"ignore": "arg_min", "replace": "arg_max"}.items():
+    query(f"lexicon_{_k}", f"SELECT role, {_v}(text, (turn, conv_id)) AS text FROM conversations GROUP BY role")(
+        lambda s, d, k=_k: lexicon.unique_by(s.read.parquet(f"{d}/conversations.parquet").withColumn("o", F.struct("turn", "conv_id")), "role", "o", k).select("role", "text")
+    )
 query("boundary_marks", f"""WITH {_pages}, k AS (SELECT *, CASE WHEN regexp_matches(term, '^<') THEN CASE WHEN lower(regexp_extract(term, '^</([A-Za-z0-9]+)', 1)) IN ('section', 'article', 'div') THEN 2
         WHEN lower(regexp_extract(term, '^</([A-Za-z0-9]+)', 1)) IN ('p', 'li', 'h1', 'h2') THEN 1 ELSE 0 END END AS kind FROM surf),
     i AS (SELECT *, sum(CASE WHEN kind IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY seq) AS island FROM k WHERE kind IS NULL OR kind > 0)
@@ -199,7 +246,35 @@ query("boundary_marks", f"""WITH {_pages}, k AS (SELECT *, CASE WHEN regexp_matc
 query("dotted_abbreviation", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[{_up}{_low}]+[.]')) AS term FROM documents) SELECT term FROM w WHERE regexp_matches(term, '^([{_up}{_low}]|([{_up}{_low}]{{1,3}}\\.)+[{_up}{_low}]{{1,3}}|[{_up}]\\.(-[{_up}]\\.)*-[{_up}])\\.$')")(
     lambda s, d: _docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(f"[{_up}{_low}]+[.]"), F.lit(0))).alias("term")).distinct().where(analysis.dotted_abbreviation(F.col("term")))
 )
-query("roman_to_int")(lambda s, d: corpus(s, d).vocabulary.select("term", analysis.roman_value(F.col("term")).alias("value")).where("value > 0"))
+_digits = "list_transform(regexp_extract_all(upper(term), '.'), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END)"
+query("roman_to_int", sql(f"""SELECT term, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] < coalesce(v[i + 1], 0) THEN -v[i] ELSE v[i] END)) AS INTEGER) AS value FROM
+    (SELECT term, {_digits} AS v FROM voc WHERE regexp_matches(upper(term), '^M{{0,3}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$'))"""))(lambda s, d: corpus(s, d).vocabulary.select("term", analysis.roman_value(F.col("term")).alias("value")).where("value > 0"))
+
+# -- a corpus of analysed tokens: holes, expressions ---------------------------------------------------------------------
+
+_CANON = f"""mk AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, CASE m[i] WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN chr(39) ELSE left(m[i], 256) END AS term FROM
+        (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(translate(text, '’ʼ‐‑', chr(39) || chr(39) || '--'), '{_mark}') AS m FROM documents))),
+    {_merged('mk')},
+    mr AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS nr FROM mm),
+    ms AS (SELECT doc_id, nr, term, nr - lag(nr, 1, 0) OVER (PARTITION BY doc_id ORDER BY nr) AS inc FROM mr WHERE lower(term) NOT IN ({_stop})),
+    mf AS (SELECT *, regexp_matches(term, '^<') OR (length(term) = 1 AND regexp_matches(term, '{_word}')) OR (length(term) = 2 AND regexp_matches(term, '[\\x27’.]$')) OR regexp_matches(term, '^[{_up}{_low}]+[0-9]+$') AS skipped,
+                  (regexp_matches(term, '{_word}') OR term IN ({", ".join(f"'{e}'" for e in EXPRESSIONS)})) AND NOT regexp_matches(term, '^[-\\x27]|[-\\x27.]$') AS accepted FROM ms),
+    mp AS (SELECT *, CAST(sum(CASE WHEN skipped THEN 0 ELSE inc END) OVER (PARTITION BY doc_id ORDER BY nr) - 1 AS INTEGER) AS pos FROM mf),
+    ct AS (SELECT doc_id, pos, term FROM mp WHERE NOT skipped AND accepted)"""
+
+
+def canonic(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The stored corpus of analysed tokens: markup, expressions, stop words with their gaps, final positions."""
+    c = Corpus.open(spark, sf_dir).analysed(analysis.canonic(STOP, entries=EXPRESSIONS, split=False))
+    return store.shared(spark, c.documents, c, "canonic")
+
+
+query("canonic_tokens", f"WITH {_CANON} SELECT doc_id, pos, term FROM ct")(lambda s, d: canonic(s, d).tokens.select("doc_id", "pos", "term"))
+query("canonic_stats", f"WITH {_CANON} SELECT d.doc_id, count(ct.term) AS doc_tokens, CAST(coalesce(max(pos) + 1, 0) AS BIGINT) AS doc_width FROM documents d LEFT JOIN ct ON ct.doc_id = d.doc_id GROUP BY d.doc_id")(
+    lambda s, d: canonic(s, d).doc_stats.select("doc_id", "doc_tokens", "doc_width")
+)
+query("canonic_vocab", f"WITH {_CANON} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM ct GROUP BY term")(lambda s, d: canonic(s, d).vocabulary)
+query("span_quoted", f"WITH {_CANON} SELECT doc_id, pos AS \"start\", pos + 1 AS \"end\" FROM ct WHERE term = 'of the'")(lambda s, d: sp.find(canonic(s, d), '"of the"'))
 
 # -- spans, snippets and concordances --------------------------------------------------------------------------------
 
@@ -216,11 +291,28 @@ query("span_prefix", sql(_spans_sql("term IN (" + _expand.format("starts_with(te
 query("span_wildcard", sql(_spans_sql("term IN (" + _expand.format("regexp_matches(term, '^th.n.*$')") + ")")))(lambda s, d: sp.find(corpus(s, d), "th?n*"))
 query("span_or", sql(_spans_sql("term IN ('the', 'und', 'les')")))(lambda s, d: sp.find(corpus(s, d), "(the und les)"))
 query("span_phrase", sql("SELECT doc_id, pos AS \"start\", pos + 2 AS \"end\" FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM tok) WHERE term = 'of' AND t2 = 'the'"))(
-    lambda s, d: sp.find(corpus(s, d), '"of the"')
+    lambda s, d: sp.phrase(corpus(s, d), ["of", "the"])
 )
 _near = """a AS (SELECT doc_id, pos FROM tok WHERE term = 'of'), b AS (SELECT doc_id, pos FROM tok WHERE term = 'the'),
     m AS (SELECT a.doc_id, least(a.pos, b.pos) AS s, greatest(a.pos, b.pos) + 1 AS e FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) - 1 <= 5)"""
 query("span_near", sql('SELECT doc_id, s AS "start", min(e) AS "end" FROM m GROUP BY ALL', ctes=_near))(lambda s, d: sp.find(corpus(s, d), "of the", 5))
+query("span_unindexed", sql('SELECT doc_id, s AS "start", min(e) AS "end" FROM m GROUP BY ALL', ctes=_near))(lambda s, d: sp.find(corpus(s, d), 'of zzabsent (zznone "no such") the', 5))
+query("span_stopped", sql(_spans_sql("term = 'the'")))(lambda s, d: sp.find(corpus(s, d), "of the", 5, stopwords=["of"]))
+query("span_roots", sql(_spans_sql("term IN ('the', 'und')")))(
+    lambda s, d: sp.find(corpus(s, d), "zzthes", roots=_two(s, [("zzthes", "the"), ("zzthes", "und"), ("zzthes", "zzabsent"), ("the", "zzabsent")], ("form", "root")))
+)
+query("span_near_phrase", sql('SELECT doc_id, s AS "start", min(e) AS "end" FROM m GROUP BY ALL', ctes="""p AS (SELECT doc_id, pos FROM (SELECT *, lead(term, 30) OVER (PARTITION BY doc_id ORDER BY pos) AS t31 FROM tok) WHERE term = 'of' AND t31 IS NOT NULL),
+    b AS (SELECT doc_id, pos FROM tok WHERE term = 'and'), m AS (SELECT p.doc_id, least(p.pos, b.pos) AS s, greatest(p.pos + 31, b.pos + 1) AS e FROM p JOIN b ON p.doc_id = b.doc_id AND p.pos <> b.pos AND greatest(p.pos + 31, b.pos + 1) - least(p.pos, b.pos) - 32 <= 4)"""))(
+    lambda s, d: (lambda c: sp.near([_long_spans(c), sp.find(c, "and")], 4))(corpus(s, d))
+)
+
+
+def _long_spans(c: Corpus) -> DataFrame:
+    """31 positions from every ``of`` on that has so many behind it."""
+    room = sp.find(c, "of").join(c.doc_stats.select("doc_id", "doc_width"), "doc_id").where(F.col("start") + 31 <= F.col("doc_width"))
+    return room.select("doc_id", "start", (F.col("start") + 31).cast("int").alias("end"))
+
+
 query("span_near_three", sql('SELECT doc_id, s AS "start", min(e) AS "end" FROM m GROUP BY ALL', ctes="""a AS (SELECT doc_id, pos FROM tok WHERE term = 'of'), b AS (SELECT doc_id, pos FROM tok WHERE term = 'the'), c AS (SELECT doc_id, pos FROM tok WHERE term = 'and'),
     m AS (SELECT a.doc_id, least(a.pos, b.pos, c.pos) AS s, greatest(a.pos, b.pos, c.pos) + 1 AS e FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) < 9 JOIN c ON a.doc_id = c.doc_id AND abs(a.pos - c.pos) < 9
           WHERE greatest(a.pos, b.pos, c.pos) + 1 - least(a.pos, b.pos, c.pos) - 3 <= 4)"""))(lambda s, d: sp.find(corpus(s, d), "of the and", 4))
@@ -272,12 +364,10 @@ query("results_top_snippets", sql("SELECT doc_id, snip, score FROM sc ORDER BY s
 query("snippets_top_per_doc", sql("SELECT doc_id, snip, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, snip) AS r FROM sc) WHERE r <= 3", ctes=_theme))(
     lambda s, d: (lambda t: concord.snippets_per_document(t[0], 3, t[1]).select("doc_id", "snip", "score", "rank"))(_themed(s, d))
 )
-query("kwic", sql("""SELECT doc_id, pos AS "start", lt[greatest(a - 40, 0) + 1 : a] AS "left", lt[a + 1 : a + length(term)] AS pivot, lt[a + length(term) + 1 : a + length(term) + 40] AS "right" FROM
-    (SELECT doc_id, lt, CAST(i - 1 AS INTEGER) AS pos, ws[i] AS term, list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda g: length(g))), 0) AS a
-     FROM (SELECT *, string_split_regex(lt, '[a-zà-öø-ÿœ]+') AS gs, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] = 'reth')"""))(
+query("kwic", sql("""SELECT pl.doc_id, CAST(i - 1 AS INTEGER) AS "start", text[greatest(a - 40, 0) + 1 : a] AS "left", text[a + 1 : e] AS pivot, text[e + 1 : e + 40] AS "right" FROM (SELECT *, e - length(term) AS a FROM pl WHERE term = 'reth') pl JOIN w ON w.doc_id = pl.doc_id""", ctes=_places))(
     lambda s, d: (lambda c: concord.keyword_in_context(c, sp.find(c, "reth")))(corpus(s, d))
 )
-query("highlight", sql("SELECT doc_id, regexp_replace(lt, '(^|[^a-zà-öø-ÿœ])(reth)($|[^a-zà-öø-ÿœ])', '\\1<mark>\\2</mark>\\3', 'g') AS html FROM w WHERE list_contains(ws, 'reth')"))(
+query("highlight", sql("SELECT doc_id, regexp_replace(text, '(^|[^a-zà-öø-ÿœ])(reth)($|[^a-zà-öø-ÿœ])', '\\1<mark>\\2</mark>\\3', 'gi') AS html FROM w WHERE list_contains(ws, 'reth')"))(
     lambda s, d: (lambda c: concord.highlighted(c, sp.find(c, "reth")))(corpus(s, d))
 )
 
@@ -480,10 +570,48 @@ query("first_rank_by_label", sql(f"""SELECT lang AS label, CAST(min(r) AS INTEGE
 query("series_stats", sql("SELECT count(dl) AS size, min(dl) AS least, max(dl) AS greatest, round(avg(dl), 6) AS mean, median(dl) AS median, round(stddev_pop(dl), 6) AS stddev, CAST(sum(dl) AS BIGINT) AS total, quantile_disc(dl, 0.25) AS q1, quantile_disc(dl, 0.75) AS q3, (SELECT dl FROM ds GROUP BY dl ORDER BY count(*) DESC, dl LIMIT 1) AS mode FROM ds"))(
     lambda s, d: freq.series_statistics(corpus(s, d).doc_stats, "doc_tokens")
 )
+_tenths = [i / 10 for i in range(1, 10)]
+query("series_deciles", sql("SELECT " + ", ".join(f"quantile_disc(dl, {q}) AS d{i}" for i, q in enumerate(_tenths, 1)) + " FROM ds"))(lambda s, d: freq.series_deciles(corpus(s, d).doc_stats, "doc_tokens"))
+query("docs_sorted", "SELECT doc_id, lang, source FROM documents ORDER BY source DESC NULLS LAST, doc_id LIMIT 100")(lambda s, d: sorted_by_label(_docs(s, d), "source", 100, True).select("doc_id", "lang", "source"))
+query("set_ranking", sql("SELECT voc.term, tf AS freq, score, CAST(row_number() OVER (ORDER BY score DESC, voc.term) AS INTEGER) AS rank FROM voc JOIN (VALUES ('the', 2.0::DOUBLE), ('of', 3.0), ('und', 2.0), ('zzabsent', 9.0)) x(term, score) ON x.term = voc.term"))(
+    lambda s, d: ranked_outside(corpus(s, d).vocabulary.select("term", F.col("tf").alias("freq")), _two(s, [("the", 2.0), ("of", 3.0), ("und", 2.0), ("zzabsent", 9.0)], ("term", "score"))).select("term", "freq", "score", "rank")
+)
+_starlex = [("ands", "and"), ("thes", "the"), ("the", "the")]
+query("star_lemmas", sql("SELECT coalesce(m.l, term) AS lem, CAST(sum(tf) AS BIGINT) AS n FROM voc LEFT JOIN (VALUES ('ands', 'and'), ('thes', 'the'), ('the', 'the')) m(f, l) ON m.f = term GROUP BY lem"))(
+    lambda s, d: _star(corpus(s, d), _two(s, _starlex, ("form", "lemma")))["lem"].select("lem", "n")
+)
+
+
+def _star(c: Corpus, forms: DataFrame) -> dict[str, DataFrame]:
+    from .operations import star_schema
+
+    return star_schema(c, forms)
+
+
+_xml = """xb AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM conversations)"""
+query("xml_books", f"""WITH {_xml} SELECT 'b' || conv_id AS id, 'b' || conv_id AS book_id, 'book' AS type, 0 AS ord, conv_id AS number, CAST(NULL AS VARCHAR) AS role, 0 AS n_chars FROM xb GROUP BY conv_id
+    UNION ALL SELECT 'b' || conv_id || '-' || CASE WHEN ord < 10 THEN '0' ELSE '' END || ord, 'b' || conv_id, 'chapter', CAST(ord AS INTEGER), NULL, role, length(text) FROM xb""")(lambda s, d: xml_books(s.read.parquet(f"{d}/conversations.parquet")))
+
+
+def xml_books(turns: DataFrame) -> DataFrame:
+    """Conversations as XML books of chapters, read back by the ingest grammar."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    chapter = F.concat(F.lit('<chapter><field name="role" type="category" value="'), F.col("role"), F.lit('"/><field name="text" type="text">'), safe(F.col("text")), F.lit("</field></chapter>"))
+    books = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", chapter.alias("c")))).alias("t"))
+    head = F.concat(F.lit('<book xml:id="b'), F.col("conv_id").cast("string"), F.lit('"><field name="number" type="int" value="'), F.col("conv_id").cast("string"), F.lit('"/>'))
+    content = F.concat(head, F.array_join(F.transform("t", lambda x: x["c"]), ""), F.lit("</book>")).cast("binary")
+    table = xml.corpus_table(xml.parsed(books.select(content.alias("content"), F.lit("conversations").alias("stem"))), {"number": "int", "role": "category", "text": "text"})
+    return table.select("id", "book_id", "type", "ord", F.col("number").cast("long").alias("number"), "role", F.length("text").cast("long").alias("n_chars"))
+
+
 query("freqlist", f"WITH t AS (SELECT unnest(regexp_extract_all(text, '{analysis.WORD.replace(chr(39), chr(39) * 2)}')) AS term FROM documents) SELECT term, count(*) AS tf FROM t WHERE regexp_matches(term, '^[{_up}]') GROUP BY term ORDER BY tf DESC, term LIMIT 200")(
     lambda s, d: top(_docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(analysis.WORD), F.lit(0))).alias("term")).where(F.col("term").rlike(f"^[{_up}]")).groupBy("term").agg(F.count("*").alias("tf")), "tf", 200).select("term", "tf")
 )
 _fold = "translate(replace(replace(replace(term, 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy')"
+query("gamma_functions", sql("SELECT term, df, round(gamma(df / 4.0), 6) AS gamma FROM voc WHERE df <= 40"))(
+    lambda s, d: corpus(s, d).vocabulary.where("df <= 40").select("term", "df", F.round(scorers.gamma(F.col("df") / 4.0), DIGITS).alias("gamma"))
+)
+query("suggest_ligature", sql(f"SELECT CAST(row_number() OVER (ORDER BY tf DESC, term) AS INTEGER) AS rank, term, tf AS freq, df AS docs FROM (SELECT * FROM voc WHERE contains({_fold}, 'oeu') ORDER BY tf DESC, term LIMIT 20)"))(lambda s, d: freq.suggest(corpus(s, d), "œu"))
 query("suggest_prefix", sql(f"SELECT CAST(row_number() OVER (ORDER BY tf DESC, term) AS INTEGER) AS rank, term, tf AS freq, df AS docs FROM (SELECT * FROM voc WHERE starts_with({_fold}, 're') ORDER BY tf DESC, term LIMIT 20)"))(
     lambda s, d: freq.suggest(corpus(s, d), "ré")
 )
@@ -541,7 +669,7 @@ _pscores = {
 for _k, _v in _pscores.items():
     query(f"part_{_k}", sql(f"SELECT * FROM (SELECT term, round({_v}, 6) AS score FROM pw) WHERE score IS NOT NULL", ctes=_pa))(lambda s, d, k=_k: _part_query(s, d, k))
 query("part_specificity", sql(f"""SELECT term, round(CASE WHEN up THEN -log10(greatest(least(p, 1), 1e-300)) ELSE log10(greatest(least(p, 1), 1e-300)) END, 4) AS score FROM
-    (SELECT term, up, sum({_hyper}) AS p FROM (SELECT *, f1 >= {_x1} AS up, unnest(CASE WHEN f1 >= {_x1} THEN range(CAST(f1 AS BIGINT), CAST(least({_n}, t1, f1 + 400) AS BIGINT) + 1) ELSE range(CAST(greatest(0, {_n} + t1 - {_t}, f1 - 400) AS BIGINT), CAST(f1 AS BIGINT) + 1) END) AS k FROM pw WHERE f1 >= 5) GROUP BY ALL)""", ctes=_pa))(
+    (SELECT term, up, sum({_hyper}) AS p FROM (SELECT *, f1 >= {_x1} AS up, unnest(CASE WHEN f1 >= {_x1} THEN range(CAST(f1 AS BIGINT), CAST(least({_n}, t1) AS BIGINT) + 1) ELSE range(CAST(greatest(0, {_n} + t1 - {_t}) AS BIGINT), CAST(f1 AS BIGINT) + 1) END) AS k FROM pw WHERE f1 >= 5) GROUP BY ALL)""", ctes=_pa))(
     lambda s, d: _part_query(s, d, "specificity", 4)
 )
 query("part_topk", sql(f"SELECT part, term, CAST(tf AS BIGINT) AS freq, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY tf DESC, term) - 1 AS r FROM pp) WHERE r < 500", ctes=_pa))(
@@ -608,13 +736,22 @@ def _bm(s, d):
 query("latent_bm25_raw", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) AS cosine FROM (SELECT p.r AS a, q.r AS b, sum(p.w * q.w) AS dot FROM bw p JOIN bw q ON p.c = q.c AND p.r < q.r GROUP BY ALL) JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM bw GROUP BY r) x ON x.r = a JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM bw GROUP BY r) y ON y.r = b", ctes=_bw))(
     lambda s, d: vectors.cosine_rows(_bm(s, d))
 )
+for _k, _w in {"g2": "({0})", "g2root": "sign({0}) * sqrt(abs({0}))"}.items():
+    _gw = _sel + f", gw AS (SELECT post.term AS r, doc_id AS c, {_w.format(keyness_sql('g2', 'post.tf', 'dl', 'sel.tf - post.tf', 'n - dl'))} AS w FROM post JOIN sel ON sel.term = post.term JOIN ds USING (doc_id), tot)"
+    query(f"latent_{_k}", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) + 0.0 AS cosine FROM (SELECT p.r AS a, q.r AS b, sum(p.w * q.w) AS dot FROM gw p JOIN gw q ON p.c = q.c AND p.r < q.r GROUP BY ALL) JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM gw GROUP BY r) x ON x.r = a JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM gw GROUP BY r) y ON y.r = b WHERE x.nm > 0 AND y.nm > 0", ctes=_gw))(
+        lambda s, d, k=_k: (lambda c: vectors.cosine_rows(vectors.g2_cells(c, vectors.selected_terms(c, 3, 100), k == "g2root")))(corpus(s, d))
+    )
 _full = _bw + """, fm AS (SELECT x.r, y.c, coalesce(w, 0) AS w, x.rt * y.ct / (SELECT sum(w) FROM bw) AS e FROM (SELECT r, sum(w) AS rt FROM bw GROUP BY r) x CROSS JOIN (SELECT c, sum(w) AS ct FROM bw GROUP BY c) y LEFT JOIN bw ON bw.r = x.r AND bw.c = y.c)"""
 _lat = {"pearson": "(w - e) / sqrt(e)", "dev": "CASE WHEN w > 0 THEN CASE WHEN w >= e THEN 1 ELSE -1 END * sqrt(greatest(0, 2 * (w * ln(w / e) - w + e))) ELSE -sqrt(2 * e) END"}
 for _k, _v in _lat.items():
     query(f"latent_bm25_{_k}", sql(f"SELECT 'the' AS a, q.r AS b, round(sum(p.v * q.v) / (sqrt(sum(p.v * p.v)) * sqrt(sum(q.v * q.v))), 6) AS cosine FROM rv p JOIN rv q ON p.c = q.c WHERE p.r = 'the' AND q.r <> 'the' GROUP BY q.r", ctes=_full + f", rv AS (SELECT r, c, {_v} AS v FROM fm)"))(
         lambda s, d, k=_k: vectors.residual_cosine(_bm(s, d), "the", k)
     )
-query("latent_contrast")(lambda s, d: vectors.contrast_neighbours(_bm(s, d), "the"))
+_contrast = _bw + """, nr AS (SELECT c, sqrt(sum(w * w)) AS nm FROM bw GROUP BY c), rt AS (SELECT r, sum(w) AS t FROM bw GROUP BY r), gv AS (SELECT bw.r, bw.c, w / nm AS g, w / t AS v FROM bw JOIN nr USING (c) JOIN rt USING (r)),
+    mg AS (SELECT r AS b, sum(g) / (SELECT count(*) FROM nr) AS mean FROM gv GROUP BY r), pg AS (SELECT x.r AS a, y.r AS b, sum(x.v * y.g) AS p FROM gv x JOIN gv y ON x.c = y.c GROUP BY ALL),
+    aw AS (SELECT t.a, mg.b, coalesce(p, 0) - mean AS d FROM (SELECT r AS a FROM rt) t CROSS JOIN mg LEFT JOIN pg ON pg.a = t.a AND pg.b = mg.b), xx AS (SELECT a, c, sum(d * g) AS x FROM aw JOIN gv ON gv.r = aw.b GROUP BY ALL),
+    yy AS (SELECT xx.a, xx.c, x + coalesce(v, 0) AS x FROM xx LEFT JOIN gv ON gv.r = xx.a AND gv.c = xx.c), nn AS (SELECT a, sqrt(sum(x * x)) AS n FROM yy GROUP BY a)"""
+query("latent_contrast", sql("SELECT b, round(dot / (x.n * y.n), 6) AS cosine FROM (SELECT q.a AS b, sum(p.x * q.x) AS dot FROM yy p JOIN yy q ON p.c = q.c WHERE p.a = 'the' AND q.a <> 'the' GROUP BY q.a) JOIN nn x ON x.a = 'the' JOIN nn y ON y.a = b ORDER BY dot / (x.n * y.n) DESC, b LIMIT 30", ctes=_contrast))(lambda s, d: vectors.contrast_neighbours(_bm(s, d), "the"))
 
 
 def _dev_gram(s, d, most=60):
@@ -667,10 +804,13 @@ query("dist_keyness_chord", sql(_pair, ctes=_lt + f", lw AS (SELECT r, c, sqrt(g
 _setd = _sel + ", m AS (SELECT term AS r, doc_id AS c FROM post WHERE term IN (SELECT term FROM sel)), z AS (SELECT r, CAST(count(*) AS DOUBLE) AS k FROM m GROUP BY r), i AS (SELECT p.r AS a, q.r AS b, count(*) AS n FROM m p JOIN m q ON p.c = q.c AND p.r < q.r GROUP BY ALL)"
 for _k, _v in {"gene_sharing": "1 - n / least(x.k, y.k)", "ochiai": "sqrt(greatest(0, 2 - 2 * (n / sqrt(x.k * y.k))))"}.items():
     query(f"dist_{_k}", sql(f"SELECT a, b, round({_v}, 6) AS distance FROM i JOIN z x ON x.r = a JOIN z y ON y.r = b", ctes=_setd))(lambda s, d, k=_k: vectors.set_distance(_cells(corpus(s, d)), k))
+query("dist_euclid", sql("SELECT x.r AS a, y.r AS b, round(sqrt(greatest(0, x.sq + y.sq - 2 * coalesce(dot, 0))), 6) AS distance FROM (SELECT r, sum(o * o) AS sq FROM ce GROUP BY r) x JOIN (SELECT r, sum(o * o) AS sq FROM ce GROUP BY r) y ON x.r < y.r LEFT JOIN (SELECT p.r AS a, q.r AS b, sum(p.o * q.o) AS dot FROM ce p JOIN ce q ON p.c = q.c AND p.r < q.r GROUP BY ALL) t ON t.a = x.r AND t.b = y.r", ctes=_rc))(
+    lambda s, d: vectors.euclid_rows(_cells(corpus(s, d)).select("row", "col", F.col("n").cast("double").alias("w")))
+)
 query("dist_cosine", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) AS cosine FROM (SELECT p.r AS a, q.r AS b, sum(p.o * q.o) AS dot FROM ce p JOIN ce q ON p.c = q.c AND p.r < q.r GROUP BY ALL) JOIN (SELECT r, sqrt(sum(o * o)) AS nm FROM ce GROUP BY r) x ON x.r = a JOIN (SELECT r, sqrt(sum(o * o)) AS nm FROM ce GROUP BY r) y ON y.r = b", ctes=_rc))(
     lambda s, d: vectors.cosine_rows(_cells(corpus(s, d)).select("row", "col", F.col("n").cast("double").alias("w")))
 )
-_fish = "fx AS (SELECT term, CAST(freq AS BIGINT) AS a, CAST(field_freq - freq AS BIGINT) AS b, 400 - CAST(freq AS BIGINT) AS c, 700 - CAST(field_freq - freq AS BIGINT) AS e FROM fc WHERE freq BETWEEN 3 AND 60 AND field_freq - freq BETWEEN 1 AND 60)"
+_fish = "fx AS (SELECT term, freq AS a, field_freq - freq AS b, CAST(fa AS BIGINT) - freq AS c, n - CAST(fa AS BIGINT) - (field_freq - freq) AS e FROM fc, fo, tot WHERE freq > 0)"
 _hp = lambda k: f"exp({_lc('CAST(a + b AS DOUBLE)', f'CAST({k} AS DOUBLE)')} + {_lc('CAST(c + e AS DOUBLE)', f'CAST(a + c - {k} AS DOUBLE)')} - {_lc('CAST(a + b + c + e AS DOUBLE)', 'CAST(a + c AS DOUBLE)')})"
 query("fisher_exact", sql(f"SELECT term, round(least(1, sum(p) FILTER (p <= own * (1 + 1e-7))), 6) AS two_sided, round(least(1, sum(p) FILTER (k <= a)), 6) AS left_side, round(least(1, sum(p) FILTER (k >= a)), 6) AS right_side FROM (SELECT *, {_hp('k')} AS p, {_hp('a')} AS own FROM (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + e)), least(a + b, a + c) + 1)) AS k FROM fx)) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY term"), ctes=_focus + "," + _fish))(
     lambda s, d: fisher(s, d)
@@ -678,7 +818,7 @@ query("fisher_exact", sql(f"SELECT term, round(least(1, sum(p) FILTER (p <= own
 
 
 def fisher(s, d):
-    """Every term of the focus against the true totals of focus and rest; the statement holds a band of frequencies and two fixed margins only."""
+    """Every term of the focus against the true totals of focus and rest."""
     c = corpus(s, d)
     inside, whole = freq.focus_total(c, F.col("lang") == "fr"), c.totals["n_tokens"]
     rows = freq.focus_counts(c, F.col("lang") == "fr").where("freq > 0")
@@ -687,9 +827,19 @@ def fisher(s, d):
     return rows.select("term", f.alias("f")).select("term", *(F.round(F.col(f"f.{c}"), DIGITS).alias(c) for c in ("two_sided", "left_side", "right_side")))
 
 
-query("hypergeometric", sql(f"SELECT term, round(exp({_lc('CAST(df AS DOUBLE)', '2.0')} + {_lc('CAST(nd - df AS DOUBLE)', '8.0')} - {_lc('CAST(nd AS DOUBLE)', '10.0')}), 6) AS p FROM voc, tot WHERE df >= 5 AND nd - df >= 8"))(
-    lambda s, d: (lambda c: c.vocabulary.where((F.col("df") >= 5) & (F.lit(c.totals["n_docs"]) - F.col("df") >= 8)).select("term", F.round(scorers.hypergeometric(F.lit(2), F.lit(10), F.col("df"), F.lit(c.totals["n_docs"])), DIGITS).alias("p")))(corpus(s, d))
+query("hypergeometric", sql(f"SELECT term, CASE WHEN df >= 2 AND nd - df >= 8 THEN round(exp({_lc('CAST(df AS DOUBLE)', '2.0')} + {_lc('CAST(nd - df AS DOUBLE)', '8.0')} - {_lc('CAST(nd AS DOUBLE)', '10.0')}), 6) ELSE 0 END AS p FROM voc, tot"))(
+    lambda s, d: hypergeometric(corpus(s, d))
 )
+
+
+def hypergeometric(c: Corpus) -> DataFrame:
+    """Every term's chance to be in just two of ten documents drawn; 0 where that can't be."""
+    n, df = F.lit(c.totals["n_docs"]), F.col("df")
+    can = (df >= 2) & (n - df >= 8)
+    p = scorers.hypergeometric(F.lit(2), F.lit(10), F.when(can, df), n)
+    return c.vocabulary.select("term", F.when(can, F.round(p, DIGITS)).otherwise(0.0).alias("p"))
+
+
 query("top_terms_per_label", sql("SELECT lang, term, CAST(freq AS BIGINT) AS freq, CAST(r AS INTEGER) AS rank FROM (SELECT lang, term, sum(tf) AS freq, row_number() OVER (PARTITION BY lang ORDER BY sum(tf) DESC, term) AS r FROM post GROUP BY lang, term) WHERE r <= 25"))(
     lambda s, d: top_per_group(corpus(s, d).postings.groupBy("lang", "term").agg(F.sum("tf").alias("freq")), ["lang"], "freq", 25, "term")
 )

@@ -1,14 +1,18 @@
-"""Span queries: parsing, planning as joins over positions, and merged snippets.
+"""Span queries: parsing, resolution, planning as joins over positions, and merged snippets.
 
 A query is a list of clauses: words (``_`` for a blank), "quoted terms", prefixes
 (``foo*``), wildcards (``f?o*``) and groups in parentheses, which stand for any of
-their members.  Several clauses match near each other in any order, with at most
+their members.  A quoted term is one term of several words, as an analysis that
+joins expressions leaves it, and no phrase; ``phrase`` finds words in a row.
+Words that the corpus doesn't have, and stop words, drop out of a query before
+it is planned.  Several clauses match near each other in any order, with at most
 ``slop`` foreign positions in between.  Spans are rows (doc_id, start, end).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,32 +51,76 @@ class AnyOf:
         return "(" + " ".join(map(str, self.members)) + ")"
 
 
-def parse(query: str) -> list:
-    """The clauses of a query; nested groups are flattened and an open one closes at the end."""
+def parse(query: str, split: Callable[[str], list[str]] | None = None) -> list:
+    """The clauses of a query; nested groups are flattened and an open one closes at the end.
+
+    ``split`` cuts a word as the texts' words were cut, such as ``analysis.split_clitics``.
+    """
     clauses, group, depth = [], [], 0
     normal = query.replace("’", "'").replace("“", '"').replace("”", '"').replace("‐", "-").replace("–", "-")
+    pieces = split or (lambda w: [w])
+
+    def close() -> None:
+        distinct = tuple(dict.fromkeys(group))
+        clauses.append(AnyOf(distinct) if len(distinct) > 1 else distinct[0])
+        group.clear()
+
     for quoted, paren, word in _LEX.findall(normal):
         if paren == "(":
             depth += 1
-            continue
-        if paren == ")":
+        elif paren == ")":
             if depth == 1 and group:
-                clauses.append(AnyOf(tuple(dict.fromkeys(group))) if len(set(group)) > 1 else group[0])
-                group = []
+                close()
             depth = max(0, depth - 1)
-            continue
-        if word:
-            text = word.replace("_", " ").strip()
-            item = Pattern(text) if re.search(r"[*?]", text) else Term(text)
+        elif word:
+            for piece in [word] if re.search(r"[*?]", word) else pieces(word):
+                text = piece.replace("_", " ").strip()
+                if text:
+                    (group if depth else clauses).append(Pattern(text) if re.search(r"[*?]", text) else Term(text))
         else:
-            item = Term(quoted.strip())
-        if item.text:
-            (group if depth else clauses).append(item)
+            text = " ".join(p for w in quoted.replace("_", " ").split() for p in pieces(w))
+            if text:
+                (group if depth else clauses).append(Term(text))
     if group:
-        clauses.append(AnyOf(tuple(dict.fromkeys(group))) if len(set(group)) > 1 else group[0])
+        close()
     return clauses
 
 
+def resolve(corpus: Corpus, clauses: list, stopwords: Sequence[str] = (), roots: DataFrame | None = None) -> list:
+    """The clauses as the corpus can answer them.
+
+    Stop words, terms that the whole corpus doesn't have and bare ``*`` drop out, and groups or clauses without
+    members with them.  With ``roots`` (form, root), a term that is a root of its own stays, any other stands for its
+    roots that the corpus has, or for itself if it has none of them.
+    """
+    every = [m for c in clauses for m in (c.members if isinstance(c, AnyOf) else [c])]
+    terms = {m.text.lower() for m in every if isinstance(m, Term)} - {w.lower() for w in stopwords}
+    of: dict[str, list[str]] = {}
+    if roots is not None:
+        # The rows of the query's own words.
+        for r in roots.where(F.col("form").isin(sorted(terms))).select("form", "root").distinct().orderBy("form", "root").collect():
+            of.setdefault(r["form"], []).append(r["root"])
+    known = corpus.indexed(terms | {x for found in of.values() for x in found})
+
+    def members(item) -> list:
+        if isinstance(item, Pattern):
+            return [item] if item.text.strip("*") else []
+        text = item.text.lower()
+        if text not in terms:
+            return []
+        found = of.get(text, []) if " " not in text else []
+        if text in found and text in known:
+            return [Term(text)]
+        return [Term(r) for r in found if r in known] or ([Term(text)] if text in known else [])
+
+    out = []
+    for c in clauses:
+        kept = tuple(dict.fromkeys(x for m in (c.members if isinstance(c, AnyOf) else [c]) for x in members(m)))
+        if kept:
+            out.append(AnyOf(kept) if len(kept) > 1 else kept[0])
+    return out
+
+
 def canonical(clauses: list) -> str:
     """A query string that parses to the same clauses."""
     return " ".join(map(str, clauses))
@@ -89,60 +137,66 @@ def matching_terms(corpus: Corpus, pattern: str, limit: int = MAX_EXPANSIONS) ->
     return corpus.vocabulary.where(hit).orderBy(F.desc("tf"), "term").limit(limit).select("term")
 
 
-def _member(corpus: Corpus, item) -> DataFrame:
-    if isinstance(item, Term):
-        words = item.text.lower().split()
-        if len(words) == 1:
-            return corpus.occurrences(words).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
-        following = Window.partitionBy("doc_id").orderBy("pos")
-        might = corpus.select(reduce(lambda a, b: a & b, (F.lower("text").contains(w) for w in words)))
-        rows = might.tokens.select("doc_id", "pos", "term", *(F.lead("term", i).over(following).alias(f"t{i}") for i in range(1, len(words))))
-        same = reduce(lambda a, b: a & b, [F.col("term") == words[0], *(F.col(f"t{i}") == w for i, w in enumerate(words[1:], 1))])
-        return rows.where(same).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + len(words)).alias("end"))
-    # At most MAX_EXPANSIONS terms: a bounded side.
-    terms = F.broadcast(matching_terms(corpus, item.text))
-    return corpus.tokens.join(terms, "term", "left_semi").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+def phrase(corpus: Corpus, words: Sequence[str]) -> DataFrame:
+    """Spans of words that stand in a row; each word after the first is met by an equi-join on its place."""
+    words = [w.lower() for w in words]
+    found = corpus.occurrences(sorted(set(words))).select("doc_id", "pos", "term")
+    rows = found.where(F.col("term") == words[0]).select("doc_id", F.col("pos").alias("start"))
+    for i, w in enumerate(words[1:], 1):
+        rows = rows.join(found.where(F.col("term") == w).select("doc_id", (F.col("pos") - i).alias("start")), ["doc_id", "start"], "left_semi")
+    return rows.select("doc_id", "start", (F.col("start") + len(words)).alias("end"))
 
 
 def clause_spans(corpus: Corpus, clause) -> DataFrame:
-    if not isinstance(clause, AnyOf):
-        return _member(corpus, clause)
-    plain = [m.text.lower() for m in clause.members if isinstance(m, Term) and " " not in m.text]
-    rest = [m for m in clause.members if not (isinstance(m, Term) and " " not in m.text)]
-    parts = [_member(corpus, m) for m in rest]
-    if plain:
-        parts.insert(0, corpus.occurrences(plain).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
+    """doc_id, start, end of the tokens that a clause means; each is one position."""
+    members = clause.members if isinstance(clause, AnyOf) else (clause,)
+    one = lambda rows: rows.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    plain = [m.text.lower() for m in members if isinstance(m, Term)]
+    parts = [one(corpus.occurrences(plain))] if plain else []
+    for m in members:
+        if isinstance(m, Pattern):
+            # At most MAX_EXPANSIONS terms, by name: the tokens of these alone are read.
+            terms = [r["term"] for r in matching_terms(corpus.index, m.text.lower()).collect()]
+            parts.append(one(corpus.occurrences(terms)) if terms else _none(corpus))
     whole = reduce(DataFrame.unionByName, parts)
     return whole.distinct() if len(parts) > 1 else whole
 
 
-def near(spans: list[DataFrame], slop: int) -> DataFrame:
+def _none(corpus: Corpus) -> DataFrame:
+    return corpus.tokens.where("false").select("doc_id", F.col("pos").alias("start"), F.col("pos").alias("end"))
+
+
+def near(spans: list[DataFrame], slop: int, longest: Sequence[int] | None = None) -> DataFrame:
     """Unordered proximity: for each document and start, the shortest window with one span of every clause.
 
-    Every step is an equi-join on document and bucket of positions, so its work follows the hits and not the documents' lengths squared.
+    A window matches if it is at most ``slop`` longer than its spans together; they may overlap, but no two clauses
+    take a span at one start.  ``longest`` has the length of each clause's longest span; it is looked up where it isn't
+    given.  Every step is an equi-join on document
+    and bucket of positions, so its work follows the hits and not the documents' lengths squared.
     """
-    width = slop + 8 * len(spans)
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("int")
+    if longest is None:
+        longest = [s.agg(F.coalesce(F.max(F.col("end") - F.col("start")), F.lit(1))).first()[0] for s in spans]
+    # No window that matches is wider, so no part of it is.
+    width = slop + sum(longest)
+    bucket = lambda c: F.floor(c / F.lit(max(width, 1))).cast("int")
     now = spans[0].select("doc_id", F.col("start").alias("lo"), F.col("end").alias("hi"), (F.col("end") - F.col("start")).alias("used"), F.array("start").alias("taken"))
     for other in spans[1:]:
         side = other.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e")).withColumn("b", bucket(F.col("s")))
-        probes = now.withColumn("b", F.explode(F.sequence(bucket(F.greatest(F.col("hi") - 1 - width, F.lit(0))), bucket(F.col("lo") + width))))
+        probes = now.withColumn("b", F.explode(F.sequence(bucket(F.greatest(F.col("hi") - width, F.lit(0))), bucket(F.col("lo") + width))))
         lo, hi = F.least("lo", "s"), F.greatest("hi", "e")
-        used = F.col("used") + F.col("e") - F.col("s")
-        # Foreign positions so far can only grow by the clauses still to come.
-        met = probes.join(side, ["doc_id", "b"]).where((hi - lo - used <= slop + 8 * len(spans)) & ~F.array_contains("taken", F.col("s")))
-        now = met.select("doc_id", lo.alias("lo"), hi.alias("hi"), used.alias("used"), F.array_append("taken", F.col("s")).alias("taken"))
+        met = probes.join(side, ["doc_id", "b"]).where((hi - lo <= width) & ~F.array_contains("taken", F.col("s")))
+        now = met.select("doc_id", lo.alias("lo"), hi.alias("hi"), (F.col("used") + F.col("e") - F.col("s")).alias("used"), F.array_append("taken", F.col("s")).alias("taken"))
     hits = now.where(F.col("hi") - F.col("lo") - F.col("used") <= slop)
     return hits.groupBy("doc_id", F.col("lo").alias("start")).agg(F.min("hi").alias("end"))
 
 
-def find(corpus: Corpus, query: str, slop: int = 20) -> DataFrame:
+def find(corpus: Corpus, query: str, slop: int = 20, stopwords: Sequence[str] = (), roots: DataFrame | None = None, split: Callable[[str], list[str]] | None = None) -> DataFrame:
     """The spans of a query."""
-    clauses = parse(query)
+    clauses = resolve(corpus, parse(query, split), stopwords, roots)
     if not clauses:
-        return corpus.tokens.where("false").select("doc_id", F.col("pos").alias("start"), F.col("pos").alias("end"))
+        return _none(corpus)
     parts = [clause_spans(corpus, c) for c in clauses]
-    return parts[0] if len(parts) == 1 else near(parts, slop)
+    return parts[0] if len(parts) == 1 else near(parts, slop, [1] * len(parts))
 
 
 def snippets(spans: DataFrame, gap: int) -> DataFrame:

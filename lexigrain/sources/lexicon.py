@@ -65,12 +65,20 @@ def ngrams(tokens: DataFrame, n: int, k: int) -> DataFrame:
     return rows.groupBy(gram.alias("gram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(k)
 
 
-def training_lines(corpus: Corpus, stop: list[str]) -> DataFrame:
-    """doc_id, line: a document's terms but the stop words, for training word vectors; needs no shuffle."""
-    from lexigrain.plans.corpus import words_of
-
-    words = F.filter(words_of(F.col("text")), lambda x: ~x.isin(stop))
-    return corpus.documents.select("doc_id", F.array_join(words, " ").alias("line"))
+def name_runs(tokens: DataFrame, k: int) -> DataFrame:
+    """name, n: the k commonest runs of two or more words with a capital initial, of surface tokens."""
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    rows = tokens.withColumn("capital", F.col("term").rlike(r"^\p{Lu}\p{L}")).withColumn("run", F.sum(F.when(F.col("capital"), 0).otherwise(1)).over(order))
+    runs = rows.where("capital").groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "term"))).alias("t"))
+    names = runs.where(F.size("t") > 1).select(F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k)
+
+
+def training_lines(corpus: Corpus, stop: list[str], number: str = "#") -> DataFrame:
+    """doc_id, line: a document's terms but the stop words, blanks in them as ``_`` and numbers as one sign, for training word vectors; needs no shuffle."""
+    words = F.filter("words", lambda x: x.isNotNull() & ~x.isin(stop))
+    plain = F.transform(words, lambda x: F.when(x.rlike("^[0-9]+(?:[.,][0-9]+)*$"), F.lit(number)).otherwise(F.replace(x, F.lit(" "), F.lit("_"))))
+    return corpus.rail.select("doc_id", F.array_join(plain, " ").alias("line"))
 
 
 def chapters(rows: DataFrame, book: str = "conv_id", order: str = "turn") -> DataFrame:

@@ -79,14 +79,20 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load(paths)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
 
+    return parsed(files.select("content", stem.alias("stem")))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """All documents of rows (content, stem), XML as bytes and the name it is known by."""
+
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [d for c, s in zip(pdf["content"], pdf["stem"], strict=True) for d in parse_documents(c, s)]
+            rows = [d for c, s in zip(pdf["content"], pdf["stem"], strict=True) for d in parse_documents(bytes(c), s)]
             yield pd.DataFrame(rows, columns=DOCUMENT.fieldNames())
 
-    return files.select("content", stem.alias("stem")).mapInPandas(run, DOCUMENT)
+    return files.select("content", "stem").mapInPandas(run, DOCUMENT)
 
 
 def typed(docs: DataFrame, name: str, kind: str) -> Column:

@@ -12,7 +12,8 @@ from lexigrain.operators import analysis as an
 from lexigrain.operators import concord, cooc, parts, rank, vectors
 from lexigrain.operators import frequency as fr
 from lexigrain.plans import spans as sp
-from lexigrain.plans.corpus import Corpus
+from lexigrain.plans import operations, store
+from lexigrain.plans.corpus import Corpus, folded, folded_text
 from lexigrain.plans.queries import QUERIES
 from lexigrain.sources import lexicon, word2vec, xml
 from lexigrain.streaming import append
@@ -127,12 +128,42 @@ def spans(df):
 
 def test_spans(toy):
     assert spans(sp.find(toy, "fox")) == [(1, 1, 2), (1, 7, 8), (2, 8, 9), (2, 17, 18)]
-    assert spans(sp.find(toy, '"red hen"')) == [(1, 3, 5)]
+    assert spans(sp.phrase(toy, ["Red", "hen"])) == [(1, 3, 5)] and spans(sp.phrase(toy, ["the", "hen", "the"])) == [(2, 0, 3), (2, 2, 5)]
     assert spans(sp.find(toy, "re*")) == [(1, 0, 1), (1, 3, 4), (2, 13, 14), (3, 1, 2)]
     assert spans(sp.find(toy, "f?x (barn)")) == [(2, 8, 15), (2, 14, 18)]
     assert spans(sp.find(toy, "red fox", 1)) == [(1, 0, 2), (1, 1, 4)]
     assert spans(sp.find(toy, "hen hen", 1)) == [(2, 1, 4), (2, 3, 6)]
-    assert spans(sp.find(toy, "absent")) == [] and spans(sp.find(toy, "")) == []
+    assert spans(sp.find(toy, "absent")) == [] and spans(sp.find(toy, "")) == [] and spans(sp.find(toy, "*")) == []
+
+
+def test_words_that_the_corpus_lacks_drop_out(spark, toy):
+    fox = spans(sp.find(toy, "fox"))
+    assert spans(sp.find(toy, "absent fox")) == fox == spans(sp.find(toy, '(absent) fox "red hen"')) == spans(sp.find(toy, "THE fox", stopwords=["the"]))
+    # What a part of the corpus lacks, the whole may have.
+    assert spans(sp.find(toy.select(F.col("lang") == "fr"), "fox renard")) == []
+    roots = spark.createDataFrame([("foxes", "fox"), ("foxes", "renard"), ("foxes", "absent"), ("red", "red"), ("red", "fox"), ("hen", "gone")], "form string, root string")
+    found = sp.resolve(toy, sp.parse("foxes (red hen)"), roots=roots)
+    assert found == [sp.AnyOf((sp.Term("fox"), sp.Term("renard"))), sp.AnyOf((sp.Term("red"), sp.Term("hen")))]
+    assert sp.resolve(toy, sp.parse("l'hen", an.split_clitics)) == [sp.Term("hen")]
+
+
+def test_quoted_terms_are_single_tokens(spark):
+    docs = spark.createDataFrame([(1, "The end of the line, of the end"), (2, "of the"), (3, None), (4, "...")], "doc_id long, text string")
+    c = Corpus(docs, keep=()).analysed(an.canonic(["the", "end"], entries=["of the"]))
+    assert spans(sp.find(c, '"of_the"')) == [(1, 2, 3), (1, 5, 6), (2, 0, 1)]
+    assert {r.doc_id: (r.doc_tokens, r.doc_width) for r in c.doc_stats.collect()} == {1: (3, 6), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+    assert {r.term: (r.tf, r.df) for r in c.vocabulary.collect()} == {"of the": (3, 2), "line": (1, 1)}
+    around = cooc.context_counts(c, sp.snippets(sp.find(c, "line"), 0), 1, 2).collect()
+    assert {r.term: r.freq for r in around} == {"of the": 2, "line": 1}
+
+
+def test_near_holds_long_members(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    c = Corpus(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), keep=())
+    long = sp.phrase(c, words[10:70])
+    assert spans(long) == [(1, 10, 70)]
+    for word, slop, want in (("wa" + "a", 9, [(1, 0, 70)]), (words[0], 8, []), (words[75], 5, [(1, 10, 76)]), (words[75], 4, []), (words[30], 0, [(1, 10, 70)])):
+        assert spans(sp.near([long, sp.find(c, word)], slop)) == want == spans(sp.near([sp.find(c, word), long], slop))
 
 
 def brute_near(positions, slop):
@@ -257,6 +288,45 @@ def test_rewriting_filters(spark):
     assert terms(an.replaced(t, m))[:2] == ["rats", "see"]
 
 
+def test_lemmas_by_tag_and_order(spark):
+    rows = [(1, i, 1, w, t) for i, (w, t) in enumerate([("saw", "NOUN"), ("saw", "VERB"), ("Saw", "X"), ("USA", "X"), ("usa", "X"), ("mice", None)])]
+    t = spark.createDataFrame(rows, "doc_id long, seq int, pos_inc int, term string, tag string")
+    lex = spark.createDataFrame([("saw", "VERB", "see", 2), ("saw", "NOUN", "saw-n", 1), ("usa", None, "user", 3), ("mice", None, "z-first", 1), ("mice", None, "a-second", 2)], "form string, tag string, lemma string, ord int")
+    assert terms(an.lemmas(t, lex), "tag", "lemma") == [("saw", "NOUN", "saw-n"), ("saw", "VERB", "see"), ("saw", "X", "saw-n"), ("USA", "X", None), ("usa", "X", "user"), ("mice", None, "z-first")]
+
+
+def test_cleaning_looks_at_tags_and_lemmas(spark):
+    rows = [(1, i, 1, *x) for i, x in enumerate([("a", "ADP", None), ("b", "NOUN", None), ("чат", "NOUN", None), ("чат", "NOUN", "chat"), ("of the", "ADP", None), ("x-", "NOUN", "y"), ("l'", "DET", None), (".", "PUNCT", None), ("fin", "NOUN", None)])]
+    t = spark.createDataFrame(rows, "doc_id long, seq int, pos_inc int, term string, tag string, lemma string")
+    assert [(r.pos, r.term) for r in an.cleaned(t).orderBy("pos").collect()] == [(0, "a"), (3, "of the"), (6, "fin")]
+
+
+def test_expressions_by_lemma_and_overlaps(spark):
+    rows = [(1, i, 1, w, m) for i, (w, m) in enumerate([("takes", "take"), ("place", None), ("of", None), ("the", None), ("art", None), ("of", None)])]
+    t = spark.createDataFrame(rows, "doc_id long, seq int, pos_inc int, term string, lemma string")
+    assert terms(an.expressions(t, ["take place", "place of the", "of the art", "the art"])) == ["take place", "of the art", "of"]
+    assert terms(an.expressions(t, [])) == ["takes", "place", "of", "the", "art", "of"] and an.expressions(t.where("false"), ["a b"]).collect() == []
+
+
+def test_zones_by_attribute(spark):
+    t = tokens(spark, ['<div class="a" x:note="1">', "in", "<div>", "deep", "</div>", "<br/>", "still", "</div>", "out", "<p Note>", "no", "</p>", "<p note='2'>", "two", "</p>", "end"])
+    zone = lambda *e: terms(an.zone(t, e, True))
+    assert zone("@class") == ["in", "deep", "still"] == zone('@class="a"') and zone('@class="b"') == [] and zone("@note") == ["in", "deep", "still", "two"]
+    assert zone("@note='2'", "@absent") == ["two"] and terms(an.zone(t, ["@note", "p"], False)) == ["out", "end"]
+    with pytest.raises(ValueError):
+        an.zone(t, ["@a=b"], True)
+
+
+def test_names_and_outside_rankings(spark, toy):
+    t = tokens(spark, ["Anna", "Lee", "met", "Bo", "and", "Anna", "Lee", "."])
+    assert [(r["name"], r.n) for r in lexicon.name_runs(t, 5).collect()] == [("Anna Lee", 2)]
+    given = spark.createDataFrame([("fox", 1.0), ("hen", 5.0), ("none", 9.0)], "term string, score double")
+    counts = toy.vocabulary.select("term", F.col("tf").alias("freq"))
+    assert [r.term for r in rank.ranked_outside(counts, given).orderBy("rank").collect()] == ["hen", "fox"]
+    assert [r.rank for r in rank.ranked_outside(counts, given, "freq").orderBy("term").collect()] == [1, 2]
+    assert [r.doc_id for r in rank.sorted_by_label(toy.documents, "source", 9).collect()] == [5, 1, 2, 3, 4]
+
+
 def test_longest_expression_wins(spark):
     t = tokens(spark, ["in", "the", "In", "the", "end", "of", "the", "end"])
     assert terms(an.expressions(t, ["in the", "in the end", "the end"])) == ["in the", "in the end", "of", "the end"]
@@ -303,7 +373,9 @@ def test_markup(spark):
 
 def test_small_functions(spark):
     assert [value(spark, an.roman_value(F.lit(x))) for x in ("XIV", "mcmxc", "IIII", "", "q")] == [14, 1990, -1, -1, -1]
-    assert value(spark, fr.folded(F.lit("œil été"))) == "oeil ete"
+    assert value(spark, folded(F.lit("œil été"))) == "oeil ete" == folded_text("œil été")
+    assert value(spark, sc.gamma(F.lit(4.5))) == pytest.approx(math.gamma(4.5)) and value(spark, sc.incomplete_gamma(F.lit(1.0), F.lit(2.0))) == pytest.approx(1 - math.exp(-2))
+    assert value(spark, sc.incomplete_gamma(F.lit(0.5), F.lit(1.5))) == pytest.approx(math.erf(1.5**0.5)) and value(spark, sc.incomplete_gamma(F.lit(2.0), F.lit(0.0))) == 0
     assert [value(spark, an.dotted_abbreviation(F.lit(x))) for x in ("M.", "p.ex.", "J.-J.", "word.")] == [True, True, True, False]
     assert [value(spark, an.ocr_garbage(F.lit(x))) for x in ("word", "baaad", "x", "a1b")] == [False, True, True, False]
 
@@ -313,6 +385,13 @@ def test_suggestions(toy):
     assert [r.term for r in fr.suggest(toy, "ard").collect()] == ["renard"]
 
 
+def test_ligatures_in_suggestions(spark):
+    c = Corpus(spark.createDataFrame([(1, "cœur œuvre coeur manœuvre été")], "doc_id long, text string"), keep=())
+    assert [r.term for r in fr.suggest(c, "ŒU").orderBy("rank").collect()] == ["coeur", "cœur", "manœuvre", "œuvre"]
+    marks = lambda t, w: value(spark, operations.marked(F.lit(t), w))
+    assert marks("cœur", "oeu") == "c<mark>œu</mark>r" and marks("cœur", "e") == "c<mark>œ</mark>ur" and marks("étété", "te") == "é<mark>té</mark><mark>té</mark>" and marks("abc", "x") == "abc" and marks("abc", "") == "abc"
+
+
 def test_series(spark):
     df = spark.createDataFrame([(x,) for x in (1, 2, 2, 3, 4, 7, 9)], "v long")
     r = fr.series_statistics(df, "v").first()
@@ -326,6 +405,17 @@ def test_concordance(toy):
     assert html[1] == "red <mark>fox</mark> and red hen and the <mark>fox</mark>" and set(html) == {1, 2}
 
 
+def test_concordances_show_the_text_as_it_is(spark):
+    c = Corpus(spark.createDataFrame([(1, "An ÉTÉ in <b>Rome</b>: été, ROME!"), (2, "İ Rome")], "doc_id long, text string"), keep=())
+    rows = {(r.doc_id, r.start): (r.left, r.pivot, r.right) for r in concord.keyword_in_context(c, sp.find(c, "rome"), 6).collect()}
+    assert rows[(1, 4)] == ("in <b>", "Rome", "</b>: ") and rows[(1, 7)] == (" été, ", "ROME", "!")
+    plain = {(r.doc_id, r.start): (r.left, r.right) for r in concord.keyword_in_context(c, sp.find(c, "rome"), 6, detag=True).collect()}
+    assert plain[(1, 4)] == ("in", ":")
+    found = sp.find(c, "été")
+    html = concord.highlighted(c, found, snippets=sp.snippets(found, 2)).first().html
+    assert html == 'An <span id="s0"><mark>ÉTÉ</mark></span> in <b>Rome</b>: <span id="s1"><mark>été</mark></span>, ROME!'
+
+
 def test_histogram_has_a_row_for_every_year(toy):
     assert [(r.year, r.docs, r.tokens) for r in fr.histogram(toy).orderBy("year").collect()] == [(1, 1, 8), (2, 2, 21), (3, 0, 0), (4, 1, 0)]
 
@@ -468,10 +558,47 @@ def test_stream_appends_tokens_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(where[1]).collect())) == [(1, 0, "one"), (1, 1, "two"), (2, 0, "three")]
 
 
-def test_materialised_corpus(spark, toy, tmp_path):
-    toy.materialise(str(tmp_path / "c"), partitions=2)
-    assert spark.read.parquet(str(tmp_path / "c/tokens")).count() == 29
-    assert Counter(map(tuple, spark.read.parquet(str(tmp_path / "c/vocabulary")).select("term", "tf", "df").collect())) == Counter(map(tuple, toy.vocabulary.select("term", "tf", "df").collect()))
+def test_stored_corpus_equals_the_texts(spark, toy, tmp_path):
+    path = f"file://{tmp_path}/c"
+    assert store.build(toy, path) == 1
+    c = store.open_stored(spark, path, toy.documents)
+    same = lambda f, *columns: Counter(map(tuple, f(c).select(*columns).collect())) == Counter(map(tuple, f(toy).select(*columns).collect()))
+    french = F.col("lang") == "fr"
+    for part in (lambda x: x, lambda x: x.select(french).select(F.col("doc_id") == 3)):
+        assert part(c).totals == part(toy).totals
+        assert same(lambda x: part(x).tokens, "doc_id", "lang", "pos", "term") and same(lambda x: part(x).postings, "term", "doc_id", "year", "dl", "tf")  # noqa: B023
+        assert same(lambda x: part(x).vocabulary, "term", "tf", "df") and same(lambda x: part(x).doc_stats, "doc_id", "source", "doc_tokens", "doc_width")  # noqa: B023
+        assert same(lambda x: part(x).folded_vocabulary(), "term", "plain") and same(lambda x: part(x).occurrences(["fox", "le"]), "doc_id", "pos", "term")  # noqa: B023
+        assert same(lambda x: x.contexts(sp.snippets(sp.find(part(x), "fox le"), 3), 2, 2), "doc_id", "snip", "pos", "term")  # noqa: B023
+        assert same(lambda x: fr.focus_counts(part(x), french), "term", "freq", "docs", "field_freq", "field_docs")  # noqa: B023
+    assert c.indexed(["fox", "no"]) == {"fox"} == toy.indexed(["fox", "no"]) and same(lambda x: concord.highlighted(x, sp.find(x, "fox")), "doc_id", "html")
+    plan = c.vocabulary._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "posting" not in plan
+
+
+def test_versions_of_a_store(spark, toy, tmp_path):
+    path = f"file://{tmp_path}/c"
+    with pytest.raises(ValueError):
+        store.open_stored(spark, path, toy.documents)
+    store.build(toy, path)
+    old = store.open_stored(spark, path, toy.documents)
+    assert store.build(toy.select(F.col("lang") == "fr"), path) == 2
+    assert store.open_stored(spark, path, toy.documents).totals["all_docs"] == 3 and old.totals["all_docs"] == 5
+    (tmp_path / "c/building-dead").mkdir()
+    assert store.retire(spark, path) == 0 and store.versions(spark, path) == [1, 2]
+    assert store.retire(spark, path, grace_hours=-1) == 2 and store.versions(spark, path) == [2]
+    with pytest.raises(ValueError):
+        store.open_stored(spark, path, toy.documents, version=1)
+
+
+def test_queries_share_one_store(spark, tmp_path):
+    docs = spark.createDataFrame(TOY, "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    built = len(store._known)
+    first = QUERIES["vocab"](spark, str(tmp_path)).count()
+    assert QUERIES["field_totals"](spark, str(tmp_path)).first().n_tokens == 29 and len(store._known) == built + 1
+    docs.unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("new words"))).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["vocab"](spark, str(tmp_path)).count() == first + 2 and len(store._known) == built + 2
 
 
 def test_sinks(spark, toy, tmp_path):
