@@ -40,7 +40,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.encode(docs, path, check_col="round_trip")
+    rows = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, check_col="round_trip")
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
@@ -52,7 +52,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: A trained model and a tokenizer can't be put as SQL; tests hold run() against a brute-force version.
+#: A trained model and a tokenizer can't be put as SQL; tests hold every stage and run() against plain Python loops.
 ORACLE_SQL = None
 
 
