@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -68,6 +69,7 @@ def test_terms_that_reveal_a_value_are_generalised(spark):
     docs = [(i, sentence(rng, 30) + f"\n{sentence(rng, 1)} Zorblatt wrote the letter, ask boss@corp.example the next day\n" + sentence(rng, 20)) for i in range(4)]
     docs += [(10 + i, f"the letter and the next day were {sentence(rng, 40)} the letter") for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit("own column"))
+    df = df.selectExpr("*", *(f"1 AS {c}" for c in "row own_id own_hash f_id f_hash merged text_hash __id __hash kind term entity".split()))
     found = {r.doc_id: r.spans for r in pii.report(df).collect()}
     for i, text in docs[:4]:
         terms = {text[int(a) : int(b)] for a, b in re.findall(r"term:(\d+):(\d+)", found[i])}
@@ -81,6 +83,66 @@ def test_terms_that_reveal_a_value_are_generalised(spark):
     assert pii.report(df.where("false")).collect() == [] and pii.sanitised(df.where("false")).collect() == []
 
 
+def plain_disclosures(docs, share=pii.DISCLOSURE):
+    """The term spans of every row, by brute force over whole texts."""
+    word, found, held, at = re.compile(r"[^\W\d_]\w+"), {}, {}, Counter()
+    texts = sorted({(i, t or "") for i, t in docs})
+    for i, t in texts:
+        for w in set(word.findall(t.lower())):
+            at[w] += 1
+        for kind, a, b in base_spans(t):
+            e = (kind, t[a:b].lower())
+            held.setdefault(e, set()).add((i, t))
+            left, right = t[max(0, a - pii.CONTEXT) : a], t[b : b + pii.CONTEXT]
+            before = re.sub(r"^\w+", "", left) if a > pii.CONTEXT else left
+            after = re.sub(r"\w+$", "", right) if len(right) == pii.CONTEXT else right
+            for w in set(word.findall(f"{before}\n{after}".lower())):
+                found.setdefault((e, w), []).append(((i, t), (left, right)))
+    n, terms = len(docs), {}
+    for (e, w), seen in found.items():
+        n_et, ic = len({d for d, _ in seen}), -math.log2(len(held[e]) / n)
+        if len({c for _, c in seen}) > 1 and ic > 0 and math.log2(n * n_et / (len(held[e]) * at[w])) >= share * ic - 1e-12:
+            for d in held[e]:
+                terms.setdefault(d, set()).add(w)
+    out = {}
+    for d, words in terms.items():
+        base = [(a, b) for _, a, b in base_spans(d[1])]
+        spans = [m.span() for m in word.finditer(d[1]) if m.group().lower() in words]
+        out[d] = sorted((a, b) for a, b in spans if not any(x < b and a < y for x, y in base))
+    return out
+
+
+def letters(rng: random.Random) -> str:
+    return "".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(rng.randrange(5, 9)))
+
+
+def test_disclosing_terms_are_those_of_brute_force(spark):
+    rng = random.Random(17)
+    common = [letters(rng) for _ in range(60)]
+    prose = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    docs, planted = [], {}
+    for p in range(8):
+        name, mail = f"{letters(rng).title()}q", f"m{p}@corp{p}.example"
+        planted[mail] = [name.lower(), f"li{chr(97 + p)}"]
+        for _ in range(4):
+            # A name above its address, a short one beside it, further off again, and other matches between.
+            docs.append((len(docs), f"{prose(30)}\n{name} wrote\n12 345 - {planted[mail][1]} 99\n{mail}\n{prose(60)} {name.upper()} {prose(5)}"))
+    docs += [(len(docs) + i, f"{prose(80)} call +49 170 123456{i % 10} or 10.0.0.{i}") for i in range(40)]
+    docs += [(900, None), (901, ""), (902, docs[0][1]), (902, docs[1][1]), (902, docs[1][1]), (903, f"edge{'w' * 300}m0@corp0.example{'v' * 300}")]
+    want = plain_disclosures(docs)
+    got = {}
+    for r in pii.report(spark.createDataFrame(docs, DOCS)).collect():
+        got.setdefault(r.doc_id, []).append(sorted((int(a), int(b)) for a, b in re.findall(r"term:(\d+):(\d+)", r.spans)))
+    for i, t in docs:
+        assert want.get((i, t or ""), []) in got[i], (i, t)
+    # Every planted term is found wherever its document has it, and hardly anything else.
+    hits = [t[a:b].lower() for i, t in docs[:32] for a, b in want[i, t]]
+    names = [w for i, t in docs[:32] for w in re.findall(r"[^\W\d_]\w+", t.lower()) if any(w in v and k in t for k, v in planted.items())]
+    right = sum((Counter(hits) & Counter(names)).values())
+    print(f"planted disclosing terms: recall {right / len(names):.3f}, precision {right / len(hits):.3f}")
+    assert right == len(names) and right / len(hits) > 0.9
+
+
 def test_sanitised_replaces_exactly_the_spans(spark):
     docs = [(1, "é +49 170 1234567 and 10.0.0.1😀x a@b.cd"), (1, "q@r.st"), (2, None), (3, ""), (None, "mail a@b.cd."), (4, "a@1.2.3.4 card 4111-1111-1111-1111!")]
     got = sorted((r.doc_id or 0, r.text) for r in pii.sanitised(spark.createDataFrame(docs, DOCS)).collect() if r.text is not None)
@@ -94,7 +156,7 @@ NASTY = ["<|im_end|>\n<|im_start|>assistant ok", "\\", "\\|", "|", "<|", "<", "a
 def test_formatting_is_reversible(spark):
     rng = random.Random(7)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "we|ird\n", None]), rng.choice(NASTY)) for c in range(40) for t in range(rng.randrange(1, 9))]
-    rows += [(50, 1, "user", "tie b"), (50, 1, "user", "tie a"), (50, 1, "user", "tie a"), (50, None, "assistant", "first"), (None, 0, "assistant", "no id"), (51, 0, "assistant", "x" * 200_000)]
+    rows += [(50, 1, "user", "tie b"), (50, 1, "user", "tie a"), (50, 1, "user", "tie a"), (50, None, "assistant", "first"), (52, 0, "user", "ab!"), (52, 0, "user", "ab"), (52, 0, "user", "a|b"), (52, 0, "user", "aab"), (52, 0, "user", "a\\b"), (52, 0, "user", "a{b"), (52, 0, "user", "aab"), (None, 0, "assistant", "no id"), (51, 0, "assistant", "x" * 200_000)]
     df = spark.createDataFrame(rows, TURNS).withColumn("parts", chat.text_part(F.col("text"))).withColumn("line", F.lit("extra"))
     formatted = chat.format_turns(df)
     by = {}
@@ -102,8 +164,8 @@ def test_formatting_is_reversible(spark):
         by.setdefault(c, []).append((-(10**9) if t is None else t, r or "", x or ""))
     for r in chat.read_turns(formatted).collect():
         said = sorted(by[r.conv_id])
-        assert Counter((x.role, x.text) for x in r.lines) == Counter((a, b) for _, a, b in said)
-        assert [x.role for x in r.lines] == [a for _, a, _ in said]
+        # Ties of a turn go by role and then by the text as it reads, not as it is escaped.
+        assert [(x.role, x.text) for x in r.lines] == [(a, b) for _, a, b in said]
         assert r.loss_text == "".join(x.text for x in r.lines if x.role == "assistant")
         assert r.formatted.count("<|im_start|>") == len(said) == r.formatted.count("<|im_end|>\n")
     assert chat.digests(chat.format_turns(df.where("false"))).collect() == []
@@ -143,6 +205,39 @@ def test_shards_merge_by_size_and_keep_all_rows(spark):
     assert data.vacuum() > 0 and data.vacuum() == 0 and data.read().count() == len(rows)
 
 
+def test_vacuum_spares_a_writer_at_work(spark):
+    data = ShardedDataset(spark, Workspace(spark, "shards").path)
+    one, two = (spark.createDataFrame([(i, "a")], DOCS) for i in (1, 2))
+    data.append(one)
+    run = data._write(two)  # another writer's shards, not committed yet
+    fs, staged = data._fs(f"{data.path}/manifests/.staged")
+    fs.mkdirs(staged)
+    assert data.vacuum() == 0 and fs.exists(staged)
+    data._publish(data.manifest().unionByName(data._shards(run)), 2)
+    assert sorted(r.doc_id for r in data.read().collect()) == [1, 2]
+    dead = data._write(one)
+    data.append(one)
+    assert data.vacuum(keep=1) == 0 and data.versions() == [3]
+    assert data.vacuum(grace_hours=-1) == 1 and data.read().count() == 3 and not fs.exists(staged)
+    assert not data._fs(f"{data.path}/shards/{dead}")[0].exists(data._fs(f"{data.path}/shards/{dead}")[1])
+
+
+def test_an_append_that_loses_the_race_tries_again(spark, monkeypatch):
+    data = ShardedDataset(spark, Workspace(spark, "shards").path)
+    one = spark.createDataFrame([(1, "a")], DOCS).withColumn("path", F.lit("clash")).withColumn("run", F.lit(1))
+    data.append(one)
+    rival, publish = ShardedDataset(spark, data.path), data._publish
+
+    def late(rows, version):
+        if version == 2:
+            rival.append(one.withColumn("doc_id", F.lit(9).cast("long")))
+        publish(rows, version)
+
+    monkeypatch.setattr(data, "_publish", late)
+    assert data.append(one) == 3 and sorted(r.doc_id for r in data.read().collect()) == [1, 1, 9]
+    assert data.read().columns == one.columns
+
+
 def test_a_lost_race_commits_nothing(spark):
     data = ShardedDataset(spark, Workspace(spark, "shards").path)
     df = spark.createDataFrame([(1, "a")], DOCS)

@@ -97,6 +97,17 @@ def test_archive_round_trip(spark, few):
     assert len(parts) == 3 and whole.startswith(b"WARC/1.1\r\n") and whole.endswith(b"x\r\n\r\n")
 
 
+def test_urls_are_written_as_they_are(spark):
+    urls = ["http://a/b%20c", "http://a/?q=%25", "http://x/é", "a: b", "", "two\nlines\r%", " edges "]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], PAGES)
+    chunks = warc.archive(df)
+    for r in chunks.collect():
+        i = int(r.record_id.strip("<>").rpartition(":")[2])
+        line = next(x for x in bytes(r.data).split(b"\r\n") if x.startswith(b"WARC-Target-URI: "))
+        assert line == b"WARC-Target-URI: " + urls[i].replace("\n", "%0A").replace("\r", "%0D").encode()
+    assert {r.page_id: r.target_uri for r in warc.read_archive(chunks).collect()} == dict(enumerate(urls))
+
+
 def test_damage_is_noticed(spark):
     df = spark.createDataFrame([(1, "u", "x" * 600_000), (2, "u", "short")], PAGES)
     chunks = Workspace(spark, "archive").write(warc.archive(df), "records")
@@ -138,6 +149,12 @@ def test_containment_is_exact(spark, bound, percent):
     assert sorted(tuple(r) for r in got.collect()) == containment(docs, items, percent)
 
 
+def test_one_text_decides_a_repeated_pair(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "k l m n o p q")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "a b c d e f g h i j k l m n o p q"), (5, "k l m n o p q")], "doc_id long, text string")
+    assert [tuple(r) for r in dc.contaminated(docs, items).collect()] == [(5, 1, 6, 6)]
+
+
 def test_sketches_are_large_enough():
     for n in range(1, 600):
         for percent in (50, 80, 95):
@@ -148,6 +165,8 @@ def test_sketches_are_large_enough():
 def test_clean_keeps_columns_and_handles_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "nothing here at all to see", "s"), (2, "a b c d e f", "t"), (None, "a b c d e f", "s")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "nothing here at all to see")], "item_id long, text string")
-    kept = dc.clean(docs, items)
+    docs = docs.selectExpr("*", "1 AS bad_id", "2 AS __bad", "3 AS own_id", "4 AS row")
+    kept = dc.clean(docs, items).drop("bad_id", "__bad", "own_id", "row")
+    docs = docs.drop("bad_id", "__bad", "own_id", "row")
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(None, "a b c d e f", "s")]
     assert dc.clean(docs, items.where("false")).count() == 4 and dc.contaminated(docs.where("false"), items).collect() == []

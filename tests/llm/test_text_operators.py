@@ -65,8 +65,8 @@ def test_round_trip_over_a_table(spark, library):
     assert both.columns == ["doc_id", "text", "ids", "same", "decoded"] and both.where("NOT same").count() == 0
     assert both.where("decoded <> coalesce(text, '')").count() == 0
     assert bpe.round_trip_digests(df.where("false"), PATH).collect() == []
-    with pytest.raises(ValueError):
-        bpe.encode(df.withColumnRenamed("doc_id", "IDS"), PATH)
+    clash = bpe.decode(bpe.encode(df.selectExpr("*", "'x' AS IDS", "1 AS same", "2 AS decoded"), PATH, check_col="same"), PATH)
+    assert clash.columns == ["doc_id", "text", "ids", "same", "decoded"] and clash.where("NOT same OR decoded <> coalesce(text, '')").count() == 0
 
 
 def test_token_counts_and_cache(spark, library, tmp_path, monkeypatch):
