@@ -7,6 +7,7 @@ it, encodes each distinct missing text once, appends the new counts as one run,
 and joins again.  A run is named by a fresh identifier and counts only once
 Spark has marked it complete, so a job that dies leaves nothing that is read;
 two jobs may append the same digest, which the reader folds into one.
+``compact_cache`` puts many runs into one.
 
 Texts travel once, dealt by doc_id, and only where their digest is missing from
 the cache; digests are reduced to one document each before that, so a text
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_root
+from .shared import Workspace, delete_path
 from .textkit import tidied
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
@@ -108,12 +109,29 @@ def read_cache(spark: SparkSession, cache: str, tokenizer: bytes) -> DataFrame:
     return rows.where(F.col("tokenizer") == F.lit(bytearray(tokenizer))).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def compact_cache(spark: SparkSession, cache: str) -> int:
+    """Put the runs of a cache into one, each digest once; returns the number of runs before.
+
+    The new run is complete before the others go, so a job that dies here leaves repeated digests at worst; jobs that
+    read the cache meanwhile may have to be started again.
+    """
+    runs = _complete_runs(spark, cache)
+    if len(runs) > 1:
+        rows = spark.read.schema(CACHE_SCHEMA).parquet(*runs).groupBy("tokenizer", "content").agg(F.max("n_tokens").alias("n_tokens"))
+        # In ranges of digests, whose least and greatest values then tell a reader which files it needs.
+        merged = rows.select("content", "tokenizer", "n_tokens").repartitionByRange("tokenizer", "content").sortWithinPartitions("tokenizer", "content")
+        merged.write.parquet(f"{cache}/run-{uuid.uuid4().hex}")
+        for r in runs:
+            delete_path(spark, r)
+    return len(runs)
+
+
 def token_counts(
     docs: DataFrame, tokenizer_path: str, cache: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; appends to ``cache``, by default a new one."""
     spark = docs.sparkSession
-    cache = cache or f"{shared_root(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = cache or Workspace(spark, "token-counts").path
     mark = tokenizer_digest(tokenizer_path)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), _content(F.col(text_col)).alias("content"), F.octet_length(normalised(F.col(text_col))).cast("long").alias("n_bytes")

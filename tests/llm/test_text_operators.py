@@ -88,6 +88,11 @@ def test_token_counts_and_cache(spark, library, tmp_path, monkeypatch):
     assert got(df) == expected and spark.read.parquet(*tc._complete_runs(spark, cache)).count() == stored
     assert tc.read_cache(spark, cache, tc.tokenizer_digest(public_tokenizers.path("piece_bpe_32k.model"))).count() == 0
     assert got(df.where("false")) == []
+    # Runs that repeat digests, put into one.
+    more = tc._complete_runs(spark, cache)
+    spark.read.schema(tc.CACHE_SCHEMA).parquet(*more).write.parquet(f"{cache}/run-again")
+    assert tc.compact_cache(spark, cache) == len(more) + 1 and len(tc._complete_runs(spark, cache)) == 1
+    assert got(df) == expected and tc.read_cache(spark, cache, mark).count() == stored and tc.compact_cache(spark, f"{cache}-none") == 0
 
 
 def test_unfinished_runs_are_not_read(spark, tmp_path):
