@@ -27,11 +27,12 @@ def cooccurrents(corpus: Corpus, snips: DataFrame, pivots: list[str], left: int,
     """Context counts without the pivots, scored against the rest of the corpus."""
     counts = context_counts(corpus, snips, left, right)
     others = without_pivots(counts, pivots)
-    total = others.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+    # One row, in the same plan: what both sides exchange is worked out once.
+    total = F.broadcast(others.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total")))
     n = corpus.totals["n_tokens"]
-    rows = others.join(corpus.vocabulary.select("term", F.col("tf").alias("field_freq"), F.col("df").alias("field_docs")), "term")
-    score = scorers.KEYNESS[scorer](F.col("freq"), total, F.col("field_freq") - F.col("freq"), n - total)
-    return rows.withColumn("score", F.round(score, DIGITS))
+    rows = others.join(corpus.vocabulary.select("term", F.col("tf").alias("field_freq"), F.col("df").alias("field_docs")), "term").join(total, F.lit(True))
+    score = scorers.KEYNESS[scorer](F.col("freq"), F.col("total"), F.col("field_freq") - F.col("freq"), F.lit(n) - F.col("total"))
+    return rows.withColumn("score", F.round(score, DIGITS)).drop("total")
 
 
 def shells(corpus: Corpus, snips: DataFrame, ticks: list[int]) -> DataFrame:
@@ -105,7 +106,7 @@ def window_pairs(corpus: Corpus, terms: DataFrame, distance: int, stopwords: lis
 def associations(pairs: DataFrame, scorer: str) -> DataFrame:
     """row, col, score from a symmetric pair table and its margins."""
     margin = pairs.groupBy("row").agg(F.sum("n").alias("margin"))
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = pairs.join(margin.withColumnRenamed("margin", "r"), "row").join(margin.select(F.col("row").alias("col"), F.col("margin").alias("c")), "col")
-    score = scorers.ASSOCIATION[scorer](F.col("n"), F.col("r"), F.col("c"), total)
+    total = F.broadcast(margin.agg(F.coalesce(F.sum("margin"), F.lit(0)).alias("total")))
+    rows = pairs.join(total, F.lit(True)).join(margin.withColumnRenamed("margin", "r"), "row").join(margin.select(F.col("row").alias("col"), F.col("margin").alias("c")), "col")
+    score = scorers.ASSOCIATION[scorer](F.col("n"), F.col("r"), F.col("c"), F.col("total"))
     return rows.select("row", "col", "n", F.round(score, DIGITS).alias("score"))

@@ -33,10 +33,12 @@ def term_document_cells(corpus: Corpus, terms: DataFrame) -> DataFrame:
 
 def with_expectation(cells: DataFrame) -> DataFrame:
     """Adds e = row total * column total / total to the cells that aren't zero."""
-    total = float(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
     rows = cells.groupBy("row").agg(F.sum("n").alias("rt"))
     cols = cells.groupBy("col").agg(F.sum("n").alias("ct"))
-    return cells.join(rows, "row").join(cols, "col").withColumn("e", F.col("rt").cast("double") * F.col("ct") / total).select("row", "col", "n", "e")
+    # The rows are few; their sum is one row in the same plan.
+    total = F.broadcast(rows.agg(F.sum("rt").cast("double").alias("total")))
+    e = F.col("rt").cast("double") * F.col("ct") / F.col("total")
+    return cells.join(rows, "row").join(cols, "col").join(total, F.lit(True)).withColumn("e", e).select("row", "col", "n", "e")
 
 
 def residuals(cells: DataFrame, kind: str) -> DataFrame:

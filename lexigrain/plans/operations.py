@@ -39,6 +39,9 @@ class Request:
     flags: tuple[str, ...] = ()
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
+    #: Words of the query that drop out, and whether French clitics are cut off its words.
+    stopwords: tuple[str, ...] = ()
+    clitics: bool = False
 
     def checked(self) -> Request:
         clamp = lambda x, lo, hi: max(lo, min(hi, x))
@@ -67,6 +70,11 @@ def _kept(corpus: Corpus, r: Request) -> Corpus:
     return corpus if c is None else corpus.select(c)
 
 
+def _found(corpus: Corpus, r: Request) -> DataFrame:
+    """The spans of the request's query."""
+    return sp.find(corpus, r.q, r.slop, r.stopwords, split=analysis.split_clitics if r.clitics else None)
+
+
 def _scorer(r: Request) -> str:
     return "count" if r.sort == "raw" else r.sort
 
@@ -80,7 +88,7 @@ def terms(corpus: Corpus, request: Request, flags: DataFrame | None = None) -> D
     r = request.checked()
     condition = r.condition()
     if r.q.strip():
-        snips = sp.snippets(sp.find(_kept(corpus, r), r.q, r.slop), r.slop)
+        snips = sp.snippets(_found(_kept(corpus, r), r), r.slop)
         rows = cooc.cooccurrents(corpus, snips, sp.pivot_terms(r.q), r.slop, r.slop, _scorer(r))
     elif condition is None:
         counts = corpus.vocabulary.select("term", F.col("tf").alias("freq"), F.col("df").alias("docs"), F.col("tf").alias("field_freq"), F.col("df").alias("field_docs"))
@@ -155,7 +163,7 @@ def chrono(corpus: Corpus, request: Request) -> DataFrame:
     if not r.q.strip():
         return base
     chosen = corpus.select(F.col("lang").isin(list(r.types))) if r.types else corpus
-    n = sp.snippets(sp.find(chosen, r.q, r.slop), r.slop).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = sp.snippets(_found(chosen, r), r.slop).groupBy("doc_id").agg(F.count("*").alias("n"))
     hit = n.join(corpus.doc_stats.select("doc_id", "year"), "doc_id").groupBy("year").agg(F.sum("n").alias("snippets"), F.count("*").alias("docs_hit"))
     return base.join(hit, "year", "left").na.fill(0, ["snippets", "docs_hit"])
 
@@ -165,7 +173,7 @@ def cooc_profile(corpus: Corpus, request: Request, ticks: tuple[int, ...] = TICK
     r = request.checked()
     if not r.q.strip():
         raise ValueError("a query is required")
-    snips = sp.snippets(sp.find(_kept(corpus, r), r.q, r.slop), r.slop)
+    snips = sp.snippets(_found(_kept(corpus, r), r), r.slop)
     return cooc.profile_top(corpus, cooc.shells(corpus, snips, list(ticks)), list(ticks), sp.pivot_terms(r.q), r.terms, _scorer(r))
 
 
@@ -175,7 +183,7 @@ def results(corpus: Corpus, request: Request, order: str = "docs", after: int =
     chosen = _kept(corpus, r)
     if not r.q.strip():
         return chosen.documents.select("doc_id", *corpus.keep).where(F.col("doc_id") > after).orderBy("doc_id").limit(r.docs)
-    found = sp.find(chosen, r.q, r.slop)
+    found = _found(chosen, r)
     if order == "date":
         return concord.page_by_document(found, after, r.docs)
     if order == "snippets":
@@ -189,7 +197,7 @@ def snippets(corpus: Corpus, doc_id: int, request: Request) -> DataFrame:
     """The snippets of one document with their matches."""
     r = request.checked()
     one = corpus.select(F.col("doc_id") == doc_id)
-    found = sp.find(one, r.q, r.slop)
+    found = _found(one, r)
     merged = sp.snippets(found, r.slop)
     return concord.snippets_per_document(merged.join(concord.snippet_matches(merged, found), ["doc_id", "snip"]), r.snippets)
 
@@ -199,7 +207,7 @@ def document(corpus: Corpus, doc_id: int, request: Request) -> DataFrame:
     one = corpus.select(F.col("doc_id") == doc_id)
     if not request.q.strip():
         return one.documents.select("doc_id", F.col("text").alias("html"))
-    return concord.highlighted(one, sp.find(one, request.q, request.checked().slop))
+    return concord.highlighted(one, _found(one, request.checked()))
 
 
 def vector_map(corpus: Corpus, request: Request, model: DataFrame) -> DataFrame:

@@ -26,6 +26,20 @@ def read_hunspell(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.split(cut[0], "/")[0]).alias("term"), F.array_join(F.slice(cut, F.lit(2), F.size(cut)), " ").alias("tags"))
 
 
+def read_lemmas(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """form, tag, lemma, ord of a CSV file with these in its first three columns; an empty tag is NULL, ord follows the file."""
+    rows = read_table(spark, path, header)
+    form, tag, lemma = rows.columns[:3]
+    # A file with line breaks in cells is read as one piece, so the numbers follow its lines.
+    numbered = rows.select(F.trim(F.col(f"`{form}`")).alias("form"), F.nullif(F.trim(F.col(f"`{tag}`")), F.lit("")).alias("tag"), F.trim(F.col(f"`{lemma}`")).alias("lemma"), F.monotonically_increasing_id().alias("ord"))
+    return numbered.where("form <> '' and lemma <> ''")
+
+
+def read_expressions(spark: SparkSession, path: str) -> DataFrame:
+    """term, tags, words of the entries of a .dic file that have several words."""
+    return read_hunspell(spark, path).withColumn("words", F.size(F.split(F.trim("term"), r"\s+"))).where("words > 1")
+
+
 def unique_by(df: DataFrame, key: str, order: str, policy: str = "ignore") -> DataFrame:
     """One row per key: the first (ignore) or the last (replace) in ``order``, or an error if there are several."""
     if policy == "error":

@@ -6,14 +6,14 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_binary(df: DataFrame, path: str, word: str = "name", vector: str = "coords") -> int:
     """Write (word, vector) rows in their order, streamed through the driver; blanks in words become underscores."""
-    n = df.count()
-    first = df.first()
+    n, dim = df.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
     with open(path, "wb") as f:
-        f.write(f"{n} {len(first[vector]) if first else 0}\n".encode())
+        f.write(f"{n} {dim}\n".encode())
         for row in df.select(word, vector).toLocalIterator():
             f.write("_".join(row[0].split()).encode() + b" " + np.asarray(row[1], dtype="<f4").tobytes() + b"\n")
     return n

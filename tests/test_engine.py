@@ -535,6 +535,10 @@ def test_tables_and_dictionaries(spark, tmp_path):
     assert [r.term for r in lexicon.read_words(spark, f"file://{tmp_path}/w.txt").collect()] == ["le", "la"]
     (tmp_path / "d.dic").write_text("2\nchat/S\tpo:noun\nbleu\tpo:adj ne:x\n")
     assert [(r.term, r.tags) for r in lexicon.read_hunspell(spark, f"file://{tmp_path}/d.dic").collect()] == [("chat", "po:noun"), ("bleu", "po:adj ne:x")]
+    (tmp_path / "lem.csv").write_text("F,P,L\nsaw,NOUN,saw\nsaw,,see\n,X,none\n")
+    assert [(r.form, r.tag, r.lemma) for r in lexicon.read_lemmas(spark, f"file://{tmp_path}/lem.csv").orderBy("ord").collect()] == [("saw", "NOUN", "saw"), ("saw", None, "see")]
+    (tmp_path / "e.dic").write_text("parce que\tpo:SCONJ\nchat\tpo:noun\n")
+    assert [(r.term, r.tags, r.words) for r in lexicon.read_expressions(spark, f"file://{tmp_path}/e.dic").collect()] == [("parce que", "po:SCONJ", 2)]
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, o int")
     assert Counter(map(tuple, lexicon.unique_by(df, "k", "o").collect())) == Counter([("a", 1), ("b", 3)])
     assert Counter(map(tuple, lexicon.unique_by(df, "k", "o", "replace").collect())) == Counter([("a", 2), ("b", 3)])

@@ -62,7 +62,9 @@ def test_other_operations(spark, corpus):
     doc = ranked[0].doc_id
     snips = op.snippets(corpus, doc, Request(q="the", snippets=2)).collect()
     assert 1 <= len(snips) <= 2 and all(s.first_match >= s.start for s in snips)
-    assert "<mark>the</mark>" in op.document(corpus, doc, Request(q="the")).first().html
+    assert "<mark>the</mark>" in op.document(corpus, doc, Request(q="the")).first().html.lower()
+    for same in (Request(q="the of", docs=5, stopwords=("of",)), Request(q="the-il", docs=5, clitics=True, stopwords=("il",))):
+        assert sorted(map(tuple, op.results(corpus, same).collect())) == sorted(map(tuple, ranked))
     assert op.document(corpus, doc, Request()).first().html
     info = op.describe(corpus)
     assert info["n_docs"] <= info["all_docs"] and info["year_min"] == 0
