@@ -37,6 +37,8 @@ BITS = 20
 SAMPLE = 12_000
 #: The most feature numbers of these together (4 bytes each).
 SAMPLE_FEATURES = 50_000_000
+#: The sample comes to the driver in 2^PART_BITS parts.
+PART_BITS = 6
 #: Bytes of a longer word that are a feature of their own.
 STEMS = (4, 5)
 EPOCHS, BATCH, RATE, CUT_RATE, PENALTY, BALANCE = 12, 32, 2.0, 0.3, 2.0, 0.3
@@ -149,7 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, grade, sample: int = SAMPLE, id_co
     # At most ``sample`` ids and grades: proven small.
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
     known = texts.join(F.broadcast(picked), F.col("own_id") == F.col("rated_id")).select("place", "grade", "own_text")
-    rows = spread(known).mapInArrow(tidied(_features_of), "place long, grade int, ids array<int>").orderBy("place", "grade", "ids")
+    rows = spread(known).mapInArrow(tidied(_features_of), "place long, grade int, ids array<int>")
+    # In the order of the hashes, a part of the sample at a time: the hashes' leading bits number the partitions.
+    part = (F.shiftright("place", 64 - PART_BITS) + (1 << (PART_BITS - 1))).cast("int")
+    rows = rows.repartitionById(1 << PART_BITS, part).sortWithinPartitions("place", "grade", "ids")
     got, held = [], 0
     for r in rows.toLocalIterator():
         ids = np.asarray(r["ids"], np.int32)
