@@ -177,8 +177,8 @@ class ShardedDataset:
         Runs and staged manifests that no manifest names go when they are older than ``grace_hours``.
         """
         known = self.versions()
-        # A few names per run, not per row: the driver has to delete each of them anyway.
-        named = {v: {r["run"] for r in self.manifest(v).select("run").distinct().toLocalIterator()} for v in known}
+        # One row per shard, which the driver has to handle anyway; read without an exchange.
+        named = {v: {r["run"] for r in self.manifest(v).select("run").toLocalIterator()} for v in known}
         live = set().union(*(named[v] for v in known[-keep:]))
         retired = set().union(*(named[v] for v in known[:-keep])) - live
         stale = 1000 * (time.time() - 3600 * grace_hours)
