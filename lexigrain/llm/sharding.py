@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import Counter
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -143,11 +144,13 @@ class ShardedDataset:
         if not known:
             return None
         tiered = self._tiered(known[-1])
-        due = tiered.where(F.col("tier") < self.tiers).groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).agg(F.min("tier")).first()[0]
+        # One row per shard, not per document: file names that the driver has to hand to the scan anyway.
+        shards = [(r["tier"], r["path"], r["bytes"]) for r in tiered.select("tier", "path", "bytes").toLocalIterator()]
+        held = Counter(t for t, _, _ in shards if t < self.tiers)
+        due = min((t for t, n in held.items() if n >= self.fanout), default=None)
         if due is None:
             return None
-        # One row per shard, not per document: file names that the driver has to hand to the scan anyway.
-        merged = [(r["path"], r["bytes"]) for r in tiered.where(F.col("tier") <= due).select("path", "bytes").toLocalIterator()]
+        merged = [(path, size) for t, path, size in shards if t <= due]
         # Never more files than the bytes call for, however the session packs them: each merge leaves fewer shards.
         files = max(1, -(-sum(b for _, b in merged) // self.target_bytes))
         with _packed(self.spark, self.target_bytes):
