@@ -13,6 +13,10 @@ Texts travel once, dealt by doc_id, and only where their digest is missing from
 the cache; digests are reduced to one document each before that, so a text
 with any number of copies is encoded once and no task holds a group of copies.
 
+A byte-level vocabulary cuts a text before every blank that a non-blank follows,
+wherever it stands.  Texts fall into pieces there, and a worker asks the library
+for each distinct piece once as long as it remembers it.
+
 Normalising must not change the count.  The byte-level vocabularies have no
 normaliser, so the default one only turns null into the empty text.
 
@@ -24,9 +28,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +45,50 @@ from .textkit import tidied
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: Bytes of text handed to the tokenizer at once.
 ENCODE_BYTES = 1 << 20
+#: Pieces of texts, and their characters, whose counts a worker remembers.
+KEEP_PIECES, KEEP_CHARS = 300_000, 4_000_000
+#: Pieces handed to the tokenizer at once.
+PIECES = 8192
+
+#: Where pieces begin; blanks are all that Python calls so, which are those of the library and four more.
+_BORDER, _BLANKS = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
+
+
+def _cuttable(path: str) -> bool:
+    """Whether the vocabulary cuts texts as the pieces need it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and not spec["normalizer"]
+    return plain and model["type"] == "BPE" and not model.get("dropout") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+
+
+def _by_pieces(count: Callable[[list[str]], list[int]], special: list[str]) -> Callable[[list[str]], list[int]]:
+    """``count`` for texts by way of their pieces; texts with added tokens, at which the library starts anew, are counted whole."""
+    known: dict[str, int] = {}
+    chars = 0
+
+    def run(texts: list[str]) -> list[int]:
+        nonlocal chars
+        whole = [any(s in t for s in special) for t in texts]
+        # The first piece has no blank before it and is counted as it stands.
+        split = [[t] if w else (_BORDER.split(t) if _BLANKS.search(t) else t.split(" ")) for t, w in zip(texts, whole, strict=True)]
+        counts = count([pieces.pop(0) for pieces in split])
+        distinct = set().union(*split)
+        fresh = list(distinct.difference(known))
+        more = sum(map(len, fresh))
+        if len(known) + len(fresh) > KEEP_PIECES or chars + more > KEEP_CHARS:
+            known.clear()
+            fresh = list(distinct)
+            chars, more = 0, sum(map(len, fresh))
+        chars += more
+        for at in range(0, len(fresh), PIECES):
+            part = fresh[at : at + PIECES]
+            known.update(zip(part, count([f" {p}" for p in part]), strict=True))
+        get = known.__getitem__
+        return [n + sum(map(get, pieces)) for n, pieces in zip(counts, split, strict=True)]
+
+    return run
 
 
 @functools.lru_cache(maxsize=4)
@@ -55,7 +105,8 @@ def load_counter(path: str):
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    count = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    return _by_pieces(count, [t.content for t in model.get_added_tokens_decoder().values()]) if _cuttable(path) else count
 
 
 def tokenizer_digest(path: str) -> bytes:

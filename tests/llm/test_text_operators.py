@@ -109,3 +109,45 @@ def test_sentencepiece_counts(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts()) if t and "\x00" not in t], SCHEMA)
     assert all(r.n_tokens == len(model.encode(texts()[r.doc_id])) for r in tc.token_counts(df, path).collect())
+
+
+def test_pieces_count_as_whole_texts_do(library):
+    rng = random.Random(5)
+    blanks = [" ", " ", "  ", "\n", " \n", "\n ", "\t", "\x1c", "\x85", "\xa0", "\u3000", "\r\n"]
+    given = ["".join(rng.choice([*blanks, "a", "the", "'s", "'", "1", "!!", "é", "́", "漢", "😀", "<|endoftext|>"][: None if k % 5 == 0 else -1]) for _ in range(rng.randrange(30))) for k in range(4000)]
+    given += [x for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.isprintable() or c.isspace() or ord(c) < 0x3100 for x in (f"a {c}", f"{c} b")]
+    count = tc.load_counter(PATH)
+    assert [n for at in range(0, len(given), 5000) for n in count(given[at : at + 5000])] == [len(x) for at in range(0, len(given), 5000) for x in library.encode_batch_fast(given[at : at + 5000], add_special_tokens=False)]
+
+
+def test_the_library_gets_each_piece_once(monkeypatch):
+    import tokenizers
+
+    class Told:
+        chars = 0
+        from_file = classmethod(lambda cls, path: cls(Tokenizer.from_file(path)))
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            Told.chars += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **more)
+
+    rng = random.Random(6)
+    given = [sentence(rng, 200) for _ in range(200)]
+    library = Tokenizer.from_file(PATH)
+    expected = [len(x) for x in library.encode_batch_fast(given, add_special_tokens=False)]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Told)
+    tc.load_counter.cache_clear()
+    count = tc.load_counter(PATH)
+    tc.load_counter.cache_clear()
+    assert count(given) == expected and Told.chars < sum(map(len, given)) / 2
+    once, Told.chars = Told.chars, 0
+    assert count(given) == expected and Told.chars < once / 2
+    # A memory too small for the pieces costs work, nothing else.
+    monkeypatch.setattr(tc, "KEEP_PIECES", 3)
+    assert [n for t in given for n in count([t])] == expected
