@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions import scorers
+from lexigrain.plans import store
 from lexigrain.plans.corpus import Corpus
 
 from .rank import DIGITS
 
+#: Terms that are looked up in the documents' rows.
+LISTED = 10_000
+#: Listed words of a document whose pairs are made at once.
+PART = 256
+
 
 def context_counts(corpus: Corpus, snips: DataFrame, left: int, right: int) -> DataFrame:
     """term, freq, docs, contexts of the snippets' contexts; tokens in two contexts count twice."""
@@ -86,19 +92,55 @@ def matrix(corpus: Corpus, snips: DataFrame, terms: list[str], left: int, right:
     return pairs.unionAll(own).groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
+def _pairs_by_document(tokens: DataFrame, terms: DataFrame, distance: int) -> DataFrame:
+    """row, col, gap; a token looks ahead in its document by a window of the sorted positions, so nothing is joined on position."""
+    rows = tokens.join(terms, "term", "left_semi")
+    ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(1, distance)
+    seen = rows.withColumn("ahead", F.collect_list(F.struct("pos", "term")).over(ahead))
+    pairs = seen.select(F.col("term").alias("row"), "pos", F.explode("ahead").alias("b"))
+    return pairs.select("row", F.col("b.term").alias("col"), (F.col("b.pos") - F.col("pos")).alias("gap"))
+
+
+def _pairs_in_row(rail: DataFrame, listed: list[str], distance: int) -> DataFrame:
+    """row, col, gap; found in the rail's rows, which neither travel nor are sorted.
+
+    A listed word has at most ``distance`` others behind it within reach.  Long documents are taken in parts of
+    ``PART`` listed words and what follows these within reach, so a task never holds all pairs of a document.
+    """
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))), lambda x: x["term"].isin(listed))
+    # Behind generators, so that each step is worked out once, whatever uses it.
+    rows = rail.select(F.explode(F.array(placed)).alias("t")).where(F.size("t") > 1)
+    parts = F.transform(F.sequence(F.lit(1), F.size("t"), F.lit(PART)), lambda c: F.slice("t", c, PART + distance))
+    rows = rows.select(F.explode(F.array(parts)).alias("t")).select(F.explode("t").alias("t"))
+    pair = lambda a: lambda b: F.struct(a["term"].alias("row"), b["term"].alias("col"), (b["pos"] - a["pos"]).alias("gap"))
+    reach = lambda a, i: F.filter(F.slice("t", i + 2, distance), lambda b: b["pos"] - a["pos"] <= distance)
+    pairs = F.flatten(F.transform(F.slice("t", 1, PART), lambda a, i: F.transform(reach(a, i), pair(a))))
+    return rows.select(F.explode(F.array(pairs)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def window_pairs(corpus: Corpus, terms: DataFrame, distance: int, stopwords: list[str] = (), stop_distance: int = 2) -> DataFrame:
     """Whole-corpus symmetric counts within ``distance``: row, col, n; pairs with a stop word only within ``stop_distance``.
 
-    A token looks ahead in its document by a window of the sorted positions, so nothing is joined on position.
+    Up to ``LISTED`` terms are found in the documents' own rows; with more, or where rows share an id, tokens are brought together.
     """
-    rows = corpus.tokens.select("doc_id", "pos", "term").join(terms.select("term"), "term", "left_semi")
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(1, distance)
-    seen = rows.withColumn("ahead", F.collect_list(F.struct("pos", "term")).over(ahead))
-    pairs = seen.select(F.col("term").alias("row"), "pos", F.explode("ahead").alias("b")).select("row", F.col("b.term").alias("col"), (F.col("b.pos") - F.col("pos")).alias("gap"))
+    wanted = terms.select("term").distinct()
+    listed = [r["term"] for r in wanted.limit(LISTED + 1).collect()]
+    tokens = corpus.tokens.select("doc_id", "pos", "term")
+    if len(listed) > LISTED:
+        pairs = _pairs_by_document(tokens, wanted, distance)
+    else:
+        rail = corpus.rail.select("doc_id", "words")
+        again = rail.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        if again.isEmpty():
+            pairs = _pairs_in_row(rail, listed, distance)
+        else:
+            pairs = _pairs_in_row(rail.join(again, "doc_id", "left_anti"), listed, distance)
+            pairs = pairs.unionByName(_pairs_by_document(tokens.join(again, "doc_id", "left_semi"), wanted, distance))
     if stopwords:
         stop = F.col("row").isin(list(stopwords)) | F.col("col").isin(list(stopwords))
         pairs = pairs.where(~stop | (F.col("gap") <= stop_distance))
-    half = pairs.groupBy("row", "col").agg(F.count("*").alias("n"))
+    # Written once: plans with functions of array elements are never recognised as alike, so each use would count again.
+    half = store.kept(pairs.groupBy("row", "col").agg(F.count("*").alias("n")), "pairs")
     both = half.unionAll(half.select(F.col("col").alias("row"), F.col("row").alias("col"), "n"))
     return both.groupBy("row", "col").agg(F.sum("n").alias("n"))
 

@@ -63,6 +63,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A small table written to the shared folder and read again; it goes when the driver's program ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            fs, where = _fs(spark, path)
+            fs.delete(where, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     fs, where = _fs(spark, f"{path}/versions")
     return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()) if fs.exists(where) else []
