@@ -1,18 +1,21 @@
 """Vector and matrix operators: residual cells, cosine joins, distances, decompositions and maps.
 
-Cells stay long-form rows and meet by equi-joins.  Dense linear algebra runs on
-the driver, on matrices over pairs of terms, whose side is checked against ``DENSE`` first.
+Cells are long-form rows (row, col, value) or lie in the rows of their columns
+(col, held: structs of row and value), where pairs of cells meet without a join.
+Dense linear algebra runs on the driver, on matrices over pairs of terms, whose
+side is checked against ``DENSE`` first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions import scorers
+from lexigrain.plans import store
 from lexigrain.plans.corpus import Corpus
 
 from .rank import DIGITS
@@ -51,44 +54,108 @@ def inertia(cells: DataFrame) -> DataFrame:
     return with_expectation(cells).agg(F.round(2.0 * F.sum(F.col("n") * F.log(F.col("n") / F.col("e"))), DIGITS).alias("g2"))
 
 
-def bm25_cells(corpus: Corpus, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """row, col, w: BM25 of a one-term query, without the factor k1 + 1; lengths count all terms."""
+def bm25_weight(corpus: Corpus, k1: float = 1.2, b: float = 0.75) -> Callable[[Column, Column, Column, Column], Column]:
+    """BM25 of a one-term query, without the factor k1 + 1, from tf, dl and the term's tf and df; lengths count all terms."""
     t = corpus.totals
-    rows = corpus.postings.join(F.broadcast(terms.select("term", "df")), "term")
-    idf = F.log(1.0 + (float(t["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    w = idf * tf / (tf + k1 * (1.0 - b + b * F.col("dl") / F.lit(t["n_tokens"] / max(t["n_docs"], 1))))
-    return rows.select(F.col("term").alias("row"), F.col("doc_id").alias("col"), w.alias("w"))
 
+    def weight(tf: Column, dl: Column, cf: Column, df: Column) -> Column:
+        idf, tf = F.log(1.0 + (float(t["n_docs"]) - df + 0.5) / (df + 0.5)), tf.cast("double")
+        return idf * tf / (tf + k1 * (1.0 - b + b * dl / F.lit(t["n_tokens"] / max(t["n_docs"], 1))))
 
-def g2_cells(corpus: Corpus, terms: DataFrame, root: bool = False) -> DataFrame:
-    """row, col, w: signed G2 of a term in a document against the corpus, or its signed root."""
+    return weight
+
+
+def g2_weight(corpus: Corpus, root: bool = False) -> Callable[[Column, Column, Column, Column], Column]:
+    """Signed G2 of a term in a document against the corpus, or its signed root."""
     n = corpus.totals["n_tokens"]
-    rows = corpus.postings.join(F.broadcast(terms.select("term", F.col("tf").alias("cf"))), "term")
-    score = scorers.doc_keyness(scorers.g2, F.col("tf"), F.col("dl"), F.col("cf"), n)
-    return rows.select(F.col("term").alias("row"), F.col("doc_id").alias("col"), (F.signum(score) * F.sqrt(F.abs(score)) if root else score).alias("w"))
+
+    def weight(tf: Column, dl: Column, cf: Column, df: Column) -> Column:
+        score = scorers.doc_keyness(scorers.g2, tf, dl, cf, n)
+        return F.signum(score) * F.sqrt(F.abs(score)) if root else score
+
+    return weight
+
+
+def weighted_cells(corpus: Corpus, terms: DataFrame, weight: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """row, col, w of the selected terms (term, tf, df) from the postings."""
+    rows = corpus.postings.join(F.broadcast(terms.select("term", F.col("tf").alias("cf"), "df")), "term")
+    return rows.select(F.col("term").alias("row"), F.col("doc_id").alias("col"), weight(F.col("tf"), F.col("dl"), F.col("cf"), F.col("df")).alias("w"))
+
+
+def document_cells(corpus: Corpus, terms: DataFrame, weight: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """The cells of ``weighted_cells`` as col, held, worked out in the documents' rows, which neither travel nor are sorted.
+
+    With more than ``DENSE`` terms, and for rows that share an id, cells are brought together by column.
+    """
+    listed = terms.select("term", "tf", "df").limit(DENSE + 1).collect()
+    if not listed or len(listed) > DENSE:
+        return by_column(weighted_cells(corpus, terms, weight))
+    of = lambda k: F.create_map(*(F.lit(x) for r in listed for x in (r["term"], r[k])))
+    cf, df = of("tf"), of("df")
+    words = F.filter("words", lambda w: w.isin([r["term"] for r in listed]))
+
+    def cut(rail: DataFrame) -> DataFrame:
+        # Behind generators, so that each step is worked out once, whatever uses it.
+        rows = rail.select("doc_id", "dl", F.explode(F.array(F.sort_array(words))).alias("w")).where(F.size("w") > 0)
+        begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+        rows = rows.select("doc_id", "dl", "w", F.explode(F.array(begins)).alias("b"))
+        run = lambda i, k: F.struct(F.get("w", i).alias("row"), (F.coalesce(F.get("b", k + 1), F.size("w")) - i).cast("long").alias("tf"))
+        rows = rows.select("doc_id", "dl", F.explode(F.array(F.transform("b", run))).alias("t"))
+        cell = lambda c: F.struct(c["row"].alias("row"), weight(c["tf"], F.col("dl"), F.element_at(cf, c["row"]), F.element_at(df, c["row"])).alias("w"))
+        return rows.select(F.col("doc_id").alias("col"), F.explode(F.array(F.transform("t", cell))).alias("held"))
+
+    rail = corpus.rail.select("doc_id", "dl", "words")
+    again = rail.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return cut(rail)
+    shared = weighted_cells(corpus, terms, weight).join(again, F.col("col") == F.col("doc_id"), "left_semi")
+    return cut(rail.join(again, "doc_id", "left_anti")).unionByName(by_column(shared))
+
+
+def by_column(cells: DataFrame) -> DataFrame:
+    """Cells as col, held; rows are in order in each column.  Those that are so already are left alone."""
+    if "held" in cells.columns:
+        return cells
+    values = [c for c in cells.columns if c not in ("row", "col")]
+    return cells.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("row", *values))).alias("held"))
+
+
+def _products(held: DataFrame, **sums: Callable[[Column, Column], Column]) -> DataFrame:
+    """a, b, own and the sums of functions of two cells over the pairs of a column: a cell with itself (own) or with a later one.
+
+    Rows of the result are summed in every task before the one exchange by pairs of rows.
+    """
+    cells = held.select("held", F.posexplode("held").alias("i", "a"))
+    pairs = cells.select("a", F.posexplode(F.slice("held", F.col("i") + 1, F.size("held"))).alias("j", "b"))
+    by = pairs.groupBy(F.col("a.row").alias("a"), F.col("b.row").alias("b"), (F.col("j") == 0).alias("own"))
+    return by.agg(*(F.sum(f(F.col("a"), F.col("b"))).alias(n) for n, f in sums.items()))
+
+
+def _dots(cells: DataFrame) -> DataFrame:
+    """a, b, own, dot of cells' values w; written once, as plans with functions of array elements are never recognised as alike."""
+    return store.kept(_products(by_column(cells), dot=lambda a, b: a["w"] * b["w"]), "dots")
 
 
 def cosine_rows(cells: DataFrame, one: str | None = None) -> DataFrame:
-    """a, b, cosine of the rows of long-form cells (row, col, w) that share a column; of one row with all others if given."""
-    norms = cells.groupBy("row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    left = cells.where(F.col("row") == one) if one is not None else cells
-    a = left.select(F.col("row").alias("a"), "col", F.col("w").alias("wa"))
-    b = cells.select(F.col("row").alias("b"), "col", F.col("w").alias("wb"))
-    pairs = a.join(b, "col").where(F.col("a") != F.col("b") if one is not None else F.col("a") < F.col("b"))
-    dots = pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    """a, b, cosine of the rows of cells (w) that share a column; of one row with all others if given."""
+    table = _dots(cells)
+    norms = table.where("own").select(F.col("a").alias("row"), F.sqrt("dot").alias("norm"))
+    dots = table.where("a < b").select("a", "b", "dot")
+    if one is not None:
+        turned = dots.where(F.col("b") == one).select(F.col("b").alias("a"), F.col("a").alias("b"), "dot")
+        dots = dots.where(F.col("a") == one).unionAll(turned)
     dots = dots.join(norms.select(F.col("row").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("row").alias("b"), F.col("norm").alias("nb")), "b")
     return dots.where((F.col("na") > 0) & (F.col("nb") > 0)).select("a", "b", (F.round(F.col("dot") / (F.col("na") * F.col("nb")), DIGITS) + 0.0).alias("cosine"))
 
 
 def euclid_rows(cells: DataFrame) -> DataFrame:
-    """a, b, distance of all pairs of rows of long-form cells (row, col, w), absent cells being 0.
+    """a, b, distance of all pairs of rows of cells (w), absent cells being 0.
 
     From squared norms and shared columns; the rows are a stated selection, whose pairs are the result.
     """
-    norms = cells.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
-    x, y = cells.select(F.col("row").alias("a"), "col", F.col("w").alias("wa")), cells.select(F.col("row").alias("b"), "col", F.col("w").alias("wb"))
-    dots = x.join(y, "col").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    table = _dots(cells)
+    norms = table.where("own").select(F.col("a").alias("row"), F.col("dot").alias("sq"))
+    dots = table.where("a < b").select("a", "b", "dot")
     pairs = norms.select(F.col("row").alias("a"), F.col("sq").alias("na")).join(norms.select(F.col("row").alias("b"), F.col("sq").alias("nb")), F.col("a") < F.col("b"))
     square = F.col("na") + F.col("nb") - 2.0 * F.coalesce("dot", F.lit(0.0))
     return pairs.join(dots, ["a", "b"], "left").select("a", "b", F.round(F.sqrt(F.greatest(square, F.lit(0.0))), DIGITS).alias("distance"))
@@ -130,18 +197,21 @@ def contrast_neighbours(cells: DataFrame, term: str, alpha: float = 1.0, k: int
     Documents are unit columns of the scored cells; a term is its weighted mean over them, against the mean
     document, in the space of the documents' Gram matrix.  Term by term this is a few sums over shared documents.
     """
-    norm = cells.groupBy("col").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    totals = cells.groupBy("row").agg(F.sum("w").alias("t"))
-    # g: entry of the unit document; v: weight of the document in the term's mean, 0 for a term without a mean.
-    both = cells.join(norm, "col").join(totals, "row").select("row", "col", (F.col("w") / F.col("norm")).alias("g"), F.when(F.col("t") != 0, F.col("w") / F.col("t")).otherwise(0.0).alias("v"))
-    every, (h, q, k_) = _pair_sums(both, [("g", "g"), ("v", "g"), ("v", "v")])
-    stats = {r["row"]: (r["g"], r["t"]) for r in both.groupBy("row").agg(F.sum("g").alias("g")).join(totals, "row").collect()}
-    docs = both.select("col").distinct().count()
-    used = [i for i, n in enumerate(every) if stats[n][1] != 0]
+    square = F.aggregate("held", F.lit(0.0), lambda x, c: x + F.coalesce(c["w"] * c["w"], F.lit(0.0)))
+    unit = by_column(cells).select("held", F.explode(F.array(F.sqrt(square))).alias("norm")).where("norm > 0")
+    # g: entry of the unit document; a term's weights w over its total are those of its mean, and are divided by it here.
+    held = unit.select(F.explode(F.array(F.transform("held", lambda c: F.struct(c["row"].alias("row"), c["w"].alias("w"), (c["w"] / F.col("norm")).alias("g"))))).alias("held"))
+    sums = _products(
+        held, hh=lambda a, b: a["g"] * b["g"], wg=lambda a, b: a["w"] * b["g"], gw=lambda a, b: a["g"] * b["w"], ww=lambda a, b: a["w"] * b["w"], t=lambda a, b: a["w"], g=lambda a, b: a["g"]
+    )
+    every, (h, q, k_), margins = _matrices(sums, [("hh", "hh"), ("wg", "gw"), ("ww", "ww")], ["t", "g"])
+    docs = held.count()
+    total, mean = np.array(margins["t"]), np.array(margins["g"]) / max(docs, 1)
+    used = np.flatnonzero(total)
     names = [every[i] for i in used]
-    p, weight = q[used], k_[np.ix_(used, used)]
+    p, weight = q[used] / total[used, None], k_[np.ix_(used, used)] / np.outer(total[used], total[used])
     # A term is (p - mean document) g + alpha v over the documents; products of two such rows need term pairs only.
-    away = p - np.array([stats[n][0] for n in every])[None, :] / max(docs, 1)
+    away = p - mean[None, :]
     cross = away @ p.T
     inner = away @ h @ away.T + alpha * (cross + cross.T) + alpha**2 * weight
     length = np.sqrt(np.maximum(np.diag(inner), 0))
@@ -153,36 +223,49 @@ def contrast_neighbours(cells: DataFrame, term: str, alpha: float = 1.0, k: int
     return spark.createDataFrame([(names[i], round(float(cos[i]), DIGITS)) for i in order], "b string, cosine double")
 
 
-def _pair_sums(cells: DataFrame, products: Sequence[tuple[str, str]]) -> tuple[list, list[np.ndarray]]:
-    """Row names and, for each product (x, y), the matrix over pairs of rows of the sums of x_a y_b over shared columns.
+def _matrices(sums: DataFrame, products: Sequence[tuple[str, str]], margins: Sequence[str]) -> tuple[list, list[np.ndarray], dict[str, list[float]]]:
+    """Row names, the matrices of ``_products`` (sum of a pair, sum of the pair turned) and the sums over rows' own cells.
 
     Columns stay distributed, each with the few rows it holds; only rows are checked against ``DENSE``.
     """
-    rows = sorted(r[0] for r in cells.select("row").distinct().limit(DENSE + 1).collect())
+    found = store.kept(sums, "products")
+    rows = sorted(r[0] for r in found.where("own").select("a").limit(DENSE + 1).collect())
     if len(rows) > DENSE:
         raise ValueError(f"the matrix has more than {DENSE} rows; select fewer")
-    values = sorted({v for p in products for v in p})
-    held = cells.groupBy("col").agg(F.collect_list(F.struct("row", *values)).alias("held"))
-    one = held.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b"))
-    sums = [F.sum(F.col(f"a.{x}") * F.col(f"b.{y}")).alias(f"s{i}") for i, (x, y) in enumerate(products)]
     at = {r: i for i, r in enumerate(rows)}
-    out = [np.zeros((len(rows), len(rows))) for _ in products]
-    for r in one.groupBy(F.col("a.row").alias("ra"), F.col("b.row").alias("rb")).agg(*sums).toLocalIterator():
-        for i, m in enumerate(out):
-            m[at[r["ra"]], at[r["rb"]]] = r[f"s{i}"]
-    return rows, out
+    out, sides = [np.zeros((len(rows), len(rows))) for _ in products], {m: [0.0] * len(rows) for m in margins}
+    for r in found.toLocalIterator():
+        i, j = at[r["a"]], at[r["b"]]
+        for m, (x, y) in zip(out, products, strict=True):
+            m[i, j] += r[x] or 0.0
+            if not r["own"]:
+                m[j, i] += r[y] or 0.0
+        if r["own"]:
+            for name in margins:
+                sides[name][i] += r[name] or 0.0
+    return rows, out, sides
 
 
 def deviance_gram(cells: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-    """Row names, row totals and the products of the rows' deviance residuals of counts (row, col, n), zero cells included.
+    """Row names, row totals and the products of the rows' deviance residuals of counts (n), zero cells included.
 
     A zero cell is z = -sqrt(2 e), and every cell is z + s with s = 0 where the count is; see ``residual_cosine``.
     """
-    counts = with_expectation(cells)
-    rows = counts.withColumn("z", -F.sqrt(2.0 * F.col("e"))).withColumn("s", scorers.residual_deviance(F.col("n"), F.col("e")) - F.col("z"))
-    names, (ss,) = _pair_sums(rows, [("s", "s")])
-    margins = {r["row"]: r for r in rows.groupBy("row").agg(F.sum("n").alias("rt"), F.sum(F.col("s") * F.col("z")).alias("sz")).collect()}
-    rt, sz = (np.array([float(margins[n][k]) for n in names]) for k in ("rt", "sz"))
+    held = by_column(cells)
+    totals = {r["row"]: r["rt"] for r in held.select(F.explode("held").alias("c")).groupBy("c.row").agg(F.sum("c.n").cast("double").alias("rt")).limit(DENSE + 1).collect()}
+    if len(totals) > DENSE:
+        raise ValueError(f"the matrix has more than {DENSE} rows; select fewer")
+    if not totals:
+        return [], np.zeros(0), np.zeros((0, 0))
+    rt_of, total = F.create_map(*(F.lit(x) for kv in totals.items() for x in kv)), F.lit(sum(totals.values()))
+    ct = F.aggregate("held", F.lit(0.0), lambda x, c: x + c["n"].cast("double"))
+    rows = held.select("held", F.explode(F.array(ct)).alias("ct"))
+    expected = lambda c: F.struct(c["row"].alias("row"), c["n"].alias("n"), (F.element_at(rt_of, c["row"]) * F.col("ct") / total).alias("e"))
+    rows = rows.select(F.explode(F.array(F.transform("held", expected))).alias("held"))
+    surplus = lambda c: F.struct(c["row"].alias("row"), (-F.sqrt(2.0 * c["e"])).alias("z"), (scorers.residual_deviance(c["n"], c["e"]) + F.sqrt(2.0 * c["e"])).alias("s"))
+    rows = rows.select(F.explode(F.array(F.transform("held", surplus))).alias("held"))
+    names, (ss,), margins = _matrices(_products(rows, ss=lambda a, b: a["s"] * b["s"], sz=lambda a, b: a["s"] * a["z"]), [("ss", "ss")], ["sz"])
+    rt, sz = np.array([totals[n] for n in names]), np.array(margins["sz"])
     root = np.sqrt(rt)
     # sum z_a z_b = 2 root_a root_b;  sum s_a z_b = root_b / root_a sum s_a z_a.
     mixed = (sz / root)[:, None] * root[None, :]
@@ -356,10 +439,11 @@ def profile_distance(cells: DataFrame, kind: str) -> DataFrame:
 
 def set_distance(cells: DataFrame, kind: str) -> DataFrame:
     """a, b, distance between the sets of columns of rows that share one: gene_sharing or ochiai."""
-    members = cells.select("row", "col").distinct()
-    size = members.groupBy("row").agg(F.count("*").alias("n"))
-    a, b = members.select(F.col("row").alias("a"), "col"), members.select(F.col("row").alias("b"), "col")
-    common = a.join(b, "col").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    members = F.transform(F.array_distinct(F.transform("held", lambda c: c["row"])), lambda r: F.struct(r.alias("row")))
+    held = by_column(cells).select(F.explode(F.array(members)).alias("held"))
+    table = store.kept(_products(held, common=lambda a, b: F.lit(1)), "common")
+    size = table.where("own").select(F.col("a").alias("row"), F.col("common").alias("n"))
+    common = table.where("a < b").select("a", "b", "common")
     rows = common.join(size.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("row").alias("b"), F.col("n").alias("nb")), "b")
     score = (scorers.distance_gene_sharing if kind == "gene_sharing" else scorers.distance_ochiai)(F.col("common"), F.col("na"), F.col("nb"))
     return rows.select("a", "b", F.round(score, DIGITS).alias("distance"))

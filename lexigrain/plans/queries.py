@@ -722,6 +722,12 @@ def _cells(c: Corpus, most: int = 100) -> DataFrame:
     return vectors.term_document_cells(c, vectors.selected_terms(c, 3, most))
 
 
+def _held(c: Corpus, name: str = "w", most: int = 100) -> DataFrame:
+    """The counts of ``_cells`` in the documents' rows."""
+    held = vectors.document_cells(c, vectors.selected_terms(c, 3, most), lambda tf, dl, cf, df: tf.cast("double"))
+    return held if name == "w" else held.select("col", F.transform("held", lambda x: F.struct(x["row"].alias("row"), x["w"].alias(name))).alias("held"))
+
+
 for _k, _v in _res.items():
     query(f"residual_{_k}", sql(f'SELECT r AS "row", c AS col, round({_v}, 6) AS value FROM ex', ctes=_rc))(lambda s, d, k=_k: vectors.residuals(_cells(corpus(s, d)), k))
 query("table_inertia", sql("SELECT round(2 * sum(o * ln(o / e)), 6) AS g2 FROM ex", ctes=_rc))(lambda s, d: vectors.inertia(_cells(corpus(s, d))))
@@ -730,7 +736,7 @@ _bw = _sel + ", bw AS (SELECT post.term AS r, doc_id AS c, ln(1 + (nd - sel.df +
 
 def _bm(s, d):
     c = corpus(s, d)
-    return vectors.bm25_cells(c, vectors.selected_terms(c, 3, 100))
+    return vectors.document_cells(c, vectors.selected_terms(c, 3, 100), vectors.bm25_weight(c))
 
 
 query("latent_bm25_raw", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) AS cosine FROM (SELECT p.r AS a, q.r AS b, sum(p.w * q.w) AS dot FROM bw p JOIN bw q ON p.c = q.c AND p.r < q.r GROUP BY ALL) JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM bw GROUP BY r) x ON x.r = a JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM bw GROUP BY r) y ON y.r = b", ctes=_bw))(
@@ -739,13 +745,13 @@ query("latent_bm25_raw", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) AS cosi
 for _k, _w in {"g2": "({0})", "g2root": "sign({0}) * sqrt(abs({0}))"}.items():
     _gw = _sel + f", gw AS (SELECT post.term AS r, doc_id AS c, {_w.format(keyness_sql('g2', 'post.tf', 'dl', 'sel.tf - post.tf', 'n - dl'))} AS w FROM post JOIN sel ON sel.term = post.term JOIN ds USING (doc_id), tot)"
     query(f"latent_{_k}", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) + 0.0 AS cosine FROM (SELECT p.r AS a, q.r AS b, sum(p.w * q.w) AS dot FROM gw p JOIN gw q ON p.c = q.c AND p.r < q.r GROUP BY ALL) JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM gw GROUP BY r) x ON x.r = a JOIN (SELECT r, sqrt(sum(w * w)) AS nm FROM gw GROUP BY r) y ON y.r = b WHERE x.nm > 0 AND y.nm > 0", ctes=_gw))(
-        lambda s, d, k=_k: (lambda c: vectors.cosine_rows(vectors.g2_cells(c, vectors.selected_terms(c, 3, 100), k == "g2root")))(corpus(s, d))
+        lambda s, d, k=_k: (lambda c: vectors.cosine_rows(vectors.document_cells(c, vectors.selected_terms(c, 3, 100), vectors.g2_weight(c, k == "g2root"))))(corpus(s, d))
     )
 _full = _bw + """, fm AS (SELECT x.r, y.c, coalesce(w, 0) AS w, x.rt * y.ct / (SELECT sum(w) FROM bw) AS e FROM (SELECT r, sum(w) AS rt FROM bw GROUP BY r) x CROSS JOIN (SELECT c, sum(w) AS ct FROM bw GROUP BY c) y LEFT JOIN bw ON bw.r = x.r AND bw.c = y.c)"""
 _lat = {"pearson": "(w - e) / sqrt(e)", "dev": "CASE WHEN w > 0 THEN CASE WHEN w >= e THEN 1 ELSE -1 END * sqrt(greatest(0, 2 * (w * ln(w / e) - w + e))) ELSE -sqrt(2 * e) END"}
 for _k, _v in _lat.items():
     query(f"latent_bm25_{_k}", sql(f"SELECT 'the' AS a, q.r AS b, round(sum(p.v * q.v) / (sqrt(sum(p.v * p.v)) * sqrt(sum(q.v * q.v))), 6) AS cosine FROM rv p JOIN rv q ON p.c = q.c WHERE p.r = 'the' AND q.r <> 'the' GROUP BY q.r", ctes=_full + f", rv AS (SELECT r, c, {_v} AS v FROM fm)"))(
-        lambda s, d, k=_k: vectors.residual_cosine(_bm(s, d), "the", k)
+        lambda s, d, k=_k: vectors.residual_cosine(_bm(s, d).select("col", F.explode("held").alias("c")).select(F.col("c.row").alias("row"), "col", F.col("c.w").alias("w")), "the", k)
     )
 _contrast = _bw + """, nr AS (SELECT c, sqrt(sum(w * w)) AS nm FROM bw GROUP BY c), rt AS (SELECT r, sum(w) AS t FROM bw GROUP BY r), gv AS (SELECT bw.r, bw.c, w / nm AS g, w / t AS v FROM bw JOIN nr USING (c) JOIN rt USING (r)),
     mg AS (SELECT r AS b, sum(g) / (SELECT count(*) FROM nr) AS mean FROM gv GROUP BY r), pg AS (SELECT x.r AS a, y.r AS b, sum(x.v * y.g) AS p FROM gv x JOIN gv y ON x.c = y.c GROUP BY ALL),
@@ -755,7 +761,7 @@ query("latent_contrast", sql("SELECT b, round(dot / (x.n * y.n), 6) AS cosine FR
 
 
 def _dev_gram(s, d, most=60):
-    return vectors.deviance_gram(_cells(corpus(s, d), most))
+    return vectors.deviance_gram(_held(corpus(s, d), "n", most))
 
 
 @query("svd_embedding")
@@ -803,12 +809,12 @@ query("dist_keyness_chord", sql(_pair, ctes=_lt + f", lw AS (SELECT r, c, sqrt(g
 )
 _setd = _sel + ", m AS (SELECT term AS r, doc_id AS c FROM post WHERE term IN (SELECT term FROM sel)), z AS (SELECT r, CAST(count(*) AS DOUBLE) AS k FROM m GROUP BY r), i AS (SELECT p.r AS a, q.r AS b, count(*) AS n FROM m p JOIN m q ON p.c = q.c AND p.r < q.r GROUP BY ALL)"
 for _k, _v in {"gene_sharing": "1 - n / least(x.k, y.k)", "ochiai": "sqrt(greatest(0, 2 - 2 * (n / sqrt(x.k * y.k))))"}.items():
-    query(f"dist_{_k}", sql(f"SELECT a, b, round({_v}, 6) AS distance FROM i JOIN z x ON x.r = a JOIN z y ON y.r = b", ctes=_setd))(lambda s, d, k=_k: vectors.set_distance(_cells(corpus(s, d)), k))
+    query(f"dist_{_k}", sql(f"SELECT a, b, round({_v}, 6) AS distance FROM i JOIN z x ON x.r = a JOIN z y ON y.r = b", ctes=_setd))(lambda s, d, k=_k: vectors.set_distance(_held(corpus(s, d)), k))
 query("dist_euclid", sql("SELECT x.r AS a, y.r AS b, round(sqrt(greatest(0, x.sq + y.sq - 2 * coalesce(dot, 0))), 6) AS distance FROM (SELECT r, sum(o * o) AS sq FROM ce GROUP BY r) x JOIN (SELECT r, sum(o * o) AS sq FROM ce GROUP BY r) y ON x.r < y.r LEFT JOIN (SELECT p.r AS a, q.r AS b, sum(p.o * q.o) AS dot FROM ce p JOIN ce q ON p.c = q.c AND p.r < q.r GROUP BY ALL) t ON t.a = x.r AND t.b = y.r", ctes=_rc))(
-    lambda s, d: vectors.euclid_rows(_cells(corpus(s, d)).select("row", "col", F.col("n").cast("double").alias("w")))
+    lambda s, d: vectors.euclid_rows(_held(corpus(s, d)))
 )
 query("dist_cosine", sql("SELECT a, b, round(dot / (x.nm * y.nm), 6) AS cosine FROM (SELECT p.r AS a, q.r AS b, sum(p.o * q.o) AS dot FROM ce p JOIN ce q ON p.c = q.c AND p.r < q.r GROUP BY ALL) JOIN (SELECT r, sqrt(sum(o * o)) AS nm FROM ce GROUP BY r) x ON x.r = a JOIN (SELECT r, sqrt(sum(o * o)) AS nm FROM ce GROUP BY r) y ON y.r = b", ctes=_rc))(
-    lambda s, d: vectors.cosine_rows(_cells(corpus(s, d)).select("row", "col", F.col("n").cast("double").alias("w")))
+    lambda s, d: vectors.cosine_rows(_held(corpus(s, d)))
 )
 _fish = "fx AS (SELECT term, freq AS a, field_freq - freq AS b, CAST(fa AS BIGINT) - freq AS c, n - CAST(fa AS BIGINT) - (field_freq - freq) AS e FROM fc, fo, tot WHERE freq > 0)"
 _hp = lambda k: f"exp({_lc('CAST(a + b AS DOUBLE)', f'CAST({k} AS DOUBLE)')} + {_lc('CAST(c + e AS DOUBLE)', f'CAST(a + c - {k} AS DOUBLE)')} - {_lc('CAST(a + b + c + e AS DOUBLE)', 'CAST(a + c AS DOUBLE)')})"
