@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions import scorers
@@ -42,15 +42,55 @@ def cooccurrents(corpus: Corpus, snips: DataFrame, pivots: list[str], left: int,
 
 
 def shells(corpus: Corpus, snips: DataFrame, ticks: list[int]) -> DataFrame:
-    """term, tick, freq, docs: every position counts once, at the nearest of the nested windows around any snippet."""
+    """term, tick, freq, docs: every position counts once, at the nearest of the nested windows around any snippet.
+
+    Counted in the row in which a document meets its snippets; documents that share an id are brought together.
+    """
+    again = corpus.repeated
+    if again.isEmpty():
+        counts = _shells_in_row(corpus.met(snips), ticks)
+    else:
+        counts = _shells_in_row(corpus.met(snips.join(again, "doc_id", "left_anti")), ticks)
+        counts = counts.unionByName(_shells_by_document(corpus, snips.join(again, "doc_id", "left_semi"), ticks))
+    # Written once: plans with functions of array elements are never recognised as alike, so each use would count again.
+    return store.kept(counts.groupBy("term", "tick").agg(F.sum("n").alias("freq"), F.count_if("first").alias("docs")), "shells")
+
+
+def _gap(pos: Column, start: Column, end: Column) -> Column:
+    """How far a position is from a snippet."""
+    return F.when(pos < start, start - pos).otherwise(F.greatest(pos - end + 1, F.lit(0)))
+
+
+def _tick(gap: Column, ticks: list[int]) -> Column:
+    return F.coalesce(*(F.when(gap <= t, F.lit(t)) for t in sorted(ticks)))
+
+
+def _shells_in_row(rows: DataFrame, ticks: list[int]) -> DataFrame:
+    """term, tick, n, first (the term's nearest tick) for each document of doc_id, w, s; nothing is exchanged or sorted but the row's own arrays."""
+    widest = max(ticks)
+    first = lambda s: F.greatest(s["start"] - widest, F.lit(0))
+    place = lambda s: lambda t, i: F.struct((first(s) + i).alias("pos"), _gap(first(s) + i, s["start"], s["end"]).alias("gap"), t.alias("term"))
+    around = F.transform("s", lambda s: F.transform(F.slice("w", first(s) + 1, s["end"] + widest - first(s)), place(s)))
+    # Behind generators, so that each step is worked out once, whatever uses it.
+    rows = rows.select(F.explode(F.array(F.sort_array(F.filter(F.flatten(around), lambda x: x["term"].isNotNull())))).alias("p"))
+    nearest = F.filter("p", lambda x, i: (i == 0) | (x["pos"] != F.get("p", i - 1)["pos"]))
+    marked = F.transform(nearest, lambda x: F.struct(x["term"].alias("term"), _tick(x["gap"], ticks).alias("tick")))
+    rows = rows.select(F.explode(F.array(F.sort_array(marked))).alias("t")).where(F.size("t") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("t", F.explode(F.array(begins)).alias("b"))
+    leads = lambda i: (i == 0) | (F.get("t", i)["term"] != F.get("t", i - 1)["term"])
+    run = lambda i, k: F.struct(F.get("t", i).alias("t"), (F.coalesce(F.get("b", k + 1), F.size("t")) - i).cast("long").alias("n"), leads(i).alias("first"))
+    return rows.select(F.explode(F.transform("b", run)).alias("x")).select("x.t.term", "x.t.tick", "x.n", "x.first")
+
+
+def _shells_by_document(corpus: Corpus, snips: DataFrame, ticks: list[int]) -> DataFrame:
+    """The rows of ``_shells_in_row`` from the contexts' tokens."""
     widest = max(ticks)
-    gap = F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).otherwise(F.greatest(F.col("pos") - F.col("end") + 1, F.lit(0)))
-    tick = F.coalesce(*(F.when(F.col("gap") <= t, F.lit(t)) for t in sorted(ticks)))
+    gap = _gap(F.col("pos"), F.col("start"), F.col("end"))
     nearest = corpus.contexts(snips, widest, widest).groupBy("doc_id", "pos", "term").agg(F.min(gap).alias("gap"))
-    rows = nearest.select("doc_id", "term", tick.alias("tick"))
-    per_doc = rows.groupBy("term", "doc_id", "tick").agg(F.count("*").alias("n"))
+    per_doc = nearest.groupBy("term", "doc_id", _tick(F.col("gap"), ticks).alias("tick")).agg(F.count("*").alias("n"))
     first = F.min("tick").over(Window.partitionBy("term", "doc_id"))
-    return per_doc.withColumn("first", first).groupBy("term", "tick").agg(F.sum("n").alias("freq"), F.count_if(F.col("tick") == F.col("first")).alias("docs"))
+    return per_doc.select("term", "tick", "n", (F.col("tick") == first).alias("first"))
 
 
 def cumulated(shell: DataFrame, ticks: list[int]) -> DataFrame:

@@ -172,14 +172,22 @@ class Corpus:
         Each document that has snippets meets them once, as one row of the rail, and the contexts are slices of it.
         So what travels is documents with hits, never tokens.
         """
-        each = snippets.groupBy("doc_id").agg(F.collect_list(F.struct("snip", "start", "end")).alias("s"))
-        rows = self._words().join(each.hint("shuffle_hash"), "doc_id")
-        rows = self._cut(rows, "s").select("doc_id", "w", F.explode("s").alias("s"))
+        rows = self.met(snippets).select("doc_id", "w", F.explode("s").alias("s"))
         first = F.greatest(F.col("s.start") - left, F.lit(0))
         rows = rows.select("doc_id", "s", first.alias("first"), F.posexplode(F.slice("w", first + 1, F.col("s.end") + right - first)).alias("i", "term"))
         rows = rows.select("doc_id", "s.snip", "s.start", "s.end", (F.col("first") + F.col("i")).cast("int").alias("pos"), "term")
         return rows.where("term is not null")
 
+    def met(self, snippets: DataFrame) -> DataFrame:
+        """doc_id, w, s: the words and the snippets (snip, start, end) of each document that has some."""
+        each = snippets.groupBy("doc_id").agg(F.collect_list(F.struct("snip", "start", "end")).alias("s"))
+        return self._cut(self._words().join(each.hint("shuffle_hash"), "doc_id"), "s")
+
+    @cached_property
+    def repeated(self) -> DataFrame:
+        """doc_id of the ids that several documents share."""
+        return self.documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+
     def _words(self) -> DataFrame:
         """doc_id and what ``_cut`` makes the words of."""
         return self.documents.select("doc_id", "text") if self.chain is None else self.rail.select("doc_id", F.col("words").alias("w"))
@@ -243,6 +251,10 @@ class StoredCorpus(Corpus):
     def doc_stats(self) -> DataFrame:
         return self.tables["doc_stats"]
 
+    @cached_property
+    def repeated(self) -> DataFrame:
+        return self.doc_stats.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         if self.partial:
