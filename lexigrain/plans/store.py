@@ -35,7 +35,7 @@ TABLES = ("rail", "postings", "vocabulary", "doc_stats", "totals")
 #: Bytes a core below which a table may well be read in fewer tasks than there are cores.
 SPREAD_BYTES = 2 << 20
 #: Bytes of the rail whose postings are sorted at once.
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -63,3 +63,8 @@ def test_canonic_rail_equals_that_of_the_token_tables(spark):
     for stop, entries in ((["the", "of", "and", "a"], ["of the", "of the and", "in the"]), ([], ["of the"]), (["the"], []), ([], []), (["of"], overlapping)):
         got, wanted = ({r.doc_id: (r.dl, r.words) for r in c.rail.collect()} for c in _analysed(spark, texts, stop, entries))
         assert got == wanted
+
+
+def test_a_part_of_the_rail_is_sorted_within_a_small_task():
+    # 570 MB were held for a part of 8 MiB; a task of a heap of 0.5 GB a core has some 280 MB.
+    assert store.PART_BYTES * 570 // 8 <= 280 << 20
